@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a boundary bucket that one task may order.
 BOUNDARY_ROWS = 1_000_000
+#: Different features on one tree path; pattern tables grow with 2 to this power.
+MAX_PATH_FEATURES = 10
 
 
 # ---------------------------------------------------------------- splitting
@@ -221,6 +223,8 @@ def _shapley_table(leaf: Leaf, reference: Mapping[int, float]) -> list[list[floa
     reference passes; the Shapley weights of that game have a closed form.
     """
     m = len(leaf.features)
+    if m > MAX_PATH_FEATURES:
+        raise ValueError(f"a path tests {m} features; attributions support {MAX_PATH_FEATURES}")
     table = [[0.0] * m for _ in range(1 << m)]
     for own, (ref, share) in itertools.product(range(1 << m), reference.items()):
         if own | ref != (1 << m) - 1 or share == 0.0:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -156,6 +156,10 @@ def redundant_binary_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ).select("pred", "val")
 
 
+def _valued(attr: str) -> Callable[[Column], Column]:
+    return lambda v: F.struct(F.lit(attr).alias("pred"), v.cast("string").alias("val"))
+
+
 def literal_array(
     df: DataFrame, attrs: Sequence[str], unary: frozenset[str] = frozenset()
 ) -> Column:
@@ -166,14 +170,7 @@ def literal_array(
             lit = F.struct(F.lit(attr).alias("pred"), F.lit(None).cast("string").alias("val"))
             pieces.append(F.when(F.col(attr).isNotNull(), F.array(lit)))
         elif isinstance(df.schema[attr].dataType, T.ArrayType):
-            pieces.append(
-                F.transform(
-                    F.array_compact(attr),
-                    lambda v, attr=attr: F.struct(
-                        F.lit(attr).alias("pred"), v.cast("string").alias("val")
-                    ),
-                )
-            )
+            pieces.append(F.transform(F.array_compact(attr), _valued(attr)))
         else:
             lit = F.struct(F.lit(attr).alias("pred"), F.col(attr).cast("string").alias("val"))
             pieces.append(F.when(F.col(attr).isNotNull(), F.array(lit)))
