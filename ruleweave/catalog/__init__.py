@@ -8,6 +8,7 @@ from .registry import ORACLES, QUERIES, Query
 
 MODULES = (
     "prep_queries",
+    "coverage_queries",
 )
 
 

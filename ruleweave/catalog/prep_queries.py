@@ -187,10 +187,10 @@ def p11(spark, sf):
 
 
 @query("p12_to_utility", """SELECT event_id,
-  CAST(abs(round((value - 50) / 16 * 1000)) AS BIGINT) AS util,
-  CAST(abs(trunc(round((value - 50) / 16, 3) * 1000)) AS BIGINT) AS util_cut FROM events""")
+  CAST(abs(round((value - 50) / 17 * 1000)) AS BIGINT) AS util,
+  CAST(abs(trunc(round((value - 50) / 17, 3) * 1000)) AS BIGINT) AS util_cut FROM events""")
 def p12(spark, sf):
-    phi = (F.col("value") - 50) / 16
+    phi = (F.col("value") - 50) / 17
     return table(spark, sf, "events").select(
         "event_id", to_utility(phi).alias("util"), to_utility(phi, truncate=True).alias("util_cut")
     )
