@@ -9,6 +9,7 @@ from .registry import ORACLES, QUERIES, Query
 MODULES = (
     "prep_queries",
     "coverage_queries",
+    "utility_queries",
 )
 
 

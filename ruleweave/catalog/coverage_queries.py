@@ -445,10 +445,10 @@ def t03(spark, sf):
     return by_rule.select(F.col("rule_id").cast("int").alias("rule_id"), "covered", place.cast("bigint").alias("place"))
 
 
-@query("e01_minus", """SELECT c_custkey AS case_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("e01_minus", "SELECT o_orderkey AS case_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def e01(spark, sf):
-    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"))
-    return cov.minus(customers, table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id")))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"))
+    return cov.minus(orders, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id")))
 
 
 @query("e02_union_views", """SELECT l_orderkey AS case_id FROM lineitem WHERE l_returnflag = 'R'
