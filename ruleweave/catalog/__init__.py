@@ -10,6 +10,8 @@ MODULES = (
     "prep_queries",
     "coverage_queries",
     "utility_queries",
+    "relational_queries",
+    "model_queries",
 )
 
 

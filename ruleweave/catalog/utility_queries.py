@@ -71,19 +71,19 @@ def t01(spark, sf):
     return ut.top_k(totals, 10, ties=["tid"])
 
 
-@query("j04_extend_lists", f"""WITH {BASKETS}, best AS (SELECT item AS x FROM tx GROUP BY 1 ORDER BY sum(util) DESC, item LIMIT 1),
+@query("j04_extend_lists", f"""WITH {BASKETS}, best AS (SELECT item AS x FROM twus ORDER BY twu, item LIMIT 1),
   px AS (SELECT tid, item, util, twu FROM tx JOIN twus USING (item) JOIN best ON item = x),
   py AS (SELECT tid, item, util, twu FROM tx JOIN twus USING (item)),
   pairs AS (SELECT px.item || ' ' || py.item AS itemset, px.util + py.util AS util
     FROM px JOIN py USING (tid) WHERE (py.twu, py.item) > (px.twu, px.item))
   SELECT itemset, CAST(sum(util) AS BIGINT) AS util, count(*) AS transactions FROM pairs GROUP BY 1""")
 def j04(spark, sf):
-    """All two-item extensions of the best single item, by joining utility lists."""
+    """All two-item extensions of the first item in order, by joining utility lists."""
     lists = ut.remaining_utility(ut.with_twu(baskets(spark, sf)))
     singles = lists.select(
         "tid", "item", "twu", F.array("item").alias("itemset"), F.col("util").alias("iutil"), "rutil"
     )
-    best = singles.groupBy("item", "twu").agg(F.sum("iutil").alias("util")).orderBy(F.desc("util"), "item").first()
+    best = singles.select("item", "twu").distinct().orderBy("twu", "item").first()
     px = singles.where(F.col("item") == best["item"])
     py = singles.where(F.struct("twu", "item") > F.struct(F.lit(best["twu"]), F.lit(best["item"])))
     return ut.extend_lists(px, py).groupBy(F.array_join("itemset", " ").alias("itemset")).agg(

@@ -134,14 +134,15 @@ def transaction_rows(tx: DataFrame, min_util: int = 1, k: int | None = None) ->
     """
     total = F.sum("util").over(W.partitionBy("tid"))
     base = materialize(merged_items(tx).withColumn("total", total))
-    singles = materialize(
+    promising = materialize(
         base.groupBy("item").agg(F.sum("util").alias("util"), F.sum("total").alias("twu"))
     )
-    if k is not None:
-        best = _kth(singles, k)
+    size = promising.count()
+    if k is not None and size > FOLLOWERS:
+        best = _kth(promising, k)
         min_util = max(min_util, best[-1]) if len(best) == k else min_util
-    promising = singles.where(F.col("twu") >= min_util).select("item", "twu")
-    if promising.count() <= BROADCAST_ROWS:
+    promising = promising.where(F.col("twu") >= min_util).select("item", "twu")
+    if size <= BROADCAST_ROWS:
         promising = F.broadcast(promising)
     ordered = remaining_utility(base.join(promising, "item"))
     element = F.struct("twu", "item", "util", F.col("rutil").alias("after"))
