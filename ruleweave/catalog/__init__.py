@@ -12,6 +12,8 @@ MODULES = (
     "utility_queries",
     "relational_queries",
     "model_queries",
+    "learn_queries",
+    "text_queries",
 )
 
 

@@ -156,3 +156,21 @@ def m06b(spark, sf):
         for f in features
     ])))
     return at.attribution_summary(long)
+
+
+@query("m06_attributions_add_up", "SELECT count(*) AS cases, count(*) AS additive FROM orders")
+def m06c(spark, sf):
+    """Base value plus attributions equal the model's margin, for every order."""
+    from pyspark.ml.functions import vector_to_array
+
+    model, split, features = split_fit(spark, sf, "gbt", maxIter=5, maxDepth=3)
+    phi, base = md.tree_attributions(model, split.drop("is_train"), features)
+    margins = model.transform(md.assemble(phi, features)).select(
+        vector_to_array("rawPrediction")[1].alias("margin"), *[f"phi_{f}" for f in features]
+    )
+    # The raw prediction of boosted trees holds the negated and the plain margin.
+    total = sum((F.col(f"phi_{f}") for f in features), F.lit(base))
+    return margins.agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.count_if(F.abs(total - F.col("margin")) < 1e-6).alias("additive"),
+    )

@@ -48,10 +48,13 @@ def explain_case(attributions: DataFrame, case_id: object) -> DataFrame:
 def attribution_summary(df: DataFrame) -> DataFrame:
     """Per feature: mean size of the effect and its direction.
 
-    ``df`` is (feature, x, phi); the direction is the correlation of value and effect.
+    ``df`` is (feature, x, phi); the direction is the correlation of value and effect,
+    null when one of them never varies.
     """
+    spread = F.nullif(F.stddev_pop("x") * F.stddev_pop("phi"), F.lit(0.0))
     return df.groupBy("feature").agg(
-        F.avg(F.abs("phi")).alias("mean_abs_phi"), F.corr("x", "phi").alias("direction")
+        F.avg(F.abs("phi")).alias("mean_abs_phi"),
+        (F.covar_pop("x", "phi") / spread).alias("direction"),
     )
 
 

@@ -18,6 +18,7 @@ MODE_ARG = r"(var|const)\((\w+)\)"
 CONSTANT = r"^\s*#constant\(\s*(\w+)\s*,\s*(.+?)\s*\)\s*$"
 ITEM = r"^\s*(\d+)->(\w+)\(\w+,(.*)\)\s*$"
 ATTRIBUTION = r"^\s*data\(([^)]+)\):(\w+)\(\w+,([^)]*)\):(\S+)\s*$"
+TRANSACTION = r"^\w+\(([^)]*)\)::\s*([^:]*?)\s*:\s*(\d*)\s*:\s*([^:]*?)\s*$"
 RULE = r"^\s*(\w+)\([A-Z]\w*\)\s*:-(.*)\.\s*$"
 RULE_LITERAL = r"(?:not|\\\+)\s*\(?\s*\w+\([^()]*\)|\w+\([^()]*\)"
 
@@ -118,10 +119,8 @@ def parse_transactions(lines: DataFrame) -> DataFrame:
     Comments, metadata, empty lines and transactions without items give no rows.
     """
     text = F.trim("value")
-    data = lines.where((text != "") & ~text.rlike("^[#%@]") & text.contains("::"))
-    parts = F.split(F.substring_index(text, "::", -1), ":")
-    tid = F.regexp_extract(F.substring_index(text, "::", 1), r"\(([^)]*)\)", 1)
-    items, utils = F.trim(parts[0]), F.trim(parts[2])
+    data = lines.where(text.rlike(TRANSACTION))
+    tid, items, utils = (F.regexp_extract(text, TRANSACTION, group) for group in (1, 2, 4))
     pairs = F.arrays_zip(F.split(items, " +").alias("item"), F.split(utils, " +").alias("util"))
     rows = data.where(items != "").select(tid.alias("tid"), F.inline(pairs))
     return rows.select(
