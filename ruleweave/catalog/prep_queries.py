@@ -121,7 +121,7 @@ def p06b(spark, sf):
   FROM lineitem""")
 def p06c(spark, sf):
     cols = ["l_extendedprice", "l_quantity"]
-    qs = _quantiles_by_rank(table(spark, sf, "lineitem").select(*cols), cols, [0.1, 0.5, 0.9], buckets=100)
+    qs = _quantiles_by_rank(table(spark, sf, "lineitem").select(*cols), cols, [0.1, 0.5, 0.9], parts=16)
     rows = [(c, *[round(v, 4) for v in qs[c]]) for c in cols]
     return spark.createDataFrame(rows, "attr string, q10 double, q50 double, q90 double")
 
@@ -247,7 +247,7 @@ def w03(spark, sf):
     scores = table(spark, sf, "events").groupBy(F.round("value", 1).alias("score")).agg(
         F.count(F.lit(1)).alias("cnt"), F.count_if(F.col("event_type") == "purchase").alias("hits")
     )
-    return running_sums(scores, "score", ["cnt", "hits"], buckets=20)
+    return running_sums(scores, "score", ["cnt", "hits"], parts=20)
 
 
 # ---------------------------------------------------------------- modes and literal grids

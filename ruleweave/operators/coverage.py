@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import Literal, Rule, Theory, any_of, literal_condition, rule_condition
-from ..session import BROADCAST_ROWS
+from ..session import BROADCAST_ROWS, materialize
 from .prep import CaseTable
 
 # ---------------------------------------------------------------- wide case tables
@@ -145,15 +145,13 @@ def score_facts(
     the cases of the exceptions, innermost first. Returns cases with ``pred``, ``fired``.
     """
     literals = theory.to_df(cases.sparkSession)
-    heads = literals.select("rule_id", "head").distinct()
-    fired = fired_rules(facts, literals).join(F.broadcast(heads), "rule_id")
-    blockers: dict[str, set[str]] = {}
-    blocked_by: dict[int, list[str]] = {}
+    # Read once per exception level, so the matches are written out.
+    fired = materialize(fired_rules(facts, literals))
     all_rules = (*theory.rules, *theory.exceptions)
-    for rule_id, rule in enumerate(all_rules):
-        used = [lit.pred for lit in rule.body if lit.negated]
-        blocked_by[rule_id] = used
-        blockers.setdefault(rule.head, set()).update(used)
+    blocked_by = {
+        rule_id: [lit.pred for lit in rule.body if lit.negated]
+        for rule_id, rule in enumerate(all_rules)
+    }
 
     holds: dict[str, DataFrame] = {
         h: ids.select("case_id").distinct() for h, ids in theory.listed.items()

@@ -87,7 +87,7 @@ def roc_points(df: DataFrame, score: str, label: str = "is_pos", digits: int | N
     counts = df.where(F.col(score).isNotNull()).groupBy(value.alias("threshold")).agg(
         F.count_if(label).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
-    counts = materialize(counts)
+    counts = materialize(counts)  # read for the totals and for the ranges
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
     cum = running_sums(counts, "threshold", ["pos", "neg"])
     n_pos, n_neg = F.lit(totals["p"] or 0), F.lit(totals["n"] or 0)
@@ -102,10 +102,8 @@ def roc_points(df: DataFrame, score: str, label: str = "is_pos", digits: int | N
 
 def auc(df: DataFrame, score: str, label: str = "is_pos") -> DataFrame:
     """Area under the ROC curve: (auc), ties counted half."""
-    counts = materialize(
-        df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(
-            F.count_if(label).alias("pos"), F.count_if(~F.col(label)).alias("neg")
-        )
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(
+        F.count_if(label).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
     cum = running_sums(counts, "s", ["pos", "neg"], descending=False)
     # Positives beat all negatives below them and draw with those at the same score.

@@ -1,8 +1,8 @@
 """Order statistics and running sums that never sort a whole column in one task.
 
-Both work on counts per distinct value, so repeated values cost nothing, and cut the
-value range into buckets at approximate percentiles. The cuts only steer how work is
-spread; results are exact wherever they fall.
+Both work on counts per distinct value, so repeated values cost nothing, and spread the
+values over ranges with Spark's range partitioning. The ranges only steer how work is
+divided; results are exact wherever they begin and end.
 """
 
 from __future__ import annotations
@@ -10,19 +10,23 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Up to this many distinct values the built-in exact percentile holds them in memory.
-SMALL_DISTINCT = 500_000
-#: Buckets the value range is cut into beyond that.
-BUCKETS = 2000
+SMALL_DISTINCT = 200_000
+
 
+def in_ranges(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
+    """Add ``range__``: a number that rises with the order columns, one per partition.
 
-def bucket_of(value: Column, edges: Column) -> Column:
-    """Number of edges below ``value``; the same value always gets the same bucket."""
-    return F.size(F.filter(edges, lambda e: e < value))
+    The table is written out, so later steps see the same ranges.
+    """
+    spread = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return materialize(spread.withColumn("range__", F.spark_partition_id()))
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -55,58 +59,41 @@ def exact_quantiles(
 
 
 def _quantiles_by_rank(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], buckets: int = BUCKETS
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], parts: int | None = None
 ) -> dict[str, list[float]]:
-    from ..session import materialize
-
-    counts = materialize(value_counts(df, cols))
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = counts.groupBy("col").agg(
-        F.array_distinct(
-            F.percentile_approx("x", F.array(*[F.lit(c) for c in cuts]), F.lit(100_000))
-        ).alias("edges")
-    )
-    # One edges row per column: bounded by the schema, whatever the number of cases.
-    bucketed = counts.join(F.broadcast(edges), "col").select(
-        "col", "x", "cnt", bucket_of(F.col("x"), F.col("edges")).alias("bucket")
-    )
+    """Totals per range tell which ranges hold the wanted ranks; only those are ranked."""
+    spark = df.sparkSession
+    counts = in_ranges(value_counts(df, cols), "col", "x", parts=parts)
     totals: dict[str, list[tuple[int, int]]] = {}
-    for row in bucketed.groupBy("col", "bucket").agg(F.sum("cnt").alias("cnt")).collect():
-        totals.setdefault(row["col"], []).append((row["bucket"], row["cnt"]))
+    for row in counts.groupBy("col", "range__").agg(F.sum("cnt").alias("cnt")).collect():
+        totals.setdefault(row["col"], []).append((row["range__"], row["cnt"]))
 
     wanted: dict[str, list[tuple[float, int, int]]] = {}
-    offsets: dict[tuple[str, int], int] = {}
-    needed: set[tuple[str, int]] = set()
-    for col, per_bucket in totals.items():
-        total = sum(cnt for _, cnt in per_bucket)
+    starts: dict[tuple[str, int], int] = {}
+    for col, per_range in totals.items():
+        total = sum(cnt for _, cnt in per_range)
         positions = [p * (total - 1) for p in probs]
         wanted[col] = [(pos, math.floor(pos), math.ceil(pos)) for pos in positions]
         ranks = {r for _, low, high in wanted[col] for r in (low, high)}
         start = 0
-        for bucket, cnt in sorted(per_bucket):
+        for number, cnt in sorted(per_range):
             if any(start <= r < start + cnt for r in ranks):
-                needed.add((col, bucket))
-                offsets[col, bucket] = start
+                starts[col, number] = start
             start += cnt
 
-    schema = "col string, bucket int, first_rank bigint"
-    starts = df.sparkSession.createDataFrame(
-        [(c, b, offsets[c, b]) for c, b in sorted(needed)], schema
-    )
-    in_bucket = W.partitionBy("col", "bucket").orderBy("x")
-    ranked = bucketed.join(F.broadcast(starts), ["col", "bucket"]).select(
-        "col",
-        "x",
-        "cnt",
-        (
-            F.col("first_rank")
-            + F.sum("cnt").over(in_bucket.rowsBetween(W.unboundedPreceding, W.currentRow))
-        ).alias("upto"),
+    # A few ranges and ranks per column, whatever the number of cases.
+    first = spark.createDataFrame(
+        [(c, n, s) for (c, n), s in sorted(starts.items())],
+        "col string, range__ int, first_rank bigint",
     )
-    targets = df.sparkSession.createDataFrame(
+    targets = spark.createDataFrame(
         sorted({(c, r) for c, ws in wanted.items() for _, lo, hi in ws for r in (lo, hi)}),
         "col string, target bigint",
     )
+    so_far = W.partitionBy("col", "range__").orderBy("x").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counts.join(F.broadcast(first), ["col", "range__"]).select(
+        "col", "x", "cnt", (F.col("first_rank") + F.sum("cnt").over(so_far)).alias("upto")
+    )
     hits = ranked.join(F.broadcast(targets), "col").where(
         (F.col("target") < F.col("upto")) & (F.col("target") >= F.col("upto") - F.col("cnt"))
     )
@@ -122,35 +109,32 @@ def _quantiles_by_rank(
 
 
 def running_sums(
-    df: DataFrame, order: str, values: Sequence[str], descending: bool = True, buckets: int = 200
+    df: DataFrame,
+    order: str,
+    values: Sequence[str],
+    descending: bool = True,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<value>`` columns: sums over all rows up to and including each row.
 
-    ``df`` holds one row per distinct ``order`` value. Rows are summed inside buckets of
-    the order column; the running totals of the few buckets are added in a second step.
+    ``df`` holds one row per distinct ``order`` value. Rows are summed inside ranges of
+    the order column; what the ranges before add up to is joined in.
     """
-    cuts = [i / buckets for i in range(1, buckets)]
-    edges = df.agg(
-        F.percentile_approx(order, F.array(*[F.lit(c) for c in cuts]), F.lit(10_000))
-    ).first()[0]
-    # Driver-side list of at most ``buckets`` cut points.
-    edge_list = F.array(*[F.lit(float(e)) for e in sorted(set(edges or []))]).cast("array<double>")
-    bucketed = df.withColumn("bucket__", bucket_of(F.col(order).cast("double"), edge_list))
-    totals = bucketed.groupBy("bucket__").agg(*[F.sum(v).alias(f"{v}__") for v in values])
+    ranged = in_ranges(df, order, parts=parts)
     direction = F.desc if descending else F.asc
-    before = (
-        W.orderBy(direction("bucket__")).rowsBetween(W.unboundedPreceding, -1)
-    )  # at most ``buckets`` rows
+    totals = ranged.groupBy("range__").agg(*[F.sum(v).alias(f"{v}__") for v in values])
+    before = W.orderBy(direction("range__")).rowsBetween(W.unboundedPreceding, -1)
+    # One row per range: as many as there are partitions.
     starts = totals.select(
-        "bucket__",
+        "range__",
         *[F.coalesce(F.sum(f"{v}__").over(before), F.lit(0)).alias(f"{v}_start__") for v in values],
     )
     inside = (
-        W.partitionBy("bucket__")
+        W.partitionBy("range__")
         .orderBy(direction(order))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    joined = bucketed.join(F.broadcast(starts), "bucket__")
+    joined = ranged.join(F.broadcast(starts), "range__")
     return joined.select(
         *df.columns,
         *[(F.sum(v).over(inside) + F.col(f"{v}_start__")).alias(f"cum_{v}") for v in values],

@@ -27,6 +27,8 @@ from ..session import BROADCAST_ROWS, materialize
 MERGE_WIDTH = 100
 #: Tails are filtered by the followers of their prefix up to this many followers.
 FOLLOWERS = 200
+#: Up to this many candidate itemsets of a level are decided on the driver.
+FEW_CANDIDATES = 5000
 
 
 # ---------------------------------------------------------------- building blocks
@@ -214,24 +216,37 @@ def _extension_stats(level: DataFrame) -> DataFrame:
     )
 
 
-def _next_level(level: DataFrame, stats: DataFrame, threshold: int) -> DataFrame | None:
-    """Rows of the next level: each surviving extension with the tail behind it.
+def _survivors(stats: DataFrame, threshold: int) -> tuple[DataFrame, int]:
+    """Extensions to grow, (prefix, item, allowed), and their number.
 
-    An extension survives while what may follow can reach the threshold. The tail keeps
-    the items that reach the threshold together with the prefix.
+    An extension survives while what may follow can reach the threshold. ``allowed`` are
+    the items that reach the threshold together with the prefix; null allows all.
     """
     alive = F.least("bound", "reach") >= threshold
     grown = stats.where(alive).select("prefix", "item")
-    count = grown.count()
-    if count == 0:
-        return None
     followers = stats.where(F.col("reach") >= threshold).groupBy("prefix").agg(
         F.count(F.lit(1)).alias("size"), F.collect_set("item").alias("allowed")
     )  # at most the dictionary per prefix
     few = F.when(F.col("size") <= FOLLOWERS, F.col("allowed"))
-    grown = grown.join(followers, "prefix").select("prefix", "item", few.alias("allowed"))
-    if count <= BROADCAST_ROWS:
-        grown = F.broadcast(grown)
+    return grown.join(followers, "prefix").select("prefix", "item", few.alias("allowed")), grown.count()
+
+
+def _local_survivors(rows: list, threshold: int) -> list[tuple]:
+    """``_survivors`` for a list of extensions."""
+    followers: dict[tuple, list] = {}
+    for r in rows:
+        if r["reach"] >= threshold:
+            followers.setdefault(tuple(r["prefix"]), []).append(r["item"])
+    out = []
+    for r in rows:
+        if min(r["bound"], r["reach"]) >= threshold:
+            allowed = followers[tuple(r["prefix"])]
+            out.append((r["prefix"], r["item"], allowed if len(allowed) <= FOLLOWERS else None))
+    return out
+
+
+def _next_level(level: DataFrame, grown: DataFrame) -> DataFrame:
+    """Rows of the next level: each surviving extension with the tail behind it."""
     steps = level.select("prefix", "iutil", "tail", F.posexplode("tail").alias("pos", "e")).where(
         F.col("pos") + 1 < F.size("tail")
     )
@@ -254,49 +269,74 @@ def mine(
     max_len: int | None = None,
     min_len: int = 1,
     with_ties: bool = False,
+    merged: bool = False,
 ) -> DataFrame:
     """Level-wise mining over ``rows(tail)``; see the module text.
 
     Returns (itemset, util) with sorted items. With ``k`` the threshold starts at
-    ``min_util`` and rises; without it, it stays.
+    ``min_util`` and rises; without it, it stays. ``merged`` tells that equal
+    transactions have been added up already.
+
+    The candidates of a level are decided on the driver while they are few, and by Spark
+    when there are more than ``FEW_CANDIDATES``.
     """
     spark = rows.sparkSession
     item_type = rows.schema["tail"].dataType.elementType["item"].dataType.simpleString()
     schema = f"itemset array<{item_type}>, util bigint"
-    level: DataFrame | None = merge_equal(rows).select(
+    grown_schema = f"prefix array<{item_type}>, item {item_type}, allowed array<{item_type}>"
+    level: DataFrame | None = (rows if merged else merge_equal(rows)).select(
         F.array().cast(f"array<{item_type}>").alias("prefix"),
         F.lit(0).cast("bigint").alias("iutil"),
         "tail",
     )
     threshold, length = min_util, 1
-    best: list = []  # at most k rows
+    best: list[tuple] = []  # at most k rows (itemset, util)
     found: list[DataFrame] = []
-    itemset = F.array_sort(F.concat("prefix", F.array("item")))
+    itemset = F.array_sort(F.concat("prefix", F.array("item"))).alias("itemset")
     while level is not None:
         stats = _extension_stats(level).persist()
+        few = stats.limit(FEW_CANDIDATES + 1).collect()
+        local = few if len(few) <= FEW_CANDIDATES else None
         if length >= min_len:
-            hits = stats.where(F.col("util") >= threshold).select(itemset.alias("itemset"), "util")
+            hits = stats.where(F.col("util") >= threshold).select(itemset, "util")
             if k is not None:
-                best = sorted([*best, *_best(hits, k)], key=_preference)[:k]
-                threshold = max(threshold, best[-1]["util"]) if len(best) == k else threshold
+                if local is None:
+                    top = [(r["itemset"], r["util"]) for r in _best(hits, k)]
+                else:
+                    top = [
+                        (sorted([*r["prefix"], r["item"]]), r["util"])
+                        for r in local
+                        if r["util"] >= threshold
+                    ]
+                best = sorted([*best, *top], key=_preference)[:k]
+                threshold = max(threshold, best[-1][1]) if len(best) == k else threshold
             if k is None or with_ties:
                 found.append(materialize(hits.where(F.col("util") >= threshold)))
         length += 1
-        grown = None
+        grown, count = None, 0
         if max_len is None or length <= max_len:
-            grown = _next_level(level, stats, threshold)
-        level = None if grown is None else materialize(grown)
+            if local is None:
+                grown, count = _survivors(stats, threshold)
+            else:
+                survivors = _local_survivors(local, threshold)
+                count = len(survivors)
+                grown = spark.createDataFrame(survivors, grown_schema) if survivors else None
+        if grown is not None and count:
+            side = F.broadcast(grown) if count <= BROADCAST_ROWS else grown
+            level = materialize(_next_level(level, side))
+        else:
+            level = None
         stats.unpersist()
     if k is not None and not with_ties:
-        return spark.createDataFrame([(r["itemset"], r["util"]) for r in best], schema)
+        return spark.createDataFrame(best, schema)
     everything = spark.createDataFrame([], schema)
     for hits in found:
         everything = everything.unionByName(hits)
     return everything.where(F.col("util") >= threshold)
 
 
-def _preference(row) -> tuple:
-    return (-row["util"], len(row["itemset"]), row["itemset"])
+def _preference(row: tuple) -> tuple:
+    return (-row[1], len(row[0]), row[0])
 
 
 def _best(hits: DataFrame, k: int) -> list:

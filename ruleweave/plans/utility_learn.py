@@ -106,7 +106,7 @@ class UtilitySearch:
         self.exceptions: list[Rule] = []
         self.next_ab = 0
         # Mined itemsets stay valid while the positives in play do not change.
-        self.mined: tuple[object, list[tuple[str, ...]], dict[str, int]] = (None, [], {})
+        self.mined: tuple[object, list[tuple[str, ...]], DataFrame | None] = (None, [], None)
 
     def close(self) -> None:
         self.df.unpersist()
@@ -150,32 +150,44 @@ class UtilitySearch:
         ``state`` identifies the example set: itemsets are mined again only when it
         changed, each time deep enough to go past all used ones.
         """
-        mined_state, queue, weights = self.mined
+        mined_state, queue, rows = self.mined
         fresh = [s for s in queue if s not in self.used]
         if mined_state != state or not fresh:
             rows = self.transactions(side)
             k = len(self.used) + self.settings.lookahead
-            found = mine(rows, k).collect()  # k rows at most
+            found = mine(rows, k, merged=True).collect()  # k rows at most
             found.sort(key=lambda r: (-r["util"], len(r["itemset"]), r["itemset"]))
-            total = F.aggregate("tail", F.lit(0).cast("bigint"), lambda acc, e: acc + e["util"])
-            per_item = rows.select(total.alias("total"), F.explode("tail").alias("e")).groupBy(
-                "e.item"
-            ).agg(F.sum("total").alias("twu"))
-            weights = {r["item"]: r["twu"] for r in per_item.collect()}  # one per literal
             queue = [tuple(r["itemset"]) for r in found]
-            self.mined = (state, queue, weights)
+            self.mined = (state, queue, rows)
             fresh = [s for s in queue if s not in self.used]
         if not fresh:
             return None
         self.used.add(fresh[0])
+        if len(fresh[0]) == 1:
+            return fresh[0]
+        weights = self.item_weights(rows, fresh[0])
         return tuple(sorted(fresh[0], key=lambda i: (weights[i], i)))
 
+    def item_weights(self, rows: DataFrame, items: tuple[str, ...]) -> dict[str, int]:
+        """Summed totals of the transactions that hold each of the items."""
+        total = F.aggregate("tail", F.lit(0).cast("bigint"), lambda acc, e: acc + e["util"])
+        names = F.transform("tail", lambda e: e["item"])
+        row = rows.select(total.alias("total"), names.alias("names")).agg(
+            *[
+                F.sum(F.when(F.array_contains("names", item), F.col("total"))).alias(f"w{i}")
+                for i, item in enumerate(items)
+            ]
+        ).first()
+        return {item: row[f"w{i}"] for i, item in enumerate(items)}
+
     def clause(self, pos: Side, neg: Side, state: object) -> list[Literal] | None:
         """Body from the next itemset; literals at its end go while no negative enters."""
         items = self.next_body(pos, state)
         if items is None:
             return None
         body = [Literal(*item.split("=", 1)) for item in items]
+        if len(body) == 1:
+            return body
         weights = prefix_coverage(self.df, Rule(self.settings.target, tuple(body)), neg.count)
         per_length = {r["len"]: int(r["weight"] or 0) for r in weights.collect()}
         return body[: trim_length(per_length, len(body))]

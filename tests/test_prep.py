@@ -46,7 +46,7 @@ def test_both_quantile_ways_agree_on_skewed_values(spark):
     df = column(spark, values)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     small = exact_quantiles(df, ["x"], probs)["x"]
-    large = _quantiles_by_rank(df, ["x"], probs, buckets=16)["x"]
+    large = _quantiles_by_rank(df, ["x"], probs, parts=16)["x"]
     expected = list(pd.Series(values).quantile(probs))
     assert small == pytest.approx(expected) and large == pytest.approx(expected)
     assert exact_quantiles(df, ["x"], probs, small=10)["x"] == pytest.approx(expected)
@@ -62,7 +62,7 @@ def test_nulls_get_no_bin_and_no_fact(spark):
 def test_running_sums(spark):
     rows = [(float(i), i % 3, 1) for i in range(500)]
     df = spark.createDataFrame(rows, "s double, a int, b int")
-    got = running_sums(df, "s", ["a", "b"], buckets=7).toPandas().sort_values("s", ascending=False)
+    got = running_sums(df, "s", ["a", "b"], parts=7).toPandas().sort_values("s", ascending=False)
     assert list(got["cum_a"]) == list(got["a"].cumsum()) and list(got["cum_b"]) == list(range(1, 501))
 
 

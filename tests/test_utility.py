@@ -47,8 +47,9 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "tid int, item int, util bigint")
 
 
-@pytest.mark.parametrize("seed, k, min_len", [(1, 1, 1), (2, 5, 1), (3, 12, 2)])
-def test_top_k_equals_brute_force(spark, seed, k, min_len):
+@pytest.mark.parametrize("seed, k, min_len, few", [(1, 1, 1, 5000), (2, 5, 1, 0), (3, 12, 2, 9)])
+def test_top_k_equals_brute_force(spark, monkeypatch, seed, k, min_len, few):
+    monkeypatch.setattr(ut, "FEW_CANDIDATES", few)
     rows = random_tx(seed)
     got = as_list(ut.top_k_utility_itemsets(frame(spark, rows), k, min_len=min_len))
     assert got == ranked(brute(rows), min_len)[:k]
@@ -63,6 +64,7 @@ def test_threshold_equals_brute_force(spark, seed, monkeypatch):
     if seed == 5:
         monkeypatch.setattr(ut, "FOLLOWERS", 0)
         monkeypatch.setattr(ut, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(ut, "FEW_CANDIDATES", 0)
     got = as_list(ut.utility_itemsets(frame(spark, rows), threshold))
     assert got == [e for e in truth if e[1] >= threshold]
 
