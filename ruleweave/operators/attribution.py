@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_utility
+from .ranks import numbered
 from .utility import top_per_case
 
 
@@ -73,24 +74,10 @@ def top_literals(totals: DataFrame, n: int = 6) -> DataFrame:
 
 
 def item_dictionary(literals: DataFrame) -> DataFrame:
-    """Number the literals by (pred, val): (item_id, pred, val).
-
-    Ids run within each attribute first and are then moved behind those of the earlier
-    attributes, so one task never holds more than one attribute's domain.
-    """
-    from pyspark.sql import Window as W
-
+    """Number the literals by (pred, val): (item_id, pred, val)."""
     distinct = literals.select("pred", "val").distinct()
-    inside = distinct.withColumn(
-        "nth", F.row_number().over(W.partitionBy("pred").orderBy(F.asc_nulls_first("val")))
-    )
-    sizes = distinct.groupBy("pred").agg(F.count(F.lit(1)).alias("size"))
-    # One row per attribute: bounded by the schema.
-    before = W.orderBy("pred").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("pred", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    return inside.join(F.broadcast(starts), "pred").select(
-        (F.col("start") + F.col("nth") - 1).cast("int").alias("item_id"), "pred", "val"
-    )
+    ordered = numbered(distinct, "pred", "val", name="item_id")
+    return ordered.select(F.col("item_id").cast("int").alias("item_id"), "pred", "val")
 
 
 def attributions_to_items(

@@ -139,3 +139,18 @@ def running_sums(
         *df.columns,
         *[(F.sum(v).over(inside) + F.col(f"{v}_start__")).alias(f"cum_{v}") for v in values],
     )
+
+
+def numbered(df: DataFrame, *order: str, name: str = "nth", parts: int | None = None) -> DataFrame:
+    """Number the rows 0, 1, 2 ... in the given order, nulls first.
+
+    Rows are numbered inside ranges of the order; each range starts after those before it.
+    """
+    ranged = in_ranges(df, *order, parts=parts)
+    sizes = ranged.groupBy("range__").agg(F.count(F.lit(1)).alias("size__"))
+    before = W.orderBy("range__").rowsBetween(W.unboundedPreceding, -1)
+    # One row per range: as many as there are partitions.
+    starts = sizes.select("range__", F.coalesce(F.sum("size__").over(before), F.lit(0)).alias("start__"))
+    inside = F.row_number().over(W.partitionBy("range__").orderBy(*order))
+    joined = ranged.join(F.broadcast(starts), "range__")
+    return joined.select(*df.columns, (F.col("start__") + inside - 1).alias(name))

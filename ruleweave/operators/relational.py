@@ -67,9 +67,9 @@ def bind(bindings: DataFrame, body: Sequence[Atom], tables: Tables) -> DataFrame
         if not shared:
             raise ValueError(f"{atom.text()} shares no variable with the clause")
         if atom.negated:
-            bindings = bindings.join(own.select(*shared), shared, "left_anti")
+            bindings = bindings.join(own.select(*shared).distinct(), shared, "left_anti")
         elif len(shared) == len(atom.variables):
-            bindings = bindings.join(own, shared, "left_semi")
+            bindings = bindings.join(own.distinct(), shared, "left_semi")
         else:
             bindings = bindings.join(own.distinct(), shared)
     return bindings
@@ -95,7 +95,8 @@ def covered_bindings(
             own = covered_bindings(own.distinct(), atom.variables, inner, tables)
         shared = [v for v in atom.variables if v in head_vars]
         how = "left_anti" if atom.negated else "left_semi"
-        examples = examples.join(own.select(*shared), shared, how)
+        # Distinct keys: however often a key occurs, each task sends it once.
+        examples = examples.join(own.select(*shared).distinct(), shared, how)
     return examples
 
 
