@@ -135,8 +135,8 @@ def r05c(spark, sf):
 
 @query("x02_windowed_quality", """WITH s AS (SELECT date_trunc('hour', ts) AS start, value > 60 AND event_type <> 'view' AS pred,
     event_type = 'purchase' AS is_pos FROM events)
-  SELECT start, count(*) FILTER (pred AND is_pos) AS tp, count(*) FILTER (NOT pred AND NOT is_pos) AS tn,
-    count(*) FILTER (pred AND NOT is_pos) AS fp, count(*) FILTER (NOT pred AND is_pos) AS fn FROM s GROUP BY 1""")
+  SELECT CAST(epoch(start) AS BIGINT) AS start_sec, count(*) FILTER (pred AND is_pos) AS tp, count(*) FILTER (NOT pred AND NOT is_pos) AS tn,
+    count(*) FILTER (pred AND NOT is_pos) AS fp, count(*) FILTER (NOT pred AND is_pos) AS fn FROM s GROUP BY start""")
 def x02(spark, sf):
     """Hourly confusion counts of a rule on events, in batch form."""
     from ..rules import Literal, Rule
@@ -148,7 +148,8 @@ def x02(spark, sf):
     )
     theory = Theory("positive", (Rule("positive", (Literal("size", "high"), Literal("ab0", None, True))),),
                     (Rule("ab0", (Literal("event_type", "view"),)),))
-    return windowed_quality(score_stream(events, theory)).select("start", "tp", "tn", "fp", "fn")
+    quality = windowed_quality(score_stream(events, theory))
+    return quality.select(F.unix_timestamp("start").alias("start_sec"), "tp", "tn", "fp", "fn")
 
 
 @query("a13_learned_total_coverage", f"WITH {ORDERS} SELECT count(*) FILTER (priority = '1-URGENT' OR segment = 'BUILDING') AS covered FROM cases WHERE is_pos")

@@ -11,6 +11,8 @@ from ..operators.prep import one_hot
 from .datasets import orders_cases, table
 from .registry import query
 
+# Added before rounding, so that exact halves round the same way everywhere.
+NUDGE = 1e-8
 EVENT_COEFS = {"click": 0.5, "error": -1.25, "purchase": 2.0, "signup": 0.75, "view": -0.1}
 
 
@@ -35,10 +37,10 @@ PHI_SQL = "phi AS (SELECT case_id, " + ", ".join(
 
 
 @query("m07_linear_attributions", f"WITH {USERS}, {PHI_SQL} SELECT case_id, "
-       + ", ".join(f"round(phi_{t}, 5) AS phi_{t}" for t in EVENT_COEFS) + " FROM phi")
+       + ", ".join(f"round(phi_{t} + {NUDGE}, 5) AS phi_{t}" for t in EVENT_COEFS) + " FROM phi")
 def m07(spark, sf):
     phi = at.linear_attributions(user_features(spark, sf), EVENT_COEFS)
-    return phi.select("case_id", *[F.round(f"phi_{t}", 5).alias(f"phi_{t}") for t in EVENT_COEFS])
+    return phi.select("case_id", *[F.round(F.col(f"phi_{t}") + NUDGE, 5).alias(f"phi_{t}") for t in EVENT_COEFS])
 
 
 LONG = " UNION ALL ".join(
@@ -46,7 +48,7 @@ LONG = " UNION ALL ".join(
 )
 
 
-@query("m08_explain_case", f"""WITH {USERS}, {PHI_SQL}, long AS ({LONG}) SELECT pred, round(x, 4) AS val, round(phi, 5) AS phi FROM long
+@query("m08_explain_case", f"""WITH {USERS}, {PHI_SQL}, long AS ({LONG}) SELECT pred, round(x, 4) AS val, round(phi + {NUDGE}, 5) AS phi FROM long
   WHERE case_id = (SELECT min(user_id) FROM events)""")
 def m08(spark, sf):
     users = user_features(spark, sf)
@@ -55,11 +57,11 @@ def m08(spark, sf):
         F.struct(F.lit(t).alias("pred"), F.round(t, 4).alias("val"), F.col(f"phi_{t}").alias("phi")) for t in EVENT_COEFS
     ])))
     first = table(spark, sf, "events").agg(F.min("user_id")).first()[0]
-    return at.explain_case(long, first).withColumn("phi", F.round("phi", 5))
+    return at.explain_case(long, first).withColumn("phi", F.round(F.col("phi") + NUDGE, 5))
 
 
 @query("a18_attribution_summary", f"""WITH {USERS}, {PHI_SQL}, long AS ({LONG})
-  SELECT pred AS feature, round(avg(abs(phi)), 5) AS mean_abs_phi, round(corr(x, phi), 5) AS direction FROM long GROUP BY 1""")
+  SELECT pred AS feature, round(avg(abs(phi)) + {NUDGE}, 5) AS mean_abs_phi, round(corr(x, phi), 5) AS direction FROM long GROUP BY 1""")
 def a18(spark, sf):
     users = user_features(spark, sf)
     phi = at.linear_attributions(users, EVENT_COEFS).join(users, "case_id")
@@ -67,7 +69,7 @@ def a18(spark, sf):
         F.struct(F.lit(t).alias("feature"), F.col(t).alias("x"), F.col(f"phi_{t}").alias("phi")) for t in EVENT_COEFS
     ])))
     summary = at.attribution_summary(long)
-    return summary.select("feature", F.round("mean_abs_phi", 5).alias("mean_abs_phi"), F.round("direction", 5).alias("direction"))
+    return summary.select("feature", F.round(F.col("mean_abs_phi") + NUDGE, 5).alias("mean_abs_phi"), F.round("direction", 5).alias("direction"))
 
 
 @query("m01_split_sizes", """SELECT o_orderstatus AS status, count(*) AS cases, CAST(floor(count(*) * 0.8 + 0.5) AS BIGINT) AS train
