@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..rules import any_of
+from ..session import materialize
+
 #: Rows of a boundary bucket that one task may order.
 BOUNDARY_ROWS = 1_000_000
 #: Different features on one tree path; pattern tables grow with 2 to this power.
@@ -42,41 +45,53 @@ def stratified_split(
     plain comparison per row, the same on every run and for every partitioning.
     """
     key = F.xxhash64(F.col(id_col), F.lit(seed))
-    hashed = df.select(F.col(label).alias("cls"), F.col(id_col).alias("id"), key.alias("h"))
+    hashed = materialize(
+        df.select(F.col(label).alias("cls"), F.col(id_col).alias("id"), key.alias("h"))
+    )
     sizes = {r["cls"]: r["n"] for r in hashed.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = {cls: math.floor(n * fraction + 0.5) for cls, n in sizes.items()}
+    cuts = _cuts(hashed, {c: need for c, need in wanted.items() if 0 < need < sizes[c]})
     flag: Column = F.lit(False)
-    for cls, size in sizes.items():
-        same = F.col("cls").eqNullSafe(F.lit(cls))
-        need = math.floor(size * fraction + 0.5)
-        if need == 0:
-            continue
+    for cls, need in wanted.items():
         in_class = F.col(label).eqNullSafe(F.lit(cls))
-        if need == size:
+        if need == sizes[cls]:
             flag = flag | in_class
-            continue
-        last_h, last_id = _cut(hashed.where(same), need)
-        before = (key < F.lit(last_h)) | ((key == F.lit(last_h)) & (F.col(id_col) <= F.lit(last_id)))
-        flag = flag | (in_class & before)
+        elif cls in cuts:
+            last_h, last_id = cuts[cls]
+            same_hash = (key == F.lit(last_h)) & (F.col(id_col) <= F.lit(last_id))
+            flag = flag | (in_class & ((key < F.lit(last_h)) | same_hash))
     return df.withColumn("is_train", flag)
 
 
-def _cut(hashed: DataFrame, need: int) -> tuple[int, object]:
-    """The ``need``-th (h, id) in order, by narrowing hash ranges."""
-    part = hashed
+def _cuts(hashed: DataFrame, need: dict) -> dict:
+    """Per class the ``need``-th (h, id) in order, by narrowing hash ranges.
+
+    Every step counts at most 4096 ranges per class, for all classes together.
+    """
+    if not need:
+        return {}
+    need = dict(need)
+    part = hashed.where(any_of([F.col("cls").eqNullSafe(F.lit(c)) for c in need]))
     for shift in (52, 40, 28, 16):
-        counts = part.groupBy(F.shiftright("h", shift).alias("b")).agg(
-            F.count(F.lit(1)).alias("n")
-        )  # at most 4096 ranges
-        for row in sorted(counts.collect(), key=lambda r: r["b"]):
-            if need <= row["n"]:
-                break
-            need -= row["n"]
-        part = part.where(F.shiftright("h", shift) == row["b"])
-        if row["n"] <= BOUNDARY_ROWS:
+        bucket = F.shiftright("h", shift)
+        counts: dict[object, list[tuple[int, int]]] = {}
+        for row in part.groupBy("cls", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(row["cls"], []).append((row["b"], row["n"]))
+        held = {}
+        for cls, ranges in counts.items():
+            for b, n in sorted(ranges):
+                if need[cls] <= n:
+                    held[cls] = (b, n)
+                    break
+                need[cls] -= n
+        part = part.where(
+            any_of([F.col("cls").eqNullSafe(F.lit(c)) & (bucket == b) for c, (b, _) in held.items()])
+        )
+        if all(n <= BOUNDARY_ROWS for _, n in held.values()):
             break
     nth = F.row_number().over(W.partitionBy("cls").orderBy("h", "id"))
-    hit = part.withColumn("nth", nth).where(F.col("nth") == need).first()
-    return hit["h"], hit["id"]
+    wanted = any_of([F.col("cls").eqNullSafe(F.lit(c)) & (F.col("nth") == n) for c, n in need.items()])
+    return {r["cls"]: (r["h"], r["id"]) for r in part.withColumn("nth", nth).where(wanted).collect()}
 
 
 # ---------------------------------------------------------------- models
@@ -249,13 +264,24 @@ def _cover_patterns(leaf: Leaf) -> dict[int, float]:
     return out
 
 
-def _patterns(leaf: Leaf, x):
-    """Pattern number of each row of the matrix ``x`` for one leaf."""
-    own = np.zeros(len(x), dtype=np.int64)
-    for j, f in enumerate(leaf.features):
-        passed = (x[:, f] > leaf.low[j]) & (x[:, f] <= leaf.high[j])
-        own |= passed.astype(np.int64) << j
-    return own
+def _pattern_counter() -> Callable:
+    """Function for the tasks: pattern number of each row of a matrix for one leaf.
+
+    It is made here, not looked up by name, so workers need no copy of this package.
+    """
+
+    def patterns(leaf: tuple, x: np.ndarray) -> np.ndarray:
+        own = np.zeros(len(x), dtype=np.int64)
+        for j, (f, low, high) in enumerate(zip(*leaf)):
+            own |= ((x[:, f] > low) & (x[:, f] <= high)).astype(np.int64) << j
+        return own
+
+    return patterns
+
+
+def _tests(leaves: Sequence[Leaf]) -> list[tuple]:
+    """What the tasks need of each leaf: features and bounds."""
+    return [(leaf.features, leaf.low, leaf.high) for leaf in leaves]
 
 
 def background_patterns(
@@ -266,15 +292,16 @@ def background_patterns(
     All background rows are used: each task counts its own rows and sends at most one
     number per leaf and pattern.
     """
-    leaf_list = list(leaves)
+    tests = _tests(leaves)
     names = list(features)
+    patterns = _pattern_counter()
 
     def count(batches: Iterator) -> Iterator:
         totals: dict[tuple[int, int], int] = {}
         for batch in batches:
             x = batch[names].to_numpy(dtype="float64")
-            for i, leaf in enumerate(leaf_list):
-                values, counts = np.unique(_patterns(leaf, x), return_counts=True)
+            for i, leaf in enumerate(tests):
+                values, counts = np.unique(patterns(leaf, x), return_counts=True)
                 for v, c in zip(values, counts):
                     totals[i, int(v)] = totals.get((i, int(v)), 0) + int(c)
         rows = [(i, v, c) for (i, v), c in totals.items()]
@@ -323,17 +350,18 @@ def tree_attributions(
         np.asarray(_shapley_table(leaf, references.get(i, {}))).reshape(1 << len(leaf.features), -1)
         for i, leaf in enumerate(leaf_list)
     ]
-    shared = df.sparkSession.sparkContext.broadcast((leaf_list, tables))
+    shared = df.sparkSession.sparkContext.broadcast((_tests(leaf_list), tables))
     width = len(features)
+    patterns = _pattern_counter()
 
     @F.pandas_udf("array<double>")
     def attribute(*columns: pd.Series) -> pd.Series:
-        held, phis = shared.value
+        tests, phis = shared.value
         x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
         out = np.zeros((len(x), width))
-        for leaf, table in zip(held, phis):
-            if leaf.features:
-                out[:, leaf.features] += table[_patterns(leaf, x)]
+        for leaf, table in zip(tests, phis):
+            if leaf[0]:
+                out[:, leaf[0]] += table[patterns(leaf, x)]
         return pd.Series(list(out))
 
     cols = [F.col(f).cast("double") for f in features]

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.attribution import top_literals
-from ..operators.gain import Bias, Weighted, derive_bias, weigh
+from ..operators.gain import Bias, Weighted, weigh
 from ..operators.prep import CaseTable
 from ..rules import Literal, Theory
-from .learn import GreedySearch, LearnSettings, Side
+from .learn import GreedySearch, LearnSettings, Side, grouped_bias
 from .prune import prune
 
 #: Attributions are summed as integers of this many parts per unit, so that totals do not
@@ -69,7 +69,8 @@ def learn_guided_rules(
 ) -> Theory:
     """Learn rules whose literals are among the ``top`` by summed attribution."""
     settings = settings or LearnSettings(min_accuracy=0.8, stop_accuracy=0.8)
-    search = GuidedSearch(weigh_guided(cases), bias or derive_bias(cases), settings, top)
+    base = weigh_guided(cases)
+    search = GuidedSearch(base, bias or grouped_bias(base), settings, top)
     try:
         theory = search.run()
         return prune(search.df, theory) if post_prune else theory

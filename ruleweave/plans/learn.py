@@ -175,6 +175,11 @@ class GreedySearch:
         return Theory(target, rules, tuple(self.exceptions)).reachable()
 
 
+def grouped_bias(base: Weighted) -> Bias:
+    """Modes read off grouped cases, which hold every literal of the cases."""
+    return derive_bias(CaseTable(base.df, base.attrs, base.unary))
+
+
 def learn_rules(
     cases: CaseTable | Weighted,
     bias: Bias | None = None,
@@ -184,11 +189,8 @@ def learn_rules(
     """Learn a theory for the positive cases."""
     from .prune import prune
 
-    if bias is None:
-        if not isinstance(cases, CaseTable):
-            raise ValueError("a bias is needed for grouped cases")
-        bias = derive_bias(cases)
     base = cases if isinstance(cases, Weighted) else weigh(cases)
+    bias = bias or grouped_bias(base)
     search = GreedySearch(base, bias, settings or LearnSettings())
     try:
         theory = search.run()
