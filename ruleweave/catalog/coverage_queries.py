@@ -11,6 +11,7 @@ from ..operators.gain import (
     argmax_literal,
     candidate_counts,
     case_weights,
+    derive_bias,
     facts_candidate_counts,
     literals_in,
     rank_literals,
@@ -19,14 +20,12 @@ from ..operators.gain import (
 )
 from ..operators.prep import to_facts
 from ..plans.learn import grow_steps
-from ..operators.gain import derive_bias
 from ..plans.prune import coverage_of
 from ..rules import Literal, Rule, Theory, rule_condition
 from .datasets import (
     DOCUMENTS,
     ORDER_FACTS,
     ORDER_FLAG_FACTS,
-    ORDERS,
     WIDE_ORDERS,
     document_cases,
     orders_cases,

@@ -13,9 +13,7 @@ from ..sources import writers as wr
 from .coverage_queries import FIRED, HIT, THEORY, cases
 from .datasets import (
     ATTRIBUTIONS,
-    BASKETS,
     ORDER_FLAG_FACTS,
-    ORDERS,
     SUBSETS,
     WIDE_ORDERS,
     baskets,

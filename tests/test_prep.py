@@ -23,7 +23,7 @@ from ruleweave.operators.prep import (
     remap,
     to_facts,
 )
-from ruleweave.operators.ranks import _quantiles_by_rank, exact_quantiles, running_sums
+from ruleweave.operators.ranks import _quantiles_by_rank, exact_quantiles, numbered, running_sums
 
 
 def column(spark, values):
@@ -66,6 +66,14 @@ def test_running_sums(spark):
     assert list(got["cum_a"]) == list(got["a"].cumsum()) and list(got["cum_b"]) == list(range(1, 501))
 
 
+def test_numbering_is_gapless_and_ordered(spark):
+    rows = [(chr(97 + i % 3), i if i else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "a string, b int").repartition(6)
+    got = [(r["a"], r["b"]) for r in numbered(df, "a", "b", parts=5).orderBy("nth").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1]))
+    assert [r["nth"] for r in numbered(df, "a", "b").orderBy("nth").collect()] == list(range(200))
+
+
 def test_one_hot_and_redundant_values(spark):
     df = spark.createDataFrame(
         [(1, 0, "b_x", 5), (2, 1, None, 6), (3, 1, "a.1", 7)], "case_id int, sex int, kind string, n int"
