@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, near_dedup, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,3 +53,50 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         carry={"text_sha256": F.sha2(exact_dedup.squeezed(text), 256)},
     )
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_components(table(spark, sf_dir, "documents"), words=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: Rules of the query: (host, path, verdict).
+URL_RULES = [
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+]
+
+
+@query(
+    "op2_url_rules",
+    r"""
+    with a as (
+      select page_id,
+             case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest
+      from pages
+    ), b as (
+      select page_id, regexp_extract(rest, '^[^/?#]*') as raw, rest from a
+    ), c as (
+      select page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path
+      from b
+    ), d as (
+      select *, case
+        when (host = 'example.net' or host like '%.example.net') and path like '/en/%' then 'example.net/en/'
+        when (host = 'net' or host like '%.net') and path like '/%' then 'net/'
+        when (host = 'example.com' or host like '%.example.com') and path like '/de/%' then 'example.com/de/'
+        when (host = 'org' or host like '%.org') and path like '/fr/%' then 'org/fr/'
+      end as rule from c
+    )
+    select page_id, host, path, rule,
+           case when rule in ('net/', 'example.com/de/') then 'block' else 'allow' end as verdict
+    from d
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    judged = url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
