@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, url_rules
+from . import bpe_automaton, exact_dedup, near_dedup, packing, token_planes, url_rules
+from .ship import new_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Files of the public tokenizers; their folder is a parameter of the installation.
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,7 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query; ``sql`` computes the same rows on the same tables."""
 
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -27,6 +35,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def public_tokenizer(name: str) -> str:
+    """Path of a public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -100,3 +115,33 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     judged = url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_token_planes")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    token_planes.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizer(WORD_BPE), end_id=1)
+    return token_planes.read_tokens(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(
+        table(spark, sf_dir, "documents"), public_tokenizer(WORD_BPE), end_id=1, capacity=4096
+    ).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    packed = packing.pack(pieces, 4096, ["doc_id", "ids_crc32", "piece"])
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op10_bpe_automaton")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe_automaton.encode_documents(docs, public_tokenizer(BYTE_BPE))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
