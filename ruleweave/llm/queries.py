@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, exact_dedup, near_dedup, packing, token_planes, url_rules
+from . import (
+    bpe_automaton,
+    exact_dedup,
+    html_text,
+    licenses,
+    near_dedup,
+    packing,
+    token_planes,
+    topk_search,
+    url_rules,
+)
 from .ship import new_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +155,40 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = html_text.extract_pages(pages).select("page_id", "url", "text")
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op8_licenses")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan_documents(docs).select("doc_id", "licenses.*")
+    base = F.filter("matches", lambda m: m["base"])
+
+    def labels(matches: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
+
+    # Wording that is found in full speaks for a license the more, the longer it is.
+    longest = F.array_max(F.transform("matches", lambda m: m["length"]))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(F.transform(base, lambda m: m["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda m: m["start"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("matches")).alias("labels"),
+        F.coalesce(longest / (longest + 2.0), F.lit(0.0)).alias("score"),
+    )
+
+
+@query("op9_topk_search")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_inner_products(
+        table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5
+    )
