@@ -11,28 +11,27 @@ from ..session import materialize
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of ``links`` (a, b): the smallest node it is joined to.
 
-    Labels fall to the smallest label among neighbours, then to the label of the label, so
-    the number of rounds follows the logarithm of the longest path. Each round is one
+    A label falls to the smallest one among its neighbours' and to the label of its label,
+    so the number of rounds follows the logarithm of the longest path. Each round is one
     aggregation with map-side combining and writes one small table; a node with very many
     links costs one partial row per task. Null nodes are ignored.
     """
-    kept = links.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
-    both = materialize(kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(
-        F.least(F.col("node"), F.min("b")).alias("label")
-    ))
+    kept = links.select("a", "b").where("a is not null and b is not null and a <> b")
+    both = materialize(kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = materialize(
+        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        .select("node", F.least("node", "near").alias("label"))
+    )
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("label").alias("near")
         )
-        lower = labels.join(near, F.col("node") == F.col("a")).select(
-            "node", F.least("label", "near").alias("label"), F.col("label").alias("was")
+        above = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
+        labels = materialize(
+            labels.select("node", "label").join(near, "node").join(above, "label").select(
+                "node", F.least("label", "near", "above").alias("label"), F.col("label").alias("was")
+            )
         )
-        up = materialize(lower)
-        jumped = up.join(
-            up.select(F.col("node").alias("label"), F.col("label").alias("above")), "label", "left"
-        ).select("node", F.coalesce("above", "label").alias("label"), "was")
-        labels = materialize(jumped)
         if labels.where("label <> was").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")

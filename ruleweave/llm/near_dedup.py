@@ -6,8 +6,8 @@ bit. Samples two texts share cancel out in the XOR of their bitmaps, so its popu
 tells how many they do not share, precisely for high similarities.
 
 Texts that agree in a whole band of samples are candidates. A bucket of a band is never
-expanded into all its pairs: each round names one member of every bucket (later several) as
-its head, screens and confirms the others against the heads, joins what is linked into
+expanded into all its pairs: each round (the first one over a few bands only) names one
+member of every bucket (later several) as its head, screens and confirms the others against the heads, joins what is linked into
 components, and goes on only with buckets whose members still belong to different
 components. Heads are taken out once all others have met them, so every pair of different
 components in a bucket is tested sooner or later, and pairs inside a component never again.
@@ -23,16 +23,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..session import materialize
 from .components import components
 
 #: Bands and samples per band. A pair at similarity 0.8 shares no band with probability
-#: (1 - 0.8^5)^40 = 1.3e-7; links along other members of its component remain besides.
-BANDS, ROWS = 40, 5
+#: (1 - 0.8^7)^64 = 2.9e-7; links along other members of its component remain besides.
+BANDS, ROWS = 64, 7
+#: Bands of the first round, which joins most of each large group.
+FIRST_BANDS = 6
 #: 64-bit words of an odd sketch.
-SKETCH_WORDS = 8
+SKETCH_WORDS = 16
 #: The screen passes a pair unless its estimate is this many deviations below the least
 #: similarity that counts.
 DEVIATIONS = 6.0
@@ -80,16 +82,18 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def samples(hashes: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """MinHash samples: the least value of each of ``k`` random functions."""
+    """MinHash samples: the least value of each of ``k`` random functions of 32 bits."""
     rng = np.random.default_rng(seed)
-    a = rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, k, dtype=np.uint64)
-    least = np.full(k, np.uint64(_MASK), dtype=np.uint64)
-    step = max(1, (1 << 19) // k)
-    for start in range(0, len(hashes), step):
-        part = hashes[start : start + step, None]
-        np.minimum(least, (part * a + b).min(axis=0), out=least)
-    return least
+    a = rng.integers(0, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 1 << 32, k, dtype=np.uint32)
+    least = np.full(k, np.uint32(0xFFFFFFFF), dtype=np.uint32)
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    step = max(1, (1 << 17) // k)
+    for start in range(0, len(low), step):
+        values = low[start : start + step, None] * a
+        values += b
+        np.minimum(least, values.min(axis=0), out=least)
+    return least.astype(np.uint64)
 
 
 def odd_sketch(least: np.ndarray, words: int) -> np.ndarray:
@@ -164,7 +168,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row_hash"),
     )
     chosen = rows.join(wanted, ["node", "row_hash"], "left_semi").select("node", "text__")
-    kind = StructType([chosen.schema["node"], StructField("members", rows_of_long())])
+    kind = StructType([chosen.schema["node"], StructField("members", ArrayType(LongType()))])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,12 +180,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
     return chosen.mapInArrow(full, kind)
 
 
-def rows_of_long():
-    from pyspark.sql.types import ArrayType
-
-    return ArrayType(LongType())
-
-
 def _xor_count(a: str, b: str) -> Column:
     """Population count of the XOR of two sketches."""
     counts = [F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_WORDS)]
@@ -258,17 +256,16 @@ def near_components(
     split = ids.where("a <> high").select("id__", "a")
     same_id = members.join(split, "id__").select("a", F.col("rep").alias("b")).where("a <> b")
 
-    links = materialize(same_id.distinct())
     n_nodes = nodes.count()
     allowed = flips_allowed(bands * rows, 64 * SKETCH_WORDS, percent / 100)
-    open_rows = materialize(
-        nodes.select("node", F.explode("bands").alias("bucket")).distinct()
-    )
-    sizes = materialize(open_rows.groupBy("bucket").count().where("count > 1").select("bucket"))
-    open_rows = open_rows.join(sizes, "bucket", "left_semi")
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    several = keyed.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = materialize(keyed.join(several, "bucket", "left_semi").distinct())
+    links = materialize(same_id.distinct())
     labels = components(links)
-    heads = 1
-    while True:
+    open_rows, heads, last = shared.where(F.col("band") < FIRST_BANDS), 1, False
+    whole = False  # whether all bands are in play
+    while not last:
         labelled = materialize(
             open_rows.join(labels, "node", "left").select(
                 "bucket", "node", F.coalesce("label", "node").alias("label")
@@ -282,33 +279,33 @@ def near_components(
             ).where("pairs > 0")
         )
         total = left.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        if total == 0:
+        if total == 0 and whole:
             break
         active = labelled.join(left.select("bucket"), "bucket", "left_semi")
-        last = total <= pairs_per_text * n_nodes
-        if last:
-            first = active
-            rest = active
-        else:
-            active = active.withColumn("slot", F.pmod(F.xxhash64("node", F.lit(heads)), F.lit(heads)))
-            chosen = materialize(
-                active.groupBy("bucket", "slot").agg(F.min("node").alias("node")).select("bucket", "node")
+        last = whole and total <= pairs_per_text * n_nodes
+        first = active
+        if not last:
+            slot = F.pmod(F.xxhash64("node", F.lit(heads)), F.lit(heads))
+            first = materialize(
+                active.groupBy("bucket", slot.alias("slot"))
+                .agg(F.min(F.struct("node", "label")).alias("head"))
+                .select("bucket", "head.node", "head.label")
             )
-            first = active.join(chosen, ["bucket", "node"], "left_semi").select("bucket", "node", "label")
-            rest = active.join(chosen, ["bucket", "node"], "left_anti").select("bucket", "node", "label")
-            first = materialize(first)
-            rest = materialize(rest)
-        one = first.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
         # Heads meet each other once and everything that is no head.
+        one = first.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
         others = active.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
         pairs = one.join(others, "bucket").where("label_a <> label_b")
+        if last:
+            pairs = pairs.where("a < b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = _confirmed(pairs, nodes, docs, id_col, text_col, words, percent, allowed)
         links = materialize(links.unionByName(found))
         labels = components(links)
-        if last:
-            break
-        open_rows, heads = rest.select("bucket", "node"), heads * 8
+        if whole:  # heads have met all the others of their buckets
+            open_rows = active.join(first, ["bucket", "node"], "left_anti").select("bucket", "node")
+            heads *= 8
+        else:
+            open_rows, whole = shared.select("bucket", "node"), True
 
     named = materialize(
         groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
