@@ -16,6 +16,7 @@ from . import (
     packing,
     token_planes,
     topk_search,
+    toxicity,
     url_rules,
 )
 from .ship import new_folder, ship
@@ -192,3 +193,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_inner_products(
         table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5
     )
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
