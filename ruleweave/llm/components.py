@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import BROADCAST_ROWS, materialize
+
+#: Rows per file of the tables written between rounds.
+PER_FILE = 500_000
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A hint to broadcast ``df`` if its counted rows are few; else Spark decides."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,20 +26,22 @@ def components(links: DataFrame) -> DataFrame:
     """
     kept = links.select("a", "b").where("a is not null and b is not null and a <> b")
     both = materialize(kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-        .select("node", F.least("node", "near").alias("label"))
-    )
+    size = both.count()
+    files = size // PER_FILE + 1
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+    labels = materialize(first.select("node", F.least("node", "near").alias("label")).coalesce(files))
+    if not size:
+        return labels
+    nodes = labels.count()
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.min("label").alias("near")
-        )
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        labels = materialize(
-            labels.select("node", "label").join(near, "node").join(above, "label").select(
-                "node", F.least("label", "near", "above").alias("label"), F.col("label").alias("was")
-            )
+        known = if_small(labels.select(F.col("node").alias("b"), "label"), nodes)
+        near = both.join(known, "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        own = if_small(labels.select("node", "label"), nodes)
+        above = if_small(labels.select(F.col("node").alias("label"), F.col("label").alias("above")), nodes)
+        lower = near.join(own, "node").join(above, "label").select(
+            "node", F.least("label", "near", "above").alias("label"), F.col("label").alias("was")
         )
+        labels = materialize(lower.coalesce(files))
         if labels.where("label <> was").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..session import materialize
-from .components import components
+from .components import components, if_small
 
 #: Bands and samples per band. A pair at similarity 0.8 shares no band with probability
 #: (1 - 0.8^7)^64 = 2.9e-7; links along other members of its component remain besides.
@@ -208,8 +208,9 @@ def _confirmed(
         .select("a", "b")
     )
     named = screened.select(F.col("a").alias("node")).unionByName(screened.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(named, "node", "left_semi").select("node", "row_hash").distinct()
-    sets = materialize(_sets(docs, wanted, id_col, text_col, words))
+    wanted = materialize(nodes.join(named, "node", "left_semi").select("node", "row_hash").distinct())
+    # With few texts wanted, the others need not move.
+    sets = materialize(_sets(docs, if_small(wanted, wanted.count()), id_col, text_col, words))
     both = (
         screened.join(sets.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b")
@@ -266,44 +267,49 @@ def near_components(
     open_rows, heads, last = shared.where(F.col("band") < FIRST_BANDS), 1, False
     whole = False  # whether all bands are in play
     while not last:
-        labelled = materialize(
-            open_rows.join(labels, "node", "left").select(
-                "bucket", "node", F.coalesce("label", "node").alias("label")
-            )
+        labelled = open_rows.join(if_small(labels, labels.count()), "node", "left").select(
+            "bucket", "node", F.coalesce("label", "node").alias("label")
         )
-        # Pairs of different components that are left in each bucket.
-        per_label = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        left = materialize(
-            per_label.groupBy("bucket").agg(
-                ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")
-            ).where("pairs > 0")
+        slot = F.pmod(F.xxhash64("node", F.lit(heads)), F.lit(heads)).alias("slot")
+        buckets = labelled.groupBy("bucket", *([slot] if heads > 1 else [])).agg(
+            F.min(F.struct("node", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"),
         )
-        total = left.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        if total == 0 and whole:
+        if heads > 1:
+            mixed = buckets.groupBy("bucket").agg(
+                F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("head").alias("head")
+            )  # as many heads as slots at most
+        else:
+            mixed = buckets.withColumn("head", F.array("head"))
+        mixed = materialize(mixed.where("low <> high").select("bucket", "head"))
+        if mixed.isEmpty() and whole:
             break
-        active = labelled.join(left.select("bucket"), "bucket", "left_semi")
-        last = whole and total <= pairs_per_text * n_nodes
-        first = active
-        if not last:
-            slot = F.pmod(F.xxhash64("node", F.lit(heads)), F.lit(heads))
-            first = materialize(
-                active.groupBy("bucket", slot.alias("slot"))
-                .agg(F.min(F.struct("node", "label")).alias("head"))
-                .select("bucket", "head.node", "head.label")
+        # Members of different components than a head of their bucket.
+        met = materialize(
+            labelled.join(mixed, "bucket")
+            .withColumn("is_head", F.exists("head", lambda h: h["node"] == F.col("node")))
+        )
+        if whole and pairs_per_text:
+            per_label = met.groupBy("bucket", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+            total = (
+                per_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+                .agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("nn")) / 2, F.lit(0.0))).first()[0]
             )
-        # Heads meet each other once and everything that is no head.
-        one = first.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
-        others = active.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
-        pairs = one.join(others, "bucket").where("label_a <> label_b")
+            last = total <= pairs_per_text * n_nodes
         if last:
-            pairs = pairs.where("a < b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            one = met.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
+            others = met.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
+            pairs = one.join(others, "bucket").where("label_a <> label_b and a < b").select("a", "b")
+        else:
+            headed = met.select("node", "label", F.explode("head").alias("head")).where("label <> head.label")
+            pairs = headed.select(
+                F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")
+            )
         found = _confirmed(pairs, nodes, docs, id_col, text_col, words, percent, allowed)
         links = materialize(links.unionByName(found))
         labels = components(links)
         if whole:  # heads have met all the others of their buckets
-            open_rows = active.join(first, ["bucket", "node"], "left_anti").select("bucket", "node")
-            heads *= 8
+            open_rows = met.where("not is_head").select("bucket", "node")
+            heads = min(heads * 8, 512)
         else:
             open_rows, whole = shared.select("bucket", "node"), True
 
