@@ -171,13 +171,11 @@ class Matcher:
             if self._is_quoted(words, at, open_before):
                 quoted += 1
                 continue
-            if edits:
-                near += 1
-            elif entry.stem:
-                stems += 1
-            else:
-                plain += 1
-            value = entry.lean / (1 + edits)
+            # A misspelled term counts as a hit; how far to trust it is learned apart.
+            near += edits > 0
+            stems += entry.stem
+            plain += not entry.stem
+            value = entry.lean / (1 + edits / 4)
             weight += value
             strongest = max(strongest, value)
         kinds = len({entry.text for _, entry, _ in hits})
