@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranks import numbered
-from ..session import BROADCAST_ROWS
+from ..session import BROADCAST_ROWS, materialize
 from .tokens import encoder
 
 #: (length, first rank, number of documents, first sequence, offset): ranks and sequences
@@ -210,6 +210,8 @@ def pack(pieces: DataFrame, capacity: int, order: list[str], length_col: str = "
     exchanged. Lengths run from 1 to ``capacity``; other lengths, null among them, are an
     error. An empty table gives no rows.
     """
+    # Range partitioning reads its input twice; the written pieces are not encoded again.
+    pieces = materialize(pieces)
     ranked = numbered(pieces, length_col, *order, name="nth__")
     # At most one row per length.
     counts = {r[length_col]: r["count"] for r in ranked.groupBy(length_col).count().collect()}
