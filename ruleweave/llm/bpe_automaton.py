@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words remembered per worker; the memory is emptied when it is full.
-REMEMBERED = 600_000
+#: Words and arcs remembered per worker; the memory is emptied when it is full.
+REMEMBERED = 400_000
 
 #: The splitting pattern of byte-level byte-pair encoding.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -73,7 +73,7 @@ class Automaton:
         )
         #: Two white-space characters in a row; else every word begins at a blank or a line.
         self.runs = regex.compile(r"\s\s")
-        self.words: dict[str, array] = {}
+        self.words: dict[str, bytes] = {}
         # State 0 is the first one; a token's born is the number of the merge that made it.
         self.born = {i: 0 for label, i in labels.items() if len(label) == 1}
         self.left: dict[int, int] = {}
@@ -213,22 +213,23 @@ class Automaton:
         if not text:
             return array("i")
         pieces, words = self._pieces(text), self.words
-        if len(words) > self.remembered or len(self._seen) > 4 * self.remembered:
+        if len(words) > self.remembered or len(self._seen) > self.remembered:
             words.clear()
             self._seen.clear()
-        out = array("i")
-        for piece in pieces:
-            ids = words.get(piece)
-            if ids is None:
-                ids = array("i")
-                for word in self.splitter.findall(piece):
-                    part = words.get(word)
-                    if part is None:
-                        part = words[word] = self.encode_word(word.encode())
-                    ids += part
-                words[piece] = ids
-            out += ids
-        return out
+        try:
+            return array("i", b"".join(map(words.__getitem__, pieces)))
+        except KeyError:
+            pass
+        for piece in dict.fromkeys(pieces):
+            if piece in words:
+                continue
+            parts = []
+            for word in self.splitter.findall(piece):
+                if word not in words:
+                    words[word] = self.encode_word(word.encode()).tobytes()
+                parts.append(words[word])
+            words[piece] = b"".join(parts)
+        return array("i", b"".join(map(words.__getitem__, pieces)))
 
     def decode(self, ids) -> str:
         """Labels of the ids, joined; bytes that are no UTF-8 become replacement characters."""
@@ -281,7 +282,16 @@ def decoded(ids: Column, tokenizer: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = automaton(tokenizer)
         for batch in batches:
-            yield pa.array([None if v is None else machine.decode(v) for v in batch.to_pylist()], pa.string())
+            values, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_pylist()
+            known = batch.is_valid().to_pylist()
+            # One text's ids at a time become Python numbers.
+            yield pa.array(
+                [
+                    machine.decode(values[start:end].tolist()) if valid else None
+                    for valid, start, end in zip(known, ends, ends[1:], strict=False)
+                ],
+                pa.string(),
+            )
 
     return decode(ids)
 
