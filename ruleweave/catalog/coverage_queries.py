@@ -19,7 +19,7 @@ from ..operators.gain import (
     with_gain,
 )
 from ..operators.prep import to_facts
-from ..plans.learn import grow_steps
+from ..plans.learn import LearnSettings, grow_steps
 from ..plans.prune import coverage_of
 from ..rules import Literal, Rule, Theory, rule_condition
 from .datasets import (
@@ -334,14 +334,14 @@ def a15b(spark, sf):
     return report.select("cls", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("a16_roc_points", """WITH s AS (SELECT round(value, 1) AS threshold, count(*) FILTER (event_type = 'purchase') AS pos,
+@query("a16_roc_points", """WITH s AS (SELECT value AS threshold, count(*) FILTER (event_type = 'purchase') AS pos,
     count(*) FILTER (event_type <> 'purchase') AS neg FROM events GROUP BY 1)
   SELECT threshold, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp,
     round(sum(pos) OVER w / (SELECT sum(pos) FROM s), 6) AS tpr, round(sum(neg) OVER w / (SELECT sum(neg) FROM s), 6) AS fpr
   FROM s WINDOW w AS (ORDER BY threshold DESC)""")
 def a16(spark, sf):
     events = table(spark, sf, "events").select("value", (F.col("event_type") == "purchase").alias("is_pos"))
-    points = ev.roc_points(events, "value", digits=1)
+    points = ev.roc_points(events, "value")
     return points.select("threshold", "tp", "fp", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
 
 
@@ -393,7 +393,7 @@ def r01(spark, sf):
   SELECT 1 AS step, * FROM step1 UNION ALL SELECT 2, * FROM step2""")
 def r03(spark, sf):
     c = orders_cases(spark, sf)
-    steps = grow_steps(c, derive_bias(c), 2)
+    steps = grow_steps(c, derive_bias(c), 2, LearnSettings(use_mdl=False))
     rows = [(i + 1, l.pred, l.val, p, n) for i, (l, p, n) in enumerate(steps)]
     return spark.createDataFrame(rows, "step int, pred string, val string, p_cov bigint, n_cov bigint")
 

@@ -45,10 +45,10 @@ def s01(spark, sf):
     return rd.read_cases(spark, path, "id bigint, price double, priority string, label string")
 
 
-@query("s02_parse_facts", f"WITH {ORDER_FLAG_FACTS} SELECT pred, 'p' || case_id AS case_id, {NORM} AS val FROM facts WHERE pred <> 'priority'")
+@query("s02_parse_facts", f"WITH {ORDER_FLAG_FACTS} SELECT pred, 'p' || case_id AS case_id, {NORM} AS val FROM facts")
 def s02(spark, sf):
     """Facts written as text among directives and comments, and parsed again."""
-    facts = to_facts(cases(spark, sf)).where("pred <> 'priority'")
+    facts = to_facts(cases(spark, sf))
     noise = spark.createDataFrame(
         [(":-style_check(-discontiguous).",), ("foil_cwa(true).",), ("% positive(p1).",), ("h_positive(A):-segment(A,x).",)], "value string"
     )
@@ -104,17 +104,19 @@ def s04(spark, sf):
     return rd.parse_items(s12(spark, sf))
 
 
-USER_TX = """tx AS (SELECT user_id AS tid, CAST(substr(event_type, 1, 1) = 'c' AS INTEGER) + 2 * CAST(substr(event_type, 1, 1) = 'e' AS INTEGER)
-    + 3 * CAST(substr(event_type, 1, 1) = 'p' AS INTEGER) AS item, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS util
-  FROM events WHERE value > 50 GROUP BY 1, 2)"""
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+USER_TX = f"""tx AS (SELECT user_id AS tid, list_position({EVENT_TYPES}, event_type) AS item,
+    CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS util
+  FROM events GROUP BY 1, 2)"""
 
 
 def coded_tx(spark, sf):
-    first = F.substring("event_type", 1, 1)
-    item = (first == "c").cast("int") + 2 * (first == "e").cast("int") + 3 * (first == "p").cast("int")
+    kinds = F.array(*[F.lit(t) for t in EVENT_TYPES])
     return merged_items(
-        table(spark, sf, "events").where("value > 50").select(
-            F.col("user_id").alias("tid"), item.alias("item"), F.round(F.col("value") * 100).cast("bigint").alias("util")
+        table(spark, sf, "events").select(
+            F.col("user_id").alias("tid"), F.array_position(kinds, F.col("event_type")).cast("int").alias("item"),
+            F.round(F.col("value") * 100).cast("bigint").alias("util"),
         )
     )
 

@@ -192,12 +192,11 @@ ORDER_TX = f"""{ATTRIBUTIONS}, {DICTIONARY},
     FROM attributions JOIN cases USING (case_id) WHERE (is_pos AND phi > 0) OR (NOT is_pos AND phi < 0))"""
 
 
-@query("u06_attributions_to_tx", f"""WITH {ORDER_TX} SELECT case_id AS tid, item_id AS item, util FROM kept JOIN items USING (pred, val)
-  QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY util DESC, pred, val) <= 2""")
+@query("u06_attributions_to_tx", f"""WITH {ORDER_TX} SELECT case_id AS tid, item_id AS item, util FROM kept JOIN items USING (pred, val)""")
 def u06(spark, sf):
     cases, phi = guided_cases(spark, sf)
     items = at.item_dictionary(literals_in(cases))
-    return at.attributions_to_tx(phi, cases.df, items, top=2).select("tid", "item", "util")
+    return at.attributions_to_tx(phi, cases.df, items).select("tid", "item", "util")
 
 
 @query("r08_utility_clause", f"""WITH RECURSIVE {ORDER_TX}, pk AS (SELECT case_id AS tid, pred || '=' || val AS item, util FROM kept WHERE is_pos),

@@ -81,26 +81,26 @@ def item_dictionary(literals: DataFrame) -> DataFrame:
 
 
 def attributions_to_items(
-    attributions: DataFrame, examples: DataFrame, top: int = 100, truncate: bool = False
+    attributions: DataFrame, examples: DataFrame, top: int | None = None, truncate: bool = False
 ) -> DataFrame:
     """The literals that pushed each case towards its own class, with fixed-point size.
 
-    Positive cases keep positive attributions, negative cases negative ones; the ``top``
-    largest per case remain: (case_id, is_pos, pred, val, util).
+    Positive cases keep positive attributions, negative cases negative ones; of them the ``top``
+    largest per case remain, or all: (case_id, is_pos, pred, val, util).
     """
     known = attributions.join(examples.select("case_id", "is_pos"), "case_id")
     towards = (F.col("is_pos") & (F.col("phi") > 0)) | (~F.col("is_pos") & (F.col("phi") < 0))
     sized = known.where(towards).select(
         "case_id", "is_pos", "pred", "val", to_utility("phi", truncate).alias("util")
     )
-    return top_per_case(sized, top, ties=("pred", "val"))
+    return sized if top is None else top_per_case(sized, top, ties=("pred", "val"))
 
 
 def attributions_to_tx(
     attributions: DataFrame,
     examples: DataFrame,
     items: DataFrame,
-    top: int = 100,
+    top: int | None = None,
     truncate: bool = False,
 ) -> DataFrame:
     """Utility transactions with item ids: (tid, is_pos, item, util)."""

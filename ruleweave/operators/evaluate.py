@@ -25,7 +25,8 @@ def metric_columns(tp: Column, tn: Column, fp: Column, fn: Column) -> list[Colum
 
 
 def confusion_aggregates(pred: str = "pred", label: str = "is_pos") -> list[Column]:
-    p, y = F.col(pred), F.col(label)
+    # A missing prediction or label does not hold.
+    p, y = (F.coalesce(F.col(c), F.lit(False)) for c in (pred, label))
     return [
         F.count_if(p & y).alias("tp"),
         F.count_if(~p & ~y).alias("tn"),
@@ -85,7 +86,7 @@ def roc_points(df: DataFrame, score: str, label: str = "is_pos", digits: int | N
     """
     value = F.round(score, digits) if digits is not None else F.col(score)
     counts = df.where(F.col(score).isNotNull()).groupBy(value.alias("threshold")).agg(
-        F.count_if(label).alias("pos"), F.count_if(~F.col(label)).alias("neg")
+        F.count_if(label).alias("pos"), F.count_if(~F.coalesce(F.col(label), F.lit(False))).alias("neg")
     )
     counts = materialize(counts)  # read for the totals and for the ranges
     totals = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
@@ -103,7 +104,7 @@ def roc_points(df: DataFrame, score: str, label: str = "is_pos", digits: int | N
 def auc(df: DataFrame, score: str, label: str = "is_pos") -> DataFrame:
     """Area under the ROC curve: (auc), ties counted half."""
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(
-        F.count_if(label).alias("pos"), F.count_if(~F.col(label)).alias("neg")
+        F.count_if(label).alias("pos"), F.count_if(~F.coalesce(F.col(label), F.lit(False))).alias("neg")
     )
     cum = running_sums(counts, "s", ["pos", "neg"], descending=False)
     # Positives beat all negatives below them and draw with those at the same score.

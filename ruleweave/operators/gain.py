@@ -23,7 +23,7 @@ class Bias:
     ``literal_count`` is the number of different literals the language has.
     """
 
-    recall: Mapping[str, int]
+    recall: Mapping[str, int | None]
     literal_count: int
     values: Mapping[str, frozenset[str]] | None = None
 
@@ -36,11 +36,12 @@ class Bias:
         used: dict[str, int] = {}
         for lit in body:
             used[lit.pred] = used.get(lit.pred, 0) + 1
-        return [a for a, times in self.recall.items() if used.get(a, 0) < times]
+        return [a for a, times in self.recall.items() if times is None or used.get(a, 0) < times]
 
 
-def derive_bias(cases: CaseTable, multi_recall: int = 3) -> Bias:
-    """Modes from the case table: one use per attribute, several for array attributes."""
+def derive_bias(cases: CaseTable, multi_recall: int | None = None) -> Bias:
+    """Modes from the case table: one use per attribute; array attributes may be used as
+    often as they gain, or ``multi_recall`` times."""
     recall = {a: multi_recall if cases.is_multi(a) else 1 for a in cases.attrs}
     return Bias(recall, literal_count(literals_in(cases)))
 
@@ -95,7 +96,7 @@ def weigh(cases: CaseTable, sums: Sequence[Column] = ()) -> Weighted:
         else F.col(a).cast("string").alias(a)
         for a in cases.attrs
     ]
-    pos = F.col("is_pos").cast("bigint")
+    pos = F.coalesce(F.col("is_pos"), F.lit(False)).cast("bigint")
     grouped = cases.df.groupBy(*keys).agg(
         F.sum(pos).alias("p_w"), F.sum(1 - pos).alias("n_w"), *sums
     )

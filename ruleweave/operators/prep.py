@@ -71,10 +71,16 @@ def remap(df: DataFrame, mapping: Mapping[str, Mapping[str, object]]) -> DataFra
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill numeric nulls with the column mean."""
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    """Fill numeric nulls and NaN with the mean of the other values."""
+    means = df.agg(*[F.avg(known(c)).alias(c) for c in cols]).first()
     fills = {c: means[c] for c in cols if means[c] is not None}
-    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in fills.items()})
+    return df.withColumns({c: F.coalesce(known(c), F.lit(m)) for c, m in fills.items()})
+
+
+def known(col: str) -> Column:
+    """A numeric column as double; NaN is a missing value."""
+    value = F.col(col).cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def impute_const(df: DataFrame, values: Mapping[str, object]) -> DataFrame:

@@ -33,14 +33,15 @@ from ..rules import Literal, Rule, Theory, any_of, literal_condition, rule_condi
 class LearnSettings:
     """``min_accuracy`` keeps a clause, ``stop_accuracy`` ends its growth early.
 
-    ``max_depth`` bounds exceptions of exceptions; ``max_rules`` bounds the rules per
+    ``max_depth`` bounds exceptions of exceptions (None: they end by themselves, as each
+    level works on fewer cases than the one above it); ``max_rules`` bounds the rules per
     head (None: until nothing is left to explain or nothing more can be learned).
     """
 
     target: str = "positive"
     min_accuracy: float = 0.99
     stop_accuracy: float = 0.99
-    max_depth: int = 2
+    max_depth: int | None = None
     use_mdl: bool = True
     max_rules: int | None = None
 
@@ -129,7 +130,7 @@ class GreedySearch:
         if not body or n_pos == 0:
             return None
         accuracy = n_pos / (n_pos + n_neg)
-        if depth < self.settings.max_depth and n_neg > 0:
+        if (self.settings.max_depth is None or depth < self.settings.max_depth) and n_neg > 0:
             head = self.learn_exceptions(body, pos, neg, n_pos, n_neg, depth)
             if head is not None:
                 body = [*body, Literal(head, None, True)]
@@ -200,10 +201,10 @@ def learn_rules(
 
 
 def grow_steps(
-    cases: CaseTable, bias: Bias, steps: int
+    cases: CaseTable, bias: Bias, steps: int, settings: LearnSettings | None = None
 ) -> list[tuple[Literal, int, int]]:
     """The first literals of the first clause, with what they cover."""
-    search = GreedySearch(weigh(cases), bias, LearnSettings(use_mdl=False))
+    search = GreedySearch(weigh(cases), bias, settings or LearnSettings())
     try:
         pos, neg = Side("p_w", F.lit(True)), Side("n_w", F.lit(True))
         n_pos, n_neg = search.count(pos, neg)

@@ -34,14 +34,14 @@ class UtilitySettings:
     target: str = "positive"
     min_accuracy: float = 0.8
     leftover: float = 0.3
-    max_failures: int = 30
+    max_failures: int | None = None
     max_rules: int | None = None
-    top_per_case: int = 100
+    top_per_case: int | None = None
     lookahead: int = 5
     truncate: bool = False
 
 
-def utility_base(cases: CaseTable, top: int = 100, truncate: bool = False) -> DataFrame:
+def utility_base(cases: CaseTable, top: int | None = None, truncate: bool = False) -> DataFrame:
     """Cases grouped by attributes, class and items: ``u_<attr>`` sums, ``p_w``, ``n_w``.
 
     ``cases`` carries ``phi_<attr>``. An item is present when its attribution points to
@@ -55,7 +55,7 @@ def utility_base(cases: CaseTable, top: int = 100, truncate: bool = False) -> Da
         utils[a] = F.when(towards & F.col(a).isNotNull(), to_utility(phi, truncate))
     df = cases.df.select("is_pos", *[F.col(a).cast("string").alias(a) for a in cases.attrs],
                          *[u.alias(f"u_{a}") for a, u in utils.items()])
-    if len(cases.attrs) > top:
+    if top is not None and len(cases.attrs) > top:
         order = F.array_sort(
             F.array_compact(
                 F.array(
@@ -205,7 +205,7 @@ class UtilitySearch:
         if n_pos / (n_pos + n_neg) >= self.settings.min_accuracy:
             return body, True
         saved = self.mined
-        bodies = self.exception_bodies(pos, neg, n_neg, (state, tuple(body)))
+        bodies = self.exception_bodies(pos, neg, n_pos, n_neg, (state, tuple(body)))
         self.mined = saved
         if not bodies:
             return None, True
@@ -221,9 +221,11 @@ class UtilitySearch:
         self.exceptions = [r for r in self.exceptions if r.head != head]
         return None, True
 
-    def exception_bodies(self, pos: Side, neg: Side, n_neg: int, state: object) -> list[list[Literal]]:
-        """Itemsets of the covered negatives until few of them are left unexplained."""
-        limit = max(1.0, self.settings.leftover * n_neg)
+    def exception_bodies(
+        self, pos: Side, neg: Side, n_pos: int, n_neg: int, state: object
+    ) -> list[list[Literal]]:
+        """Itemsets of the covered negatives until few are left, by the number of positives."""
+        limit = max(1.0, self.settings.leftover * n_pos)
         bodies: list[list[Literal]] = []
         left, remaining = neg, n_neg
         while remaining > limit:
@@ -241,7 +243,7 @@ class UtilitySearch:
         done: list[Column] = []
         failures = 0
         limit = self.settings.max_rules
-        while failures < self.settings.max_failures and (limit is None or len(rules) < limit):
+        while (self.settings.max_failures is None or failures < self.settings.max_failures) and (limit is None or len(rules) < limit):
             left = pos.within(~any_of(done))
             if self.count(left)[0] == 0:
                 break
