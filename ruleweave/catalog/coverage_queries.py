@@ -181,6 +181,25 @@ def a02b(spark, sf):
     return candidate_counts(base.df, base.attrs, F.col("p_w"), F.col("n_w"))
 
 
+@query("s03_bias_candidates", f"""WITH {ORDER_FLAG_FACTS}, c AS ({COUNTS})
+  SELECT * FROM c WHERE pred IN ('priority', 'price_q') OR (pred = 'region' AND val IN ('ASIA', 'EUROPE'))""")
+def s03_bias(spark, sf):
+    """Candidates under declarations read from text: no segment or flag, two regions."""
+    from ..operators.gain import attribute_modes, bias_filter, bias_from_tables
+    from ..sources import readers as rd
+    from ..sources import writers as wr
+
+    c = cases(spark, sf)
+    constants = spark.createDataFrame([("args_region", "ASIA"), ("args_region", "EUROPE")], "type string, val string")
+    lines = wr.render_modes(attribute_modes(c.df, ["priority", "price_q", "region"])).unionByName(
+        wr.render_constants(constants, normalize=False)
+    )
+    bias = bias_from_tables(rd.parse_modes(lines), rd.parse_constants(lines))
+    base = weigh(c)
+    counts = candidate_counts(base.df, bias.open_attrs([]), F.col("p_w"), F.col("n_w"))
+    return bias_filter(counts, bias)
+
+
 @query("a02_candidate_counts_facts", f"WITH {ORDER_FLAG_FACTS} {COUNTS}")
 def a02c(spark, sf):
     """The same counts from raw, repeated facts."""

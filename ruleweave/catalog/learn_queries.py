@@ -91,6 +91,27 @@ def r04b(spark, sf):
     return quality(c.df, learn_rules(c))
 
 
+@query("s03_bias_learn", f"""WITH {ORDERS}, planted AS (SELECT coalesce(priority = '1-URGENT' AND region = 'ASIA', false) AS is_pos
+    FROM cases) {PERFECT}""")
+def s03_learn(spark, sf):
+    """Rules learned under declarations read from text, which leave two attributes."""
+    from ..operators.gain import attribute_constants, attribute_modes, bias_from_tables
+    from ..sources import readers as rd
+    from ..sources import writers as wr
+
+    c = orders_cases(spark, sf)
+    p = planted(c, (F.col("priority") == "1-URGENT") & (F.col("region") == "ASIA"))
+    some = ["priority", "region"]
+    lines = wr.render_modes(attribute_modes(c.df, some)).unionByName(
+        wr.render_constants(attribute_constants(c.df, some), normalize=False)
+    )
+    theory = learn_rules(p, bias_from_tables(rd.parse_modes(lines), rd.parse_constants(lines)))
+    used = {lit.pred for r in theory.rules for lit in r.body}
+    if used != set(some):
+        raise AssertionError(f"the rules use {sorted(used)}")
+    return quality(p.df, theory)
+
+
 @query("r05_learn_documents_with_exceptions", f"WITH {PLANTED_DOCUMENTS} {PERFECT}")
 def r05(spark, sf):
     """Rules with exceptions for a planted label on documents, learned without any bound."""

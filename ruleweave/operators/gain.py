@@ -46,6 +46,27 @@ def derive_bias(cases: CaseTable, multi_recall: int | None = None) -> Bias:
     return Bias(recall, literal_count(literals_in(cases)))
 
 
+def bias_from_tables(modes: DataFrame, constants: DataFrame) -> Bias:
+    """What mode declarations allow: their predicates, recalls and constants.
+
+    A predicate whose constants are declared for its type takes only these; with a type
+    without constants it takes every value of the data. The declarations are what a person
+    writes, so they are read by the driver.
+    """
+    rows = modes.where("not is_head").collect()
+    known: dict[str, set[str]] = {}
+    for row in constants.distinct().collect():
+        known.setdefault(row["type"], set()).add(row["val"])
+    recall: dict[str, int | None] = {}
+    values: dict[str, frozenset[str]] = {}
+    for row in rows:
+        recall[row["pred"]] = max(recall.get(row["pred"]) or 0, row["recall"])
+        if row["kind"] == "const" and row["type"] in known:
+            values[row["pred"]] = frozenset(known[row["type"]])
+    count = language_size(modes, constants).first()["literals"] or 0
+    return Bias(recall, int(count), values)
+
+
 def literals_in(cases: CaseTable) -> DataFrame:
     """Distinct literals of the data: (pred, val)."""
     lits = literal_array(cases.df, cases.attrs, cases.unary)

@@ -16,6 +16,10 @@ FACT = r"^\s*(\w+)\(\s*([\w.]+)\s*(?:,\s*([^()]+?)\s*)?\)\s*\.\s*(?:%.*)?$"
 MODE = r"^\s*#mode([hb])\((?:\s*(\d+)\s*,)?\s*(\w+)\((.*)\)\s*\)\s*$"
 MODE_ARG = r"(var|const)\((\w+)\)"
 CONSTANT = r"^\s*#constant\(\s*(\w+)\s*,\s*(.+?)\s*\)\s*$"
+ATOM = r"(\w+)\(((?:'[^']*'|[^()'])*)\)\s*\."
+ATOM_ARG = r"'[^']*'|[^,']+"
+SKIPPED = r"^\s*(?:%|:-|foil_\w+\(|$)"
+VIEW = r"^\s*(\w+)\(\s*([A-Z]\w*)\s*\)\s*:-\s*(\w+)\(\s*([A-Z]\w*)\s*\)\s*\.\s*(?:%.*)?$"
 ITEM = r"^\s*(\d+)->(\w+)\(\w+,(.*)\)\s*$"
 ATTRIBUTION = r"^\s*data\(([^)]+)\):(\w+)\(\w+,([^)]*)\):(\S+)\s*$"
 TRANSACTION = r"^\w+\(([^)]*)\)::\s*([^:]*?)\s*:\s*(\d*)\s*:\s*([^:]*?)\s*$"
@@ -50,6 +54,50 @@ def parse_facts(lines: DataFrame) -> DataFrame:
     )
 
 
+def parse_atoms(lines: DataFrame) -> DataFrame:
+    """Every ground fact (pred, args) of any number of arguments, several per line too.
+
+    Quoted arguments lose their quotes. Directives, comments and rules are skipped; see
+    ``rejected_lines`` for what cannot be read.
+    """
+    plain = lines.where(~F.col("value").rlike(SKIPPED) & ~F.col("value").contains(":-"))
+    atoms = plain.select(F.explode(F.regexp_extract_all("value", F.lit(ATOM), F.lit(0))).alias("atom"))
+    args = F.regexp_extract_all(F.regexp_extract("atom", ATOM, 2), F.lit(ATOM_ARG), F.lit(0))
+    return atoms.select(
+        F.regexp_extract("atom", ATOM, 1).alias("pred"),
+        F.transform(
+            F.filter(args, lambda a: F.trim(a) != ""),
+            lambda a: F.regexp_replace(F.trim(a), "^'(.*)'$", "$1"),
+        ).alias("args"),
+    )
+
+
+def rejected_lines(lines: DataFrame) -> DataFrame:
+    """Lines that are neither facts nor comments, directives or rules: (value)."""
+    left = F.trim(F.regexp_replace("value", ATOM, ""))
+    return lines.where(
+        ~F.col("value").rlike(SKIPPED) & ~F.col("value").contains(":-") & (left != "") & ~left.startswith("%")
+    ).select("value")
+
+
+def relation_tables(atoms: DataFrame, arity: dict[str, int]) -> dict[str, DataFrame]:
+    """One table per named predicate with columns a0, a1 ..., as relational clauses use them."""
+    return {
+        pred: atoms.where((F.col("pred") == pred) & (F.size("args") == n)).select(
+            *[F.col("args")[i].alias(f"a{i}") for i in range(n)]
+        )
+        for pred, n in arity.items()
+    }
+
+
+def parse_views(lines: DataFrame) -> DataFrame:
+    """Rules that pass one variable on, ``bird(X) :- penguin(X).``: (head, source)."""
+    heads = (F.regexp_extract("value", VIEW, i) for i in (1, 3))
+    same = F.regexp_extract("value", VIEW, 2) == F.regexp_extract("value", VIEW, 4)
+    head, source = heads
+    return lines.where(F.col("value").rlike(VIEW) & same).select(head.alias("head"), source.alias("source"))
+
+
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return parse_facts(_lines(spark, path))
 
@@ -146,12 +194,24 @@ def read_attributions(spark: SparkSession, path: str) -> DataFrame:
     return parse_attributions(_lines(spark, path))
 
 
+def _joins() -> Column:
+    """Whether a rule's body has a variable in another place than the first."""
+    body = F.regexp_extract("value", RULE, 2)
+    return body.rlike(r"\w+\([^()]*,\s*[A-Z_]\w*\s*[,)]")
+
+
+def joined_rules(lines: DataFrame) -> DataFrame:
+    """Rules over several variables, whole: (value). They are clauses of relations."""
+    return lines.where(F.col("value").rlike(RULE) & _joins()).select("value")
+
+
 def parse_rules(lines: DataFrame) -> DataFrame:
     """Rules as (rule_text, head, lit_no, pred, val, negated), one row per literal.
 
-    ``h(A):-b1(A,x),not(ab0(A)).``; commented lines are no rules.
+    ``h(A):-b1(A,x),not(ab0(A)).``; commented lines are no rules. Rules that join through
+    further variables are not attribute rules: they are left out, see ``joined_rules``.
     """
-    rules = lines.where(F.col("value").rlike(RULE)).select(
+    rules = lines.where(F.col("value").rlike(RULE) & ~_joins()).select(
         F.trim("value").alias("rule_text"),
         F.regexp_extract("value", RULE, 1).alias("head"),
         F.regexp_extract_all(

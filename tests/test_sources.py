@@ -110,3 +110,22 @@ def test_rule_spellings(spark):
     )
     got = {(r["head"], r["lit_no"], r["pred"], r["val"], r["negated"]) for r in rd.parse_rules(lines).collect()}
     assert got == {("h", 0, "a", "x_1", False), ("h", 1, "ab0", None, True), ("h", 0, "b", None, False), ("h", 1, "ab1", None, True)}
+
+
+def test_atoms_views_and_rejected_lines(spark):
+    lines = spark.createDataFrame(
+        [("parent(ann,bob,carl).",), ("age(p-1,2). age(p2, 3).",), ("name('John S.',x).",), ("% no(x).",), (":-dynamic(a/1).",),
+         ("bird(X) :- penguin(X).",), ("bird(X) :- penguin(Y).",), ("broken(a",), ("",), ("flies(tweety). % yes",)], "value string")
+    atoms = {(r["pred"], tuple(r["args"])) for r in rd.parse_atoms(lines).collect()}
+    assert atoms == {("parent", ("ann", "bob", "carl")), ("age", ("p-1", "2")), ("age", ("p2", "3")),
+                     ("name", ("John S.", "x")), ("flies", ("tweety",))}
+    assert [r["value"] for r in rd.rejected_lines(lines).collect()] == ["broken(a"]
+    assert [tuple(r) for r in rd.parse_views(lines).collect()] == [("bird", "penguin")]
+    tables = rd.relation_tables(rd.parse_atoms(lines), {"age": 2, "flies": 1})
+    assert tables["age"].count() == 2 and tables["flies"].columns == ["a0"]
+
+
+def test_rules_with_joins_are_not_attribute_rules(spark):
+    lines = spark.createDataFrame([("h(A):-c(A,B),d(B,x).",), ("h(A):-c(A,y),not(ab0(A)).",)], "value string")
+    assert {r["pred"] for r in rd.parse_rules(lines).collect()} == {"c", "ab0"}
+    assert [r["value"] for r in rd.joined_rules(lines).collect()] == ["h(A):-c(A,B),d(B,x)."]
