@@ -38,8 +38,10 @@ SKETCH_WORDS = 16
 #: The screen passes a pair unless its estimate is this many deviations below the least
 #: similarity that counts.
 DEVIATIONS = 6.0
+#: Texts per file of the tables written between rounds.
+PER_FILE = 8_000
 #: All remaining pairs are tested at once when they are at most this many per text.
-PAIRS_PER_TEXT = 8
+PAIRS_PER_TEXT = 4
 
 _WORDS: dict[bytes, int] = {}
 _REMEMBERED = 1_000_000
@@ -191,7 +193,7 @@ def _xor_count(a: str, b: str) -> Column:
 
 def _confirmed(
     pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
-    words: int, percent: int, allowed: int,
+    words: int, percent: int, allowed: int, files: int,
 ) -> DataFrame:
     """Links among candidate pairs (a, b): screened by sketches, confirmed on full sets."""
     facts = nodes.select("node", "n_shingles", "sketch")
@@ -206,9 +208,12 @@ def _confirmed(
             & (_xor_count("sketch_a", "sketch_b") <= allowed)
         )
         .select("a", "b")
+        .coalesce(files)
     )
     named = screened.select(F.col("a").alias("node")).unionByName(screened.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(nodes.join(named, "node", "left_semi").select("node", "row_hash").distinct())
+    wanted = materialize(
+        nodes.join(named, "node", "left_semi").select("node", "row_hash").distinct().coalesce(files)
+    )
     # With few texts wanted, the others need not move.
     sets = materialize(_sets(docs, if_small(wanted, wanted.count()), id_col, text_col, words))
     both = (
@@ -217,7 +222,8 @@ def _confirmed(
         .withColumn("shared", F.size(F.array_intersect("set_a", "set_b")).cast("bigint"))
     )
     union = F.size("set_a") + F.size("set_b") - F.col("shared")
-    return materialize(both.where(100 * F.col("shared") >= percent * union).select("a", "b").distinct())
+    linked = both.where(100 * F.col("shared") >= percent * union).select("a", "b")
+    return materialize(linked.distinct().coalesce(files))
 
 
 def near_components(
@@ -258,21 +264,26 @@ def near_components(
     same_id = members.join(split, "id__").select("a", F.col("rep").alias("b")).where("a <> b")
 
     n_nodes = nodes.count()
+    files = n_nodes // PER_FILE + 1  # of the tables between rounds, which follow the texts
     allowed = flips_allowed(bands * rows, 64 * SKETCH_WORDS, percent / 100)
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    several = keyed.groupBy("bucket").count().where("count > 1").select("bucket")
-    shared = materialize(keyed.join(several, "bucket", "left_semi").distinct())
-    links = materialize(same_id.distinct())
+    several = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    met_often = materialize(keyed.join(several, "bucket"))
+    # A text that meets many others makes the best head: copies of one text link to it,
+    # though they may not to each other.
+    crowd = met_often.groupBy("node").agg((-F.sum("met")).alias("rank"))
+    shared = materialize(met_often.drop("met").distinct().join(crowd, "node"))
+    links = materialize(same_id.distinct().coalesce(files))
     labels = components(links)
     open_rows, heads, last = shared.where(F.col("band") < FIRST_BANDS), 1, False
     whole = False  # whether all bands are in play
     while not last:
         labelled = open_rows.join(if_small(labels, labels.count()), "node", "left").select(
-            "bucket", "node", F.coalesce("label", "node").alias("label")
+            "bucket", "rank", "node", F.coalesce("label", "node").alias("label")
         )
         slot = F.pmod(F.xxhash64("node", F.lit(heads)), F.lit(heads)).alias("slot")
         buckets = labelled.groupBy("bucket", *([slot] if heads > 1 else [])).agg(
-            F.min(F.struct("node", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"),
+            F.min(F.struct("rank", "node", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"),
         )
         if heads > 1:
             mixed = buckets.groupBy("bucket").agg(
@@ -280,7 +291,7 @@ def near_components(
             )  # as many heads as slots at most
         else:
             mixed = buckets.withColumn("head", F.array("head"))
-        mixed = materialize(mixed.where("low <> high").select("bucket", "head"))
+        mixed = materialize(mixed.where("low <> high").select("bucket", "head").coalesce(files))
         if mixed.isEmpty() and whole:
             break
         # Members of different components than a head of their bucket.
@@ -304,14 +315,14 @@ def near_components(
             pairs = headed.select(
                 F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")
             )
-        found = _confirmed(pairs, nodes, docs, id_col, text_col, words, percent, allowed)
-        links = materialize(links.unionByName(found))
+        found = _confirmed(pairs, nodes, docs, id_col, text_col, words, percent, allowed, files)
+        links = materialize(links.unionByName(found).coalesce(files))
         labels = components(links)
         if whole:  # heads have met all the others of their buckets
-            open_rows = met.where("not is_head").select("bucket", "node")
+            open_rows = met.where("not is_head").select("bucket", "rank", "node")
             heads = min(heads * 8, 512)
         else:
-            open_rows, whole = shared.select("bucket", "node"), True
+            open_rows, whole = shared, True
 
     named = materialize(
         groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
