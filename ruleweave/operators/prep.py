@@ -99,8 +99,9 @@ def qcut(df: DataFrame, cols: Sequence[str], q: int = 4) -> DataFrame:
     """Replace numeric columns by their exact quantile bin.
 
     Edges are interpolated linearly and equal edges are merged, so a column with one
-    value has the single bin 0. Ties always share a bin.
+    value has the single bin 0. Ties always share a bin. NaN is missing, as null is.
     """
+    df = df.withColumns({c: known(c) for c in cols})
     edges = exact_quantiles(df, cols, [i / q for i in range(q + 1)])
     return df.withColumns({c: bin_code(F.col(c), edges[c]) for c in cols})
 

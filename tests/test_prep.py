@@ -162,3 +162,10 @@ def test_roc_and_auc(spark):
     for p in ev.roc_points(df, "s").collect():
         assert p["tp"] == sum(s >= p["threshold"] for s in pos)
         assert p["fp"] == sum(s >= p["threshold"] for s in neg)
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (None,), (float("nan"),)], "x double")
+    assert sorted(r.x for r in impute_mean(df, ["x"]).collect()) == [1.0, 2.0, 2.0, 3.0]
+    codes = [r.x for r in qcut(df, ["x"]).collect()]
+    assert codes.count(None) == 2 and sorted(c for c in codes if c is not None) == [0, 3]
