@@ -2,7 +2,10 @@
 
 The classifier is fitted on a bounded sample of labelled rows. It counts in how many toxic
 and how many other texts a word or word beginning occurs; those that lean clearly to toxic
-texts form the lexicon, and a beginning stands for all words it begins.
+texts form the lexicon, and a beginning stands for all words it begins. A few texts are
+enough for a term, whatever the size of the sample, so terms of a language with few texts
+and rare terms enter. Among rare terms some lean by chance; how far to trust hits is
+therefore learned on texts that had no part in the lexicon they are matched with.
 
 Matching intersects two automata while walking down the trie of the lexicon: the trie, and
 for the word at hand a Levenshtein automaton. Its state is one set of places in the word per
@@ -22,6 +25,8 @@ import math
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +35,15 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Labelled rows the classifier is fitted on, about at most, and entries of its lexicon.
-FIT_ROWS, LEXICON = 40_000, 500
+#: Labelled rows the classifier is fitted on, about at most.
+FIT_ROWS = 40_000
 #: Lengths of word beginnings that may become entries.
 STEMS = (4, 5, 6)
-#: An entry occurs in this many toxic texts of the sample, and in this share of them, and
-#: leans by this log ratio. By the share, entries are at most the distinct words of a text,
-#: on average, divided by it.
-MIN_TEXTS, MIN_SHARE, MIN_LEAN = 4, 0.02, 3.0
+#: An entry occurs in this many toxic texts of the sample and leans by this log ratio. The
+#: lexicon is bounded by the sample alone: each of its entries uses up that many places in it.
+MIN_TEXTS, MIN_LEAN = 4, 3.0
+#: Parts of the sample; the features of each are taken with a lexicon of the other parts.
+FOLDS = 5
 #: Words on either side of a hit that tell quotation from use.
 WINDOW = 6
 #: Words that report speech, and quotation marks.
@@ -50,9 +56,6 @@ QUOTES = "\"“”„«»‹›"
 #: Stripped from both ends of a word.
 EDGES = " .,;:!?()[]{}<>*_~`'’‘\"“”„«»‹›…-–—/\\|#"
 
-#: Up to this many sets of letters are looked at before the trie is walked; saves time only.
-FEW = 64
-
 FEATURES = (
     "hits", "weight", "stem_hits", "near_hits", "quoted_hits", "quoted_share", "kinds", "density", "strongest",
 )
@@ -72,6 +75,16 @@ def budget(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
 
+def shortened(word: str, most: int) -> set[str]:
+    """The word without up to ``most`` of its letters."""
+    found = {word}
+    now = [word]
+    for _ in range(most):
+        now = list({w[:j] + w[j + 1 :] for w in now for j in range(len(w))})
+        found.update(now)
+    return found
+
+
 class Lexicon:
     """A trie of entries that is intersected with the Levenshtein automaton of a word."""
 
@@ -81,11 +94,12 @@ class Lexicon:
         self.terms = {e.text: e for e in entries if not e.stem}
         self.stem_lengths = sorted({len(s) for s in self.stems}, reverse=True)
         self.longest = max((len(e.text) for e in entries), default=0) + 2
-        self.letters: set[tuple[frozenset[str], int]] = set()
+        # What is left of terms without some letters, by the edits allowed; saves time only.
+        self.shortened: dict[int, set[str]] = {1: set(), 2: set()}
         for entry in entries:
             if entry.stem or not budget(len(entry.text)):
                 continue
-            self.letters.add((frozenset(entry.text), budget(len(entry.text))))
+            self.shortened[budget(len(entry.text))] |= shortened(entry.text, budget(len(entry.text)))
             node = self.root
             for letter in entry.text:
                 node = node.setdefault(letter, {})
@@ -102,11 +116,11 @@ class Lexicon:
                 return entry, 0
         if not 4 <= len(word) <= self.longest:
             return None
-        if len(self.letters) <= FEW:
-            # Each letter of a term that the word lacks is an edit.
-            has = set(word)
-            if not any(len(needs - has) <= edits for needs, edits in self.letters):
-                return None
+        # Each edit takes a letter at most from either side, so what is left is the same.
+        if self.shortened[1].isdisjoint(shortened(word, 1)) and self.shortened[2].isdisjoint(
+            shortened(word, 2 if len(word) >= 8 else 1) if self.shortened[2] else ()
+        ):
+            return None
         return self._misspelled(word)
 
     def _misspelled(self, word: str) -> tuple[Entry, int] | None:
@@ -221,75 +235,106 @@ def entries_of(text: str | None) -> set[tuple[str, bool]]:
     return found
 
 
-def text_counts(texts: DataFrame, among: Sequence[tuple[str, bool]] | None = None) -> DataFrame:
-    """(entry, stem, n): texts with a word or beginning; only those ``among``, if given.
+def text_counts(texts: DataFrame, among: DataFrame | None = None, name: str = "n") -> DataFrame:
+    """(entry, stem, n0, n1, ...): texts of each fold with a word or beginning; only those ``among``, if given.
 
     Counts are added up inside each task before they are shuffled.
     """
-    wanted = None if among is None else frozenset(among)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def closed() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(list(held.values()), pa.int64())],
-                names=["entry", "stem", "n"],
-            )
+        held: list[Counter] = [Counter() for _ in range(FOLDS)]
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            for fold, counts in enumerate(held):
+                keys = list(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()),
+                        pa.array([fold] * len(keys), pa.int32()), pa.array(list(counts.values()), pa.int64()),
+                    ],
+                    names=["entry", "stem", "fold", "n"],
+                )
+                counts.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = entries_of(text)
-                held.update(found if wanted is None else found & wanted)
-            if len(held) > 400_000:
-                yield closed()
-                held.clear()
-        if held:
-            yield closed()
-
-    partial = texts.select("text").mapInArrow(count, "entry string, stem boolean, n bigint")
-    return partial.groupBy("entry", "stem").agg(F.sum("n").alias("n"))
-
-
-def learn_lexicon(
-    texts: DataFrame,
-    limit: int = LEXICON,
-    min_texts: int = MIN_TEXTS,
-    min_share: float = MIN_SHARE,
-    min_lean: float = MIN_LEAN,
+            for text, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[fold].update(entries_of(text))
+                if sum(map(len, held)) > 400_000:
+                    yield from closed()
+        yield from closed()
+
+    partial = texts.select("text", "fold").mapInArrow(count, "entry string, stem boolean, fold int, n bigint")
+    if among is not None:
+        partial = partial.join(among.select("entry", "stem"), ["entry", "stem"], "left_semi")
+    return partial.groupBy("entry", "stem").agg(
+        *(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"{name}{f}") for f in range(FOLDS))
+    )
+
+
+def learn_lexicons(
+    texts: DataFrame, min_texts: int = MIN_TEXTS, min_lean: float = MIN_LEAN
+) -> tuple[list[Entry], list[list[Entry]]]:
+    """The lexicon of (text, label, fold), and for each fold that of all others.
+
+    What leans too little for each of them is left out before the driver takes the counts.
+    """
+    toxic, other = [0] * FOLDS, [0] * FOLDS
+    for r in texts.groupBy(F.col("label") == 1, "fold").count().collect():
+        (toxic if r[0] else other)[r["fold"]] = r["count"]
+    if not sum(toxic) or not sum(other):
+        return [], [[] for _ in range(FOLDS)]
+    held = [[f for f in range(FOLDS) if f != out] for out in (None, *range(FOLDS))]
+
+    def total(name: str, folds: list[int]) -> Column:
+        return sum((F.col(f"{name}{f}") for f in folds[1:]), F.col(f"{name}{folds[0]}"))
+
+    def leans(folds: list[int]) -> Column:
+        """The driver decides; the margin leaves it what rounds differently."""
+        n, m = total("n", folds), total("m", folds)
+        rates = ((n + 0.5) / (sum(toxic[f] for f in folds) + 1)) / ((m + 0.5) / (sum(other[f] for f in folds) + 1))
+        return (n >= min_texts) & (F.log(rates) >= min_lean - 1e-6)
+
+    often = materialize(text_counts(texts.where("label = 1")).where(total("n", held[0]) >= min_texts))
+    both = often.join(text_counts(texts.where("label <> 1"), often, "m"), ["entry", "stem"], "left").na.fill(0)
+    kept = both.where(reduce(or_, map(leans, held))).collect()
+
+    def lexicon(folds: list[int]) -> list[Entry]:
+        return merged(
+            {
+                (r["entry"], r["stem"]): (sum(r[f"n{f}"] for f in folds), sum(r[f"m{f}"] for f in folds))
+                for r in kept
+            },
+            sum(toxic[f] for f in folds), sum(other[f] for f in folds), min_texts, min_lean,
+        )
+
+    return lexicon(held[0]), [lexicon(folds) for folds in held[1:]]
+
+
+def merged(
+    counts: dict[tuple[str, bool], tuple[int, int]], toxic: int, other: int, min_texts: int, min_lean: float
 ) -> list[Entry]:
-    """Words and beginnings that lean to toxic texts, at most ``limit`` (a size of the model).
+    """Words and beginnings that lean to toxic texts, from the toxic and other texts that hold each.
 
     A beginning is used only where no shorter one is, and a word only where no beginning is.
     """
-    sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    toxic = sizes.get(1, 0)
-    other = sum(sizes.values()) - toxic
-    if not toxic or not other:
-        return []
-    least = max(min_texts, math.ceil(min_share * toxic))
-    # Bounded by the share: each entry stands in that many of the toxic texts.
-    common = text_counts(texts.where("label = 1")).where(F.col("n") >= least).collect()
-    often = {(r["entry"], r["stem"]): r["n"] for r in common}
-    also = {
-        (r["entry"], r["stem"]): r["n"] for r in text_counts(texts.where("label <> 1"), list(often)).collect()
-    }
     leans = {
-        key: math.log((n + 0.5) / (toxic + 1.0)) - math.log((also.get(key, 0) + 0.5) / (other + 1.0))
-        for key, n in often.items()
+        key: math.log((n + 0.5) / (toxic + 1.0)) - math.log((m + 0.5) / (other + 1.0))
+        for key, (n, m) in counts.items() if n >= min_texts
     }
-    order = sorted((k for k in leans if leans[k] >= min_lean), key=lambda k: (-leans[k], len(k[0]), k))[:limit]
+    leans = {key: lean for key, lean in leans.items() if lean >= min_lean}
+    most: Counter = Counter()
+    for text, stem in leans:
+        if not stem:
+            for n in STEMS:
+                most[text[:n]] = max(most[text[:n]], counts[text, stem][0])
     chosen: list[Entry] = []
     taken: set[str] = set()
-    for text, stem in sorted(order, key=lambda k: (not k[1], len(k[0]), k[0])):
+    for text, stem in sorted(leans, key=lambda k: (not k[1], len(k[0]), k[0])):
         if any(text[:n] in taken for n in range(1, len(text) + 1)):
             continue
         if stem:
             # A beginning whose texts nearly all hold one word is that word.
-            if any(
-                not s and w.startswith(text) and often[w, s] >= 0.9 * often[text, True] for w, s in order
-            ):
+            if most[text] >= 0.9 * counts[text, stem][0]:
                 continue
             taken.add(text)
         chosen.append(Entry(text, stem, leans[text, stem]))
@@ -310,17 +355,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return w
 
 
-def _featured(texts: DataFrame, entries: Sequence[Entry], text_col: str, name: str) -> DataFrame:
-    """Add the features of every text."""
-    held = list(entries)
+def _featured(texts: DataFrame, lexicons: Sequence[Sequence[Entry]]) -> DataFrame:
+    """(features, label) of every (text, label, fold), matched with the lexicon of its fold."""
+    held = [list(entries) for entries in lexicons]
 
-    @F.arrow_udf("array<double>")
-    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(held)
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matchers: dict[int, Matcher] = {}
         for batch in batches:
-            yield pa.array([matcher.features(t) for t in batch.to_pylist()], pa.list_(pa.float64()))
+            found = []
+            for text, fold in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if fold not in matchers:
+                    matchers[fold] = Matcher(held[fold], 100_000)
+                found.append(matchers[fold].features(text))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["features", "label"]
+            )
 
-    return texts.withColumn(name, features(F.col(text_col)))
+    return texts.select("text", "label", "fold").mapInArrow(features, "features array<double>, label int")
 
 
 def learn(labelled: DataFrame) -> Model:
@@ -329,10 +380,12 @@ def learn(labelled: DataFrame) -> Model:
     Rows with a null label are left out. Without rows of both labels the model knows no
     terms and scores everything near the one label there is, near 0 if there is none.
     """
-    rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("label is not null")
-    entries = learn_lexicon(rows)
+    rows = labelled.select(
+        "text", F.col("label").cast("int").alias("label"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+    ).where("label is not null")
+    entries, others = learn_lexicons(rows)
     spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
-    found = _featured(spread, entries, "text", "features").select("features", "label").collect()
+    found = _featured(spread, others).collect()
     y = np.array([float(r["label"] == 1) for r in found])
     if not len(y) or y.min() == y.max():
         bias = 8.0 if len(y) and y.min() == 1 else -8.0

@@ -168,6 +168,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert score[1] > 0.5 > max(score[2], score[3])
 
 
+def test_rare_terms_enter_the_lexicon(spark):
+    """Five texts with a term are enough, however many toxic texts there are, and however many terms."""
+    rare = [f"{a}{b}{c}ozzle" for a in "bdfghjkl" for b in "aeiou" for c in "mnprstvwxzbdfg"]
+    rows = [(f"common wretched {i}", 1) for i in range(400)] + [(f"all is well {i}", 0) for i in range(4000)]
+    rows += [(" ".join([*rare[at : at + 60], str(at), str(i)]), 1) for at in range(0, len(rare), 60) for i in range(5)]
+    table = spark.createDataFrame(rows, "text string, label int")
+    model = toxicity.learn(table)
+    assert {e.text for e in model.entries} >= {"wretched", *rare} and len(rare) > 500
+    texts = spark.createDataFrame([(0, "all is well"), (1, " ".join(rare[:9]))], "doc_id int, text string")
+    score = {r.doc_id: r.score for r in toxicity.score_documents(texts, model).collect()}
+    assert score[0] < 0.5 < score[1]
+
+
 def test_quotation_is_not_use():
     matcher = toxicity.Matcher([toxicity.Entry("badword", False, 5.0)])
     used = dict(zip(toxicity.FEATURES, matcher.features("you are a badword today"), strict=True))
