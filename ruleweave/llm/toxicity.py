@@ -12,7 +12,9 @@ for the word at hand a Levenshtein automaton. Its state is one set of places in
 number of edits, held as bits; a letter of the trie moves all of them at once, with swapped
 neighbours counted as one edit. Branches with no place left are cut, so misspelled terms are
 found without comparing the word with every entry. Digits and signs that stand for letters
-are one edit like any other.
+are one edit like any other. Beginnings have a trie of their own, whose ends accept as soon
+as some beginning of the word is near enough. Misspelled beginnings and terms of four
+letters meet many innocent words; they count apart, as weak hits with a weight of their own.
 
 Each hit is judged in a window of words around it: inside quotation marks, or near words
 that report speech, it counts as quotation and is weighed apart from plain use. A logistic
@@ -58,6 +60,7 @@ EDGES = " .,;:!?()[]{}<>*_~`'’‘\"“”„«»‹›…-–—/\\|#"
 
 FEATURES = (
     "hits", "weight", "stem_hits", "near_hits", "quoted_hits", "quoted_share", "kinds", "density", "strongest",
+    "weak_hits", "weak_density",
 )
 
 
@@ -72,7 +75,12 @@ class Entry:
 
 def budget(length: int) -> int:
     """Edits allowed for a term of this length."""
-    return 0 if length < 5 else 1 if length < 9 else 2
+    return 0 if length < 4 else 1 if length < 9 else 2
+
+
+def weak(entry: Entry, edits: int) -> bool:
+    """Misspellings that meet many innocent words."""
+    return edits > 0 and (entry.stem or len(entry.text) < 5)
 
 
 def shortened(word: str, most: int) -> set[str]:
@@ -86,27 +94,41 @@ def shortened(word: str, most: int) -> set[str]:
 
 
 class Lexicon:
-    """A trie of entries that is intersected with the Levenshtein automaton of a word."""
+    """Tries of terms and of beginnings, intersected with the Levenshtein automaton of a word."""
 
     def __init__(self, entries: Sequence[Entry]):
         self.root: dict = {}
+        self.short_root: dict = {}
+        self.stem_root: dict = {}
         self.stems = {e.text: e for e in entries if e.stem}
         self.terms = {e.text: e for e in entries if not e.stem}
         self.stem_lengths = sorted({len(s) for s in self.stems}, reverse=True)
         self.longest = max((len(e.text) for e in entries), default=0) + 2
         # What is left of terms without some letters, by the edits allowed; saves time only.
         self.shortened: dict[int, set[str]] = {1: set(), 2: set()}
+        self.short_shortened: set[str] = set()
+        self.stems_shortened: set[str] = set()
         for entry in entries:
-            if entry.stem or not budget(len(entry.text)):
+            edits = budget(len(entry.text))
+            if not edits:
                 continue
-            self.shortened[budget(len(entry.text))] |= shortened(entry.text, budget(len(entry.text)))
-            node = self.root
+            if entry.stem:
+                node, kept = self.stem_root, self.stems_shortened
+            elif weak(entry, edits):
+                node, kept = self.short_root, self.short_shortened
+            else:
+                node, kept = self.root, self.shortened[edits]
+            kept |= shortened(entry.text, edits)
             for letter in entry.text:
                 node = node.setdefault(letter, {})
             node[""] = entry
 
-    def match(self, word: str) -> tuple[Entry, int] | None:
-        """(entry, edits) of the best entry for a word: exact, then a stem, then misspelled."""
+    def match(self, word: str, sure_first: bool = False) -> tuple[Entry, int] | None:
+        """(entry, edits) of the best entry for a word: exact, then a stem, then misspelled.
+
+        Of misspelled terms, the one with fewer edits and more lean is best; with
+        ``sure_first``, those that are not weak come before. Misspelled stems come last.
+        """
         entry = self.terms.get(word)
         if entry is not None:
             return entry, 0
@@ -114,17 +136,31 @@ class Lexicon:
             entry = self.stems.get(word[:n])
             if entry is not None:
                 return entry, 0
-        if not 4 <= len(word) <= self.longest:
+        size = len(word)
+        if size < 3:
             return None
+        most = 2 if size >= 8 else 1
+        sure = short = None
         # Each edit takes a letter at most from either side, so what is left is the same.
-        if self.shortened[1].isdisjoint(shortened(word, 1)) and self.shortened[2].isdisjoint(
-            shortened(word, 2 if len(word) >= 8 else 1) if self.shortened[2] else ()
+        if size <= self.longest and not (
+            self.shortened[1].isdisjoint(shortened(word, 1))
+            and (not self.shortened[2] or self.shortened[2].isdisjoint(shortened(word, most)))
         ):
-            return None
-        return self._misspelled(word)
+            sure = self._misspelled(word, self.root, most)
+            if sure and sure_first:
+                return sure
+        if size <= 5 and not self.short_shortened.isdisjoint(shortened(word, 1)):
+            short = self._misspelled(word, self.short_root, 1)
+        if sure or short:
+            return min(filter(None, (sure, short)), key=lambda x: (x[1], -x[0].lean))
+        if any(not self.stems_shortened.isdisjoint(shortened(word[:n], 1)) for n in self.stem_lengths):
+            # Stems allow one edit, so no more letters than these come into it.
+            return self._misspelled(word[: self.stem_lengths[0] + 1], self.stem_root, 1)
+        return None
 
-    def _misspelled(self, word: str) -> tuple[Entry, int] | None:
-        size, most = len(word), 2 if len(word) >= 8 else 1
+    @staticmethod
+    def _misspelled(word: str, root: dict, most: int) -> tuple[Entry, int] | None:
+        size = len(word)
         masks: dict[str, int] = {}
         for j, letter in enumerate(word):
             masks[letter] = masks.get(letter, 0) | 1 << j
@@ -132,13 +168,14 @@ class Lexicon:
         best: tuple[int, float, Entry] | None = None
         # Bit j of states[e]: the letters so far match the first j of the word with e edits.
         start = tuple((2 << e) - 1 for e in range(most + 1))
-        todo = [(self.root, start, None, 0)]
+        todo = [(root, start, None, 0)]
         while todo:
             node, states, before, last = todo.pop()
             for letter, child in node.items():
                 if letter == "":
                     for e in range(1, budget(len(child.text)) + 1):
-                        if e <= most and states[e] & end:
+                        # A beginning may end anywhere in the word.
+                        if e <= most and (states[e] if child.stem else states[e] & end):
                             if best is None or (e, -child.lean) < best[:2]:
                                 best = (e, -child.lean, child)
                             break
@@ -173,17 +210,22 @@ class Matcher:
             try:
                 found = known[word]
             except KeyError:
-                found = known[word] = self.lexicon.match(word.strip(EDGES))
+                found = known[word] = self.lexicon.match(word.strip(EDGES), True)
             if found is not None:
                 hits.append((at, *found))
         if not hits:
             return [0.0] * len(FEATURES)
-        plain = weight = stems = near = quoted = 0.0
+        plain = weight = stems = near = quoted = faint = 0.0
         strongest = 0.0
         open_before = self._open_quotes(words) if any(q in w for w in words for q in QUOTES) else None
+        strong = [hit for hit in hits if not weak(*hit[1:])]
         for at, entry, edits in hits:
+            is_weak = weak(entry, edits)
             if self._is_quoted(words, at, open_before):
-                quoted += 1
+                quoted += not is_weak
+                continue
+            if is_weak:
+                faint += 1
                 continue
             # A misspelled term counts as a hit; how far to trust it is learned apart.
             near += edits > 0
@@ -192,10 +234,11 @@ class Matcher:
             value = entry.lean / (1 + edits / 4)
             weight += value
             strongest = max(strongest, value)
-        kinds = len({entry.text for _, entry, _ in hits})
+        kinds = len({entry.text for _, entry, _ in strong})
         return [
             math.log1p(plain), math.log1p(weight), math.log1p(stems), math.log1p(near), math.log1p(quoted),
-            quoted / len(hits), math.log1p(kinds), math.sqrt(len(hits) / len(words)), strongest,
+            quoted / max(1, len(strong)), math.log1p(kinds), math.sqrt(len(strong) / len(words)), strongest,
+            math.log1p(faint), math.sqrt(faint / len(words)),
         ]
 
     @staticmethod
@@ -315,7 +358,8 @@ def merged(
 ) -> list[Entry]:
     """Words and beginnings that lean to toxic texts, from the toxic and other texts that hold each.
 
-    A beginning is used only where no shorter one is, and a word only where no beginning is.
+    A beginning is used only where no shorter one is. Words stay beside the beginnings they
+    have, as only whole words tell most misspellings.
     """
     leans = {
         key: math.log((n + 0.5) / (toxic + 1.0)) - math.log((m + 0.5) / (other + 1.0))
@@ -330,9 +374,9 @@ def merged(
     chosen: list[Entry] = []
     taken: set[str] = set()
     for text, stem in sorted(leans, key=lambda k: (not k[1], len(k[0]), k[0])):
-        if any(text[:n] in taken for n in range(1, len(text) + 1)):
-            continue
         if stem:
+            if any(text[:n] in taken for n in STEMS):
+                continue
             # A beginning whose texts nearly all hold one word is that word.
             if most[text] >= 0.9 * counts[text, stem][0]:
                 continue

@@ -181,6 +181,30 @@ def test_rare_terms_enter_the_lexicon(spark):
     assert score[0] < 0.5 < score[1]
 
 
+def test_misspelled_stems_and_short_terms():
+    rnd = random.Random(2)
+    stems = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(4, 6))) for _ in range(9)})
+    lexicon = toxicity.Lexicon([toxicity.Entry(t, True, 3 + rnd.random()) for t in stems])
+    for _ in range(1500):
+        word = "".join(rnd.choice("abcd") for _ in range(rnd.randint(3, 12)))
+        near = [min(edits(t, word[:n]) for n in range(len(word) + 1)) for t in stems]
+        found = lexicon.match(word)
+        assert (found is None) == (min(near) > 1)
+        assert found is None or found[1] == min(near) == near[stems.index(found[0].text)]
+
+    entries = [toxicity.Entry("scum", False, 9.0), toxicity.Entry("idio", True, 5.0), toxicity.Entry("scuma", False, 4.0)]
+    matcher = toxicity.Matcher(entries)
+    for word in ("scm", "sucm", "scvm", "idoit", "ldiots"):
+        found = dict(zip(toxicity.FEATURES, matcher.features(f"you {word} there"), strict=True))
+        assert found["weak_hits"] > 0 and found["hits"] == found["near_hits"] == found["kinds"] == 0
+    found = dict(zip(toxicity.FEATURES, matcher.features("scvma"), strict=True))
+    assert found["near_hits"] > 0 and found["weak_hits"] == 0
+
+    counts = {("idiot", False): (93, 0), ("idiots", False): (40, 0), ("idio", True): (120, 0), ("idiot", True): (40, 0)}
+    chosen = {(e.text, e.stem) for e in toxicity.merged(counts, 300, 2000, 4, 3.0)}
+    assert chosen == {("idio", True), ("idiot", False), ("idiots", False)}
+
+
 def test_quotation_is_not_use():
     matcher = toxicity.Matcher([toxicity.Entry("badword", False, 5.0)])
     used = dict(zip(toxicity.FEATURES, matcher.features("you are a badword today"), strict=True))
