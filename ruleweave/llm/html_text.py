@@ -3,8 +3,10 @@
 The standard library's streaming parser turns a page into lines: block elements and line
 breaks end a line. Each line has its text, the number of tags met inside it and the section
 it lies in. Its text-to-tag ratio is the length of its text over the number of its tags;
-text of links, and lines inside menus, footers, adverts and the like, weigh nothing. The
-ratios are smoothed by a Gaussian along the page, and a threshold at a share of their
+text of links, and lines inside menus, footers, adverts and the like, weigh nothing. What is
+such by its name only, a class, id or role, is named by whole tokens, and an article or main
+element inside it is read all the same. If nothing is left for the ratios, lines that are out
+by name only are judged by them too. The ratios are smoothed by a Gaussian along the page, and a threshold at a share of their
 deviation splits the lines into content and the rest. Content lines vote for their section:
 an article or main element if the page has one with content, else the sections that reach
 the threshold. All lines of the chosen sections are the text, short ones too.
@@ -37,13 +39,25 @@ SKIPPED = frozenset(
 )
 #: Elements whose text stands for itself, not for the page around it.
 SECTIONS = frozenset("article main section div td body html".split())
-#: Words of a class, id or role that mark what is no main text.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|menu|nav|"
+#: Tokens of a class, id or role that mark what is no main text, and their compounds: a token
+#: of such words only, with words for a place or part beside them.
+NOISE_WORDS = (
+    r"(?:ads?|adverts?|advertisements?|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|menu|nav|"
     r"navbar|navigation|breadcrumbs?|comments?|replies|disqus|cookies?|consent|notice|notices|gdpr|popup|modal|"
     r"newsletter|subscribe|signup|login|share|sharing|social|related|recommended|footer|header|masthead|"
-    r"toolbar|widget|pagination|pager|skip-link|copyright|contentinfo|complementary|search)(?:$|[\s_-])"
+    r"toolbar|widget|pagination|pager|skip-link|copyright|contentinfo|complementary|search)"
+)
+PART_WORDS = (
+    r"(?:site|page|main|global|top|bottom|left|right|primary|secondary|block|box|area|bar|section|list|items?|"
+    r"container|wrapper|wrap|inner|outer|posts?|articles?|links?|buttons?|form|unit|slot|text|content|[0-9]+)"
+)
+NOISE = re.compile(
+    rf"(?:^|\s)(?:{PART_WORDS}[_-]+)*{NOISE_WORDS}(?:[_-]+(?:{NOISE_WORDS}|{PART_WORDS}))*(?:$|\s)"
 )
+#: Tokens of comments; an article inside is a comment, not the page's.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|disqus)(?:$|[\s_-])")
+#: How a line is left out: not at all, by the names around it only, or by elements as well.
+KEPT, NAMED, OUT = range(3)
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An end tag may be left out where one of these begins.
@@ -52,19 +66,19 @@ CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt"
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, section, skipped) of each line of a page."""
+    """Collects (text, tags, link characters, section, how it is left out) of each line of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # element, skipped, section
+        self.open: list[tuple[str, int, int]] = []  # element, how it is left out, section
         self.sections: list[tuple[str, int]] = [("page", -1)]  # element, section around it
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
 
     @property
-    def skipped(self) -> bool:
-        return bool(self.open) and self.open[-1][1]
+    def skipped(self) -> int:
+        return self.open[-1][1] if self.open else KEPT
 
     @property
     def section(self) -> int:
@@ -87,9 +101,11 @@ class Lines(HTMLParser):
             return
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
-        skip = self.skipped or tag in SKIPPED or hidden
-        if tag not in ("html", "body", "article", "main"):
-            skip = skip or bool(named and NOISE.search(named))
+        skip = OUT if tag in SKIPPED or hidden else self.skipped
+        if tag in ("article", "main"):
+            skip = KEPT if skip == NAMED else skip
+        elif tag not in ("html", "body") and named and NOISE.search(named):
+            skip = max(skip, OUT if COMMENTS.search(named) else NAMED)
         section = self.section
         if tag in SECTIONS:
             self.sections.append((tag, section))
@@ -138,10 +154,19 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     page.end_line()
     if not page.lines:
         return ""
-    ratios = np.array([
-        0.0 if skipped else max(len(text) - linked, 0) / max(tags, 1)
-        for text, tags, linked, _, skipped in page.lines
-    ])
+    least = KEPT
+
+    def judged() -> np.ndarray:
+        return np.array([
+            0.0 if skipped > least else max(len(text) - linked, 0) / max(tags, 1)
+            for text, tags, linked, _, skipped in page.lines
+        ])
+
+    ratios = judged()
+    if not ratios.any():
+        # Names left nothing over, so they name the layout; the ratios decide.
+        least = NAMED
+        ratios = judged()
     level = smoothed(ratios, sigma)
     content = (level >= threshold * level.std()) & (ratios > 0)
 
@@ -161,7 +186,7 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
         chosen.update(line[3] for line, wins in zip(page.lines, content, strict=True) if wins)
     return "\n".join(
         text for text, _, _, section, skipped in page.lines
-        if not skipped and any(s in chosen for s in (around(section) if votes else (section,)))
+        if skipped <= least and any(s in chosen for s in (around(section) if votes else (section,)))
     )
 
 

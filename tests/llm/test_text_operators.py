@@ -62,6 +62,24 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        *((f"<body><div class='{name}'><article><h1>T</h1><p>One two three</article></div><div class=ad>buy</div>", "T\nOne two three")
+          for name in ("content with-sidebar", "layout no-sidebar", "page-header-fixed", "has_footer", "sidebar", "page banner")),
+        *((f"<div class='{name}'><p>A long text without an article</p></div><div class='cookie-notice'>bla</div>",
+           "A long text without an article") for name in ("content with-sidebar", "no-sidebar", "has_footer")),
+        ("<div class=widget><p>All there is is named so</p></div><footer>f</footer>", "All there is is named so"),
+        ("<main><p>Text of the page</p></main><aside><article>a</article></aside><div hidden><main>b</main></div>"
+         "<div class='comments'><article>c</article></div><nav class=x><main>d</main></nav>", "Text of the page"),
+        ("<article><p>Text of the page<div class='site-footer'>f</div><div class='sidebar-left'>s</div></article>",
+         "Text of the page"),
+    ],
+)
+def test_noisy_wrappers(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_smoothing_keeps_the_level():
     assert np.allclose(html_text.smoothed(np.full(9, 3.0)), 3.0)
     assert html_text.smoothed(np.zeros(0)).size == 0
