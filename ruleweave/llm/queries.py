@@ -12,6 +12,7 @@ from . import (
     exact_dedup,
     html_text,
     licenses,
+    merkle_manifest,
     near_dedup,
     packing,
     token_planes,
@@ -205,3 +206,83 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+def _crc32_sql(value: str) -> str:
+    """DuckDB expression of the CRC-32 of a value's decimal text, bit by bit."""
+    codes = f"list_transform(string_split({value}::varchar, ''), lambda ch: ascii(ch)::bigint)"
+    bits = "lambda v, i: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end"
+    one = f"lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), {bits})"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), {one}), 4294967295)"
+
+
+def _merkle_sql(levels: int = 8, arity: int = 8) -> str:
+    """The manifest for up to ``arity ** levels`` rows of a language, one level after another."""
+
+    def tree(name: str) -> str:
+        ctes, run = [], f"(partition by tree, idx // {arity} order by idx rows between "
+        for k in range(levels):
+            ctes.append(f"""{name}s{k} as (
+              select *, coalesce(string_agg(hash, '') over {run}unbounded preceding and 1 preceding), '') as l,
+                     coalesce(string_agg(hash, '') over {run}1 following and unbounded following), '') as r
+              from {name}{k} where size > 1)""")
+            ctes.append(f"""{name}{k + 1} as (
+              select tree, idx // {arity} as idx, (size + {arity - 1}) // {arity} as size, sha256(l || hash || r) as hash
+              from {name}s{k} where idx % {arity} = 0)""")
+        tops = " union all ".join(f"select tree, hash from {name}{k} where size = 1" for k in range(levels + 1))
+        return ",\n".join([*ctes, f"{name}top as ({tops})"])
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+    steps = [(f"a{k}", f"a.tree = a{k}.tree and a.idx // {arity**k} = a{k}.idx", f"as{k}") for k in range(levels)]
+    steps += [(f"b{k}", f"a.tree // {arity**k} = b{k}.idx", f"bs{k}") for k in range(levels)]
+    proof = " || ".join(f"coalesce({n}.l || {n}.r, '')" for n, _, _ in steps)
+    joins = "\n".join(f"left join {source} {n} on {on}" for n, on, source in steps)
+    folds, last = [], "other"
+    for i, (n, _, _) in enumerate(steps):
+        folds.append(f"f{i} as (select *, case when {n}l is null then {last} else sha256({n}l || {last} || {n}r) end"
+                     f" as fold{i} from {f'f{i - 1}' if i else 'p'})")
+        last = f"fold{i}"
+    kept = ", ".join(f"{n}.l as {n}l, {n}.r as {n}r" for n, _, _ in steps)
+    lower = f"translate(text, '{merkle_manifest.UPPER}', '{merkle_manifest.LOWER}')"
+    return f"""
+    with d as (
+      select doc_id, lang, {leaf('text')} as leaf,
+             case when {_crc32_sql('doc_id')} % 3 = 0 then {leaf(lower)} else {leaf('text')} end as other
+      from documents
+    ), g as (
+      select lang, count(*) as size, row_number() over (order by lang nulls first) - 1 as tree from d group by lang
+    ), a as (
+      select d.*, g.tree, g.size, row_number() over (partition by g.tree order by doc_id nulls first, leaf) - 1 as idx
+      from d join g on d.lang is not distinct from g.lang
+    ), a0 as (select tree, idx, size, leaf as hash from a),
+    {tree('a')},
+    b0 as (select 0 as tree, tree as idx, (select count(*) from g) as size, hash from atop),
+    {tree('b')},
+    p as (
+      select doc_id, leaf, other, t.hash as subroot, (select hash from btop) as root, sha256({proof}) as proof_sha256,
+             {kept}
+      from a join atop t on a.tree = t.tree
+      {joins}
+    ), {", ".join(folds)}
+    select doc_id, leaf, subroot, root, proof_sha256, {last} as folded_root, {last} = root as verified from f{len(steps) - 1}
+    """
+
+
+@query("op13_merkle_manifest", _merkle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = merkle_manifest.manifest(
+        table(spark, sf_dir, "documents"),
+        tampered={"text": merkle_manifest.lower_ascii(F.col("text"))},
+        tampered_where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0,
+    )
+    folded = merkle_manifest.fold(F.col("other_leaf"), F.col("path"))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root",
+        merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
