@@ -4,6 +4,7 @@ import math
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -27,7 +28,7 @@ def duck():
 
 def canonical(frame):
     def text(value):
-        if value is None or (isinstance(value, float) and math.isnan(value)):
+        if value is None or value is pd.NA or (isinstance(value, float) and math.isnan(value)):
             return "null"
         if isinstance(value, (int, float)) or hasattr(value, "dtype"):
             return f"{float(value):.6f}"
