@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe_automaton,
+    conversation_trie,
     exact_dedup,
     html_text,
     licenses,
@@ -20,6 +21,7 @@ from . import (
     toxicity,
     url_rules,
 )
+from ..session import materialize
 from .ship import new_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -286,3 +288,58 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"),
         folded.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query(
+    "op11_conversation_trie",
+    f"""
+    with o as (
+      select conv_id as c, row_number() over (partition by conv_id order by turn nulls first) - 1 as i,
+             coalesce(role, '') as role, coalesce(text, '') as text
+      from conversations where conv_id is not null
+    ), s as (
+      select c, count(*) as size, {_crc32_sql('c')} % 9 as h from o group by c
+    ), p as (
+      select s.c, s.size, s.h, s.c - s.c % 5 as donor, least(s.h, coalesce(d.size, 0)) as base
+      from s left join s d on d.c = s.c - s.c % 5
+    ), r as (
+      select o.c, p.base + o.i - p.h as pos, role, text from o join p on o.c = p.c where o.i >= p.h
+      union all
+      select p.c, o.i, role, text from o join p on o.c = p.donor where o.i < p.h
+    ), k as (
+      select c, pos, strlen(text) as n_bytes, sha256(strlen(role) || ':' || role || text) as t from r
+    ), x as (
+      select c, pos + 1 as depth, n_bytes,
+             sha256(string_agg(t, ',') over (partition by c order by pos)) as node,
+             case when pos = 0 then 'root'
+                  else sha256(string_agg(t, ',') over (partition by c order by pos
+                              rows between unbounded preceding and 1 preceding)) end as parent
+      from k
+      union all
+      select c, 0, 0, 'root', null from p
+    ), lengths as (select c, max(depth) as len from x group by c),
+    n as (
+      select node, depth, any_value(parent) as parent, min(x.c) as conv_id, count(*) as n_convs,
+             max(n_bytes) as n_bytes,
+             sha256(coalesce(string_agg(x.c::varchar, ',' order by x.c) filter (where len = depth), '')) as ends_sha256
+      from x join lengths on x.c = lengths.c group by node, depth
+    ), m as (
+      select n.*, (select count(*) from n ch where ch.parent = n.node) as n_children from n
+    ), sub as (
+      select top.node, sum((m.n_convs - 1) * m.n_bytes)::bigint as saved_tokens,
+             count(*) filter (where m.n_children = 0) as n_leaves
+      from m join x as under on under.node = m.node and under.c = m.conv_id
+      join x as top on top.c = under.c and top.depth <= m.depth group by top.node
+    )
+    select m.conv_id, m.depth::bigint as depth, up.conv_id as parent_conv_id, m.n_convs, m.n_children, sub.n_leaves,
+           sub.saved_tokens, m.ends_sha256
+    from m join sub on m.node = sub.node left join m up on up.node = m.parent
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = materialize(conversation_trie.numbered_turns(table(spark, sf_dir, "conversations")))
+    conv = F.col("conv")
+    turns, convs = conversation_trie.rebuilt_turns(
+        numbered, donor=conv - conv % 5, given=F.crc32(conv.cast("string")) % 9, most=8
+    )
+    return conversation_trie.prefix_trie(turns, convs)
