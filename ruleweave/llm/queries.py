@@ -16,6 +16,7 @@ from . import (
     merkle_manifest,
     near_dedup,
     packing,
+    suffix_dedup,
     token_planes,
     topk_search,
     toxicity,
@@ -343,3 +344,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         numbered, donor=conv - conv % 5, given=F.crc32(conv.cast("string")) % 9, most=8
     )
     return conversation_trie.prefix_trie(turns, convs)
+
+
+@query("op12_suffix_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
