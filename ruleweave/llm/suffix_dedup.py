@@ -363,7 +363,7 @@ def judge_segments(segments: DataFrame, min_bytes: int, limit: int = LIMIT, widt
     parts = materialize(
         segments.join(many, "grp", "left_semi").select(columns).mapInArrow(
             _split(min_bytes, width // 2),
-            "grp bigint, digest binary, part int, core binary, skip bigint, left bigint, windows bigint,"
+            "grp bigint, digest binary, part bigint, core binary, skip bigint, left bigint, windows bigint,"
             " copies bigint, text binary",
         ).withColumns({"sub": F.xxhash64("grp", "part", "core"), "sub_digest": F.sha2("text", 256)})
     )
