@@ -26,9 +26,14 @@ ARITY = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def digest(*inputs: Column) -> Column:
-    """Lowercase hex SHA-256 of the inputs, one after another; digests count as hex text."""
-    return F.sha2(F.concat(*inputs), 256)
+def digest(text: Column) -> Column:
+    """SHA-256 of a text, as 32 bytes."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def hexed(digests: Column) -> Column:
+    """Lowercase hex text of one digest or of several in a row; what is hashed, and shown."""
+    return F.lower(F.hex(digests))
 
 
 def field(value: Column) -> Column:
@@ -39,7 +44,7 @@ def field(value: Column) -> Column:
 
 def leaf_digest(values: Sequence[Column]) -> Column:
     """Digest of a row's fields in the given order."""
-    return digest(*[field(v) for v in values])
+    return digest(F.concat(*[field(v) for v in values]))
 
 
 def sibling_indices(index: Column, arity: int) -> Column:
@@ -51,7 +56,7 @@ def sibling_indices(index: Column, arity: int) -> Column:
 
 
 def _with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
-    """Nodes (tree, index, size, hash) with the texts of their siblings left and right."""
+    """Nodes (tree, index, size, hash) with the digests of their siblings left and right."""
     wanted = nodes.select("tree", "index", F.explode(sibling_indices(F.col("index"), arity)).alias("wanted"))
     others = nodes.select("tree", F.col("index").alias("wanted"), F.col("hash").alias("other"))
     found = (
@@ -61,8 +66,8 @@ def _with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
     )
 
     def side(keep: Callable[[Column], Column]) -> Column:
-        texts = F.transform(F.filter("others", lambda o: keep(o["wanted"])), lambda o: o["other"])
-        return F.coalesce(F.array_join(texts, ""), F.lit(""))
+        kept = F.filter("others", lambda o: keep(o["wanted"]))
+        return F.coalesce(F.aggregate(kept, F.lit(b""), lambda sofar, o: F.concat(sofar, o["other"])), F.lit(b""))
 
     return nodes.join(found, ["tree", "index"], "left").select(
         "tree",
@@ -79,7 +84,7 @@ def build_trees(nodes: DataFrame, arity: int = ARITY) -> tuple[list[DataFrame],
 
     ``size`` is the number of nodes of the tree at that level, ``index`` runs from 0. A level
     holds the nodes of trees that have several nodes there, with ``left`` and ``right``, the
-    texts of their siblings. A tree of one node has that node as its root. No nodes give no
+    digests of their siblings in a row. Digests are bytes; their hex text is what is hashed. A tree of one node has that node as its root. No nodes give no
     levels and no roots.
     """
     levels: list[DataFrame] = []
@@ -92,7 +97,7 @@ def build_trees(nodes: DataFrame, arity: int = ARITY) -> tuple[list[DataFrame],
             "tree",
             F.floor(F.col("index") / arity).alias("index"),
             F.ceil(F.col("size") / arity).alias("size"),
-            digest(F.col("left"), F.col("hash"), F.col("right")).alias("hash"),
+            digest(hexed(F.concat("left", "hash", "right"))).alias("hash"),
         )
         roots = roots.unionByName(parents.where("size = 1").select("tree", "hash"))
         rest = parents.where("size > 1")
@@ -123,13 +128,16 @@ def node_paths(levels: Sequence[DataFrame], arity: int = ARITY) -> DataFrame | N
 
 def fold(leaf: Column, path: Column) -> Column:
     """Root recomputed from a leaf and the siblings on its path."""
-    return F.aggregate(path, leaf, lambda node, step: digest(step["left"], node, step["right"]))
+    return F.aggregate(
+        path, leaf, lambda node, step: digest(hexed(F.concat(step["left"], node, step["right"])))
+    )
 
 
 def proof_digest(path: Column) -> Column:
     """Digest of all siblings of a path, level by level, left to right."""
-    texts = F.transform(path, lambda step: F.concat(step["left"], step["right"]))
-    return digest(F.array_join(texts, ""))
+    return digest(hexed(F.aggregate(
+        path, F.lit(b""), lambda sofar, step: F.concat(sofar, step["left"], step["right"])
+    )))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -148,7 +156,7 @@ def manifest(
 ) -> DataFrame:
     """(id, leaf, subroot, root, path, other_leaf), one row per row of ``rows``.
 
-    A leaf is the digest of a row's ``fields``. Leaves of a group (a value of ``group_col``;
+    All digests are bytes (``hexed`` gives their text). A leaf is the digest of a row's ``fields``. Leaves of a group (a value of ``group_col``;
     null is a group of its own) ascend by id, null ids first, rows of one id by leaf; they
     give the group's subroot. Subroots ascend by group, null first, bytewise; they give the
     root. ``path`` holds a leaf's siblings up to the root, as (left, right) per level.
@@ -188,7 +196,7 @@ def manifest(
     )
     top_levels, root = build_trees(tops, arity)
 
-    nothing = F.array().cast("array<struct<left:string,right:string>>")
+    nothing = F.array().cast("array<struct<left:binary,right:binary>>")
     upper = node_paths(top_levels, arity)
     ends = subroots.withColumnRenamed("hash", "subroot")
     if upper is None:
@@ -196,7 +204,7 @@ def manifest(
     else:
         ends = ends.join(upper.select(F.col("index").alias("tree"), F.col("path").alias("upper")), "tree")
     top = root.first()  # one row, none for an empty table
-    ends = _small(materialize(ends.withColumn("root", F.lit(top["hash"] if top else None).cast("string"))))
+    ends = _small(materialize(ends.withColumn("root", F.lit(bytes(top["hash"]) if top else None).cast("binary"))))
 
     lower = node_paths(levels, arity)
     if lower is None:

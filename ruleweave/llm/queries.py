@@ -283,12 +283,16 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         tampered={"text": merkle_manifest.lower_ascii(F.col("text"))},
         tampered_where=F.crc32(F.col("doc_id").cast("string")) % 3 == 0,
     )
-    folded = merkle_manifest.fold(F.col("other_leaf"), F.col("path"))
+    made = made.withColumns({
+        "proof": merkle_manifest.proof_digest(F.col("path")),
+        "folded": merkle_manifest.fold(F.col("other_leaf"), F.col("path")),
+    })
+    names = {"leaf": "leaf", "subroot": "subroot", "root": "root", "proof_sha256": "proof", "folded_root": "folded"}
     return made.select(
-        "doc_id", "leaf", "subroot", "root",
-        merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"),
-        folded.alias("folded_root"),
-    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+        "doc_id",
+        *[merkle_manifest.hexed(F.col(c)).alias(name) for name, c in names.items()],
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
 
 
 @query(
