@@ -71,11 +71,11 @@ def quality(df: DataFrame, theory: Theory) -> DataFrame:
 
 
 @query("r04_learn_orders", f"""WITH {PLANTED_ORDERS}, r(rule_id, rule, region, segment) AS (VALUES
-    (0, 'positive(A):-priority(A,1-URGENT),region(A,MIDDLE EAST).', 'MIDDLE EAST', NULL),
-    (1, 'positive(A):-priority(A,1-URGENT),region(A,EUROPE).', 'EUROPE', NULL),
-    (2, 'positive(A):-priority(A,1-URGENT),region(A,AMERICA).', 'AMERICA', NULL),
-    (3, 'positive(A):-priority(A,1-URGENT),region(A,AFRICA).', 'AFRICA', NULL),
-    (4, 'positive(A):-priority(A,1-URGENT),segment(A,BUILDING).', NULL, 'BUILDING'))
+    (0, 'positive(A):-priority(A,1-URGENT),region(A,''MIDDLE EAST'').', 'MIDDLE EAST', NULL),
+    (1, 'positive(A):-priority(A,1-URGENT),region(A,''EUROPE'').', 'EUROPE', NULL),
+    (2, 'positive(A):-priority(A,1-URGENT),region(A,''AMERICA'').', 'AMERICA', NULL),
+    (3, 'positive(A):-priority(A,1-URGENT),region(A,''AFRICA'').', 'AFRICA', NULL),
+    (4, 'positive(A):-priority(A,1-URGENT),segment(A,''BUILDING'').', NULL, 'BUILDING'))
   SELECT rule, count(*) FILTER (is_pos) AS p_cov, count(*) FILTER (NOT is_pos) AS n_cov
   FROM r JOIN planted c ON c.priority = '1-URGENT' AND (c.region = r.region OR c.segment = r.segment) GROUP BY rule""")
 def r04(spark, sf):

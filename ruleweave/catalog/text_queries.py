@@ -151,11 +151,11 @@ def s06(spark, sf):
     return rd.parse_attributions(wr.render_attributions(rows))
 
 
-@query("s13_rule_lines_with_coverage", f"""WITH {WIDE_ORDERS} SELECT 0 AS rule_id, 'positive(A):-has_flag(A,A),not(ab0(A)).' AS value,
+@query("s13_rule_lines_with_coverage", f"""WITH {WIDE_ORDERS} SELECT 0 AS rule_id, 'positive(A):-has_flag(A,''A''),not(ab0(A)).' AS value,
     count(*) FILTER (list_contains(string_split({FIRED}, ','), '0')) AS covered FROM wide
   UNION ALL SELECT 1, 'positive(A):-priority(A,1-URGENT),price_q(A,3).', count(*) FILTER (list_contains(string_split({FIRED}, ','), '1')) FROM wide
-  UNION ALL SELECT 2, 'positive(A):-segment(A,BUILDING),region(A,ASIA),not(ab1(A)).', count(*) FILTER (list_contains(string_split({FIRED}, ','), '2')) FROM wide
-  UNION ALL SELECT 3, 'positive(A):-priority(A,2-HIGH),price_q(A,0),has_flag(A,R).', count(*) FILTER (list_contains(string_split({FIRED}, ','), '3')) FROM wide""")
+  UNION ALL SELECT 2, 'positive(A):-segment(A,''BUILDING''),region(A,''ASIA''),not(ab1(A)).', count(*) FILTER (list_contains(string_split({FIRED}, ','), '2')) FROM wide
+  UNION ALL SELECT 3, 'positive(A):-priority(A,2-HIGH),price_q(A,0),has_flag(A,''R'').', count(*) FILTER (list_contains(string_split({FIRED}, ','), '3')) FROM wide""")
 def s13(spark, sf):
     """Rule texts next to how many orders each rule covers."""
     from ..operators.coverage import score

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..rules import BARE
+
 
 def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -18,6 +20,20 @@ def norm_value(value: Column | str) -> Column:
     return F.regexp_replace(F.lower(as_col(value).cast("string")), r"\.", "")
 
 
+def quoted_term(value: Column | str) -> Column:
+    """A constant as a term of a rule, in quotes where it would read as something else."""
+    value = as_col(value)
+    in_quotes = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.when(value.rlike(f"^(?:{BARE})$"), value).otherwise(in_quotes)
+
+
+def unquoted_term(term: Column | str) -> Column:
+    """The value of a constant term."""
+    term = as_col(term)
+    inner = F.replace(F.regexp_extract(term, "^'(.*)'$", 1), F.lit("''"), F.lit("'"))
+    return F.when(term.rlike("^'.*'$"), inner).otherwise(term)
+
+
 def split_dummy(name: Column | str) -> tuple[Column, Column]:
     """``tumor_size_Big`` -> (``tumor_size``, ``big``): the value follows the last ``_``."""
     name = as_col(name)

@@ -1,7 +1,8 @@
 """Clauses over several tables: literals with variables are equi joins.
 
-``tables`` maps a predicate to a DataFrame with columns ``a0``, ``a1`` ... An argument
-that starts with an upper-case letter is a variable, any other is a constant.
+``tables`` maps a predicate to a DataFrame with columns ``a0``, ``a1`` ... Arguments are
+terms: a bare word that starts with a capital or an underscore is a variable, any other is a
+constant, in quotes where it has to be (``rules.quoted``).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..rules import is_variable, unquoted
 from .prep import CaseTable
 
 Tables = Mapping[str, DataFrame]
@@ -27,7 +29,7 @@ class Atom:
 
     @property
     def variables(self) -> list[str]:
-        return list(dict.fromkeys(a for a in self.args if a[:1].isupper()))
+        return list(dict.fromkeys(a for a in self.args if is_variable(a)))
 
     def text(self) -> str:
         inner = f"{self.pred}({','.join(self.args)})"
@@ -45,11 +47,11 @@ def atom_table(atom: Atom, tables: Tables) -> DataFrame:
     """Bindings of one atom by itself: one column per variable."""
     df = tables[atom.pred]
     for i, arg in enumerate(atom.args):
-        if not arg[:1].isupper():
-            df = df.where(F.col(f"a{i}") == F.lit(arg))
+        if not is_variable(arg):
+            df = df.where(F.col(f"a{i}") == F.lit(unquoted(arg)))
     places: dict[str, list[str]] = {}
     for i, arg in enumerate(atom.args):
-        if arg[:1].isupper():
+        if is_variable(arg):
             places.setdefault(arg, []).append(f"a{i}")
     for columns in places.values():
         df = unify(df, *columns)

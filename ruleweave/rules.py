@@ -12,6 +12,7 @@ read. The cases they speak about are columns of a DataFrame:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -25,6 +26,24 @@ RULE_LITERALS_SCHEMA = (
 )
 
 
+#: Constants that need no quotes; a bare word with a capital or underscore is a variable.
+BARE = r"[a-z0-9.+-][^,()'\s]*"
+
+
+def quoted(value: str) -> str:
+    """A constant as a term: in quotes where it would read as a variable or as several."""
+    return value if re.fullmatch(BARE, value) else "'" + value.replace("'", "''") + "'"
+
+
+def unquoted(term: str) -> str:
+    """The value of a constant term."""
+    return term[1:-1].replace("''", "'") if len(term) > 1 and term[0] == term[-1] == "'" else term
+
+
+def is_variable(term: str) -> bool:
+    return term[:1].isupper() or term[:1] == "_"
+
+
 @dataclass(frozen=True)
 class Literal:
     """A condition ``pred = val`` on a case, or the negated name of an exception."""
@@ -34,7 +53,7 @@ class Literal:
     negated: bool = False
 
     def text(self, var: str = "A") -> str:
-        inner = f"{self.pred}({var})" if self.val is None else f"{self.pred}({var},{self.val})"
+        inner = f"{self.pred}({var})" if self.val is None else f"{self.pred}({var},{quoted(self.val)})"
         return f"not({inner})" if self.negated else inner
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import unquoted_term
+
 # Fixed patterns of the text formats.
 FACT = r"^\s*(\w+)\(\s*([\w.]+)\s*(?:,\s*([^()]+?)\s*)?\)\s*\.\s*(?:%.*)?$"
 MODE = r"^\s*#mode([hb])\((?:\s*(\d+)\s*,)?\s*(\w+)\((.*)\)\s*\)\s*$"
@@ -23,8 +25,10 @@ VIEW = r"^\s*(\w+)\(\s*([A-Z]\w*)\s*\)\s*:-\s*(\w+)\(\s*([A-Z]\w*)\s*\)\s*\.\s*(
 ITEM = r"^\s*(\d+)->(\w+)\(\w+,(.*)\)\s*$"
 ATTRIBUTION = r"^\s*data\(([^)]+)\):(\w+)\(\w+,([^)]*)\):(\S+)\s*$"
 TRANSACTION = r"^\w+\(([^)]*)\)::\s*([^:]*?)\s*:\s*(\d*)\s*:\s*([^:]*?)\s*$"
-RULE = r"^\s*(\w+)\([A-Z]\w*\)\s*:-(.*)\.\s*$"
-RULE_LITERAL = r"(?:not|\\\+)\s*\(?\s*\w+\([^()]*\)|\w+\([^()]*\)"
+TERM = r"'(?:[^']|'')*'|[^,()']+"
+ANY_ATOM = r"\w+\((?:'(?:[^']|'')*'|[^()'])*\)"
+RULE = r"^\s*(\w+)\(\s*([A-Z_]\w*(?:\s*,\s*[A-Z_]\w*)*)\s*\)\s*:-(.*)\.\s*(?:%.*)?$"
+RULE_LITERAL = rf"(?:not\b|\\\+)\s*\(?\s*{ANY_ATOM}|{ANY_ATOM}"
 
 
 def read_cases(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -194,40 +198,71 @@ def read_attributions(spark: SparkSession, path: str) -> DataFrame:
     return parse_attributions(_lines(spark, path))
 
 
-def _joins() -> Column:
-    """Whether a rule's body has a variable in another place than the first."""
-    body = F.regexp_extract("value", RULE, 2)
-    return body.rlike(r"\w+\([^()]*,\s*[A-Z_]\w*\s*[,)]")
+def parse_clauses(lines: DataFrame) -> DataFrame:
+    """Rules of every kind: (rule_text, head, head_args, lit_no, pred, args, negated).
+
+    One row per body literal. ``args`` are terms: variables are bare words that begin with a
+    capital or underscore, constants may be in quotes. Commented lines are no rules.
+    """
+    rules = lines.where(F.col("value").rlike(RULE)).select(
+        F.trim("value").alias("rule_text"),
+        F.regexp_extract("value", RULE, 1).alias("head"),
+        F.split(F.regexp_extract("value", RULE, 2), r"\s*,\s*").alias("head_args"),
+        F.regexp_extract_all(F.regexp_extract("value", RULE, 3), F.lit(f"({RULE_LITERAL})"), 1).alias("body"),
+    )
+    lits = rules.select("rule_text", "head", "head_args", F.posexplode("body").alias("lit_no", "lit"))
+    atom = rf"(\w+)\(((?:'(?:[^']|'')*'|[^()'])*)\)$"
+    terms = F.regexp_extract_all(F.regexp_extract("lit", atom, 2), F.lit(f"({TERM})"), 1)
+    return lits.select(
+        "rule_text",
+        "head",
+        "head_args",
+        "lit_no",
+        F.regexp_extract("lit", atom, 1).alias("pred"),
+        F.transform(F.filter(terms, lambda t: F.trim(t) != ""), lambda t: F.trim(t)).alias("args"),
+        F.col("lit").rlike(r"^(not\s*\(|not\s|\\\+)").alias("negated"),
+    )
+
+
+def rejected_rules(lines: DataFrame) -> DataFrame:
+    """Lines that look like rules and cannot be read as such: (value)."""
+    body = F.regexp_extract("value", RULE, 3)
+    left = F.regexp_replace(F.regexp_replace(body, RULE_LITERAL, ""), r"[\s,()]", "")
+    is_rule = F.col("value").contains(":-") & ~F.col("value").rlike(r"^\s*(?:%|:-)")
+    return lines.where(is_rule & (~F.col("value").rlike(RULE) | ~left.isin("", "true"))).select("value")
+
+
+def _is_variable(term: Column) -> Column:
+    return term.rlike("^[A-Z_]")
+
+
+def _joined_texts(clauses: DataFrame) -> DataFrame:
+    """Texts of the rules with a variable in another place than the first of a literal."""
+    later = F.slice("args", 2, F.greatest(F.size("args") - 1, F.lit(0)))
+    joins = F.exists(later, _is_variable) | (F.size("head_args") > 1) | (F.size("args") > 2)
+    return clauses.where(joins).select("rule_text").distinct()
 
 
 def joined_rules(lines: DataFrame) -> DataFrame:
     """Rules over several variables, whole: (value). They are clauses of relations."""
-    return lines.where(F.col("value").rlike(RULE) & _joins()).select("value")
+    return _joined_texts(parse_clauses(lines)).select(F.col("rule_text").alias("value"))
 
 
 def parse_rules(lines: DataFrame) -> DataFrame:
-    """Rules as (rule_text, head, lit_no, pred, val, negated), one row per literal.
+    """Rules about one case as (rule_text, head, lit_no, pred, val, negated), per literal.
 
-    ``h(A):-b1(A,x),not(ab0(A)).``; commented lines are no rules. Rules that join through
-    further variables are not attribute rules: they are left out, see ``joined_rules``.
+    ``h(A):-b1(A,x),b2(A,'X'),not(ab0(A)).`` Rules that join through further variables are
+    clauses of relations: ``joined_rules`` has exactly those, ``parse_clauses`` reads both
+    kinds, and ``rejected_rules`` has what neither reads.
     """
-    rules = lines.where(F.col("value").rlike(RULE) & ~_joins()).select(
-        F.trim("value").alias("rule_text"),
-        F.regexp_extract("value", RULE, 1).alias("head"),
-        F.regexp_extract_all(
-            F.regexp_extract("value", RULE, 2), F.lit(f"({RULE_LITERAL})"), 1
-        ).alias("body"),
-    )
-    lits = rules.select("rule_text", "head", F.posexplode("body").alias("lit_no", "lit"))
-    atom = F.regexp_extract("lit", r"(\w+)\(([^()]*)\)\)?$", 1)
-    args = F.split(F.regexp_extract("lit", r"(\w+)\(([^()]*)\)\)?$", 2), ",")
-    return lits.select(
+    clauses = parse_clauses(lines)
+    return clauses.join(_joined_texts(clauses), "rule_text", "left_anti").select(
         "rule_text",
         "head",
         "lit_no",
-        atom.alias("pred"),
-        F.when(F.size(args) > 1, F.trim(args[1])).alias("val"),
-        F.col("lit").rlike(r"^(not\s*\(|\\\+)").alias("negated"),
+        "pred",
+        F.when(F.size("args") > 1, unquoted_term(F.col("args")[1])).alias("val"),
+        "negated",
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import norm_value
+from ..functions.scalar import norm_value, quoted_term
 from ..rules import Theory
 
 
@@ -150,7 +150,7 @@ def write_itemsets(itemsets: DataFrame, path: str, **options) -> None:
 def render_rules(rule_literals: DataFrame) -> DataFrame:
     """(rule_id, value): ``h(A):-b1(A,x),not(ab0(A)).`` per rule."""
     atom = F.concat(
-        "pred", F.when(F.col("val").isNull(), "(A)").otherwise(F.concat(F.lit("(A,"), "val", F.lit(")")))
+        "pred", F.when(F.col("val").isNull(), "(A)").otherwise(F.concat(F.lit("(A,"), quoted_term("val"), F.lit(")")))
     )
     lit = F.when(F.col("negated"), F.concat(F.lit("not("), atom, F.lit(")"))).otherwise(atom)
     body = F.transform(

@@ -2,7 +2,7 @@
 
 from ruleweave.operators import coverage as cov
 from ruleweave.plans.learn import LearnSettings, learn_rules
-from ruleweave.rules import theory_from_rows
+from ruleweave.rules import Literal, Rule, Theory, theory_from_rows
 from ruleweave.sources import readers as rd
 from ruleweave.sources import writers as wr
 
@@ -129,3 +129,26 @@ def test_rules_with_joins_are_not_attribute_rules(spark):
     lines = spark.createDataFrame([("h(A):-c(A,B),d(B,x).",), ("h(A):-c(A,y),not(ab0(A)).",)], "value string")
     assert {r["pred"] for r in rd.parse_rules(lines).collect()} == {"c", "ab0"}
     assert [r["value"] for r in rd.joined_rules(lines).collect()] == ["h(A):-c(A,B),d(B,x)."]
+
+
+def test_quoted_constants_go_through_text(spark):
+    values = ["A", "MIDDLE EAST", "a,b", "f(x)", "it's", "", "_x", "1-URGENT", "low", "x y", "Ä"]
+    rules = tuple(Rule("positive", (Literal("c", v), Literal("d", v, True), Literal("ab0", None, True))) for v in values)
+    theory = Theory("positive", rules, (Rule("ab0", (Literal("e", "Q"),)),))
+    texts = wr.render_rules(theory.to_df(spark))
+    assert {r["value"] for r in texts.collect()} == {r.text() for r in (*theory.rules, *theory.exceptions)}
+    got = {(r["rule_text"], r["lit_no"], r["pred"], r["val"], r["negated"]) for r in rd.parse_rules(texts.select("value")).collect()}
+    want = {(r.text(), i, x.pred, x.val, x.negated) for r in (*theory.rules, *theory.exceptions) for i, x in enumerate(r.body)}
+    assert got == want and rd.joined_rules(texts).count() == 0
+
+
+def test_every_rule_is_read_or_named(spark):
+    lines = spark.createDataFrame(
+        [("h(A):-c(A,b),d(A,'B').",), ("h(A):-c(A,B).",), ("h(A,B):-c(A),d(B).",), ("h(A):-c(A), A > 3.",), ("h(a):-c(a).",),
+         ("% h(A):-c(A).",), ("c(p1).",)], "value string")
+    read = {r["rule_text"] for r in rd.parse_rules(lines).collect()}
+    joined = {r["value"] for r in rd.joined_rules(lines).collect()}
+    assert joined == {"h(A):-c(A,B).", "h(A,B):-c(A),d(B)."} and "h(A):-c(A,b),d(A,'B')." in read and not read & joined
+    assert {r["value"] for r in rd.rejected_rules(lines).collect()} == {"h(A):-c(A), A > 3.", "h(a):-c(a)."}
+    args = {tuple(r["args"]) for r in rd.parse_clauses(lines).where("pred = 'd'").collect()}
+    assert args == {("A", "'B'"), ("B",)}
