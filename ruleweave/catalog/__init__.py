@@ -11,6 +11,7 @@ MODULES = (
     "coverage_queries",
     "utility_queries",
     "relational_queries",
+    "clause_queries",
     "model_queries",
     "learn_queries",
     "text_queries",

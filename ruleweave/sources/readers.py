@@ -18,8 +18,7 @@ FACT = r"^\s*(\w+)\(\s*([\w.]+)\s*(?:,\s*([^()]+?)\s*)?\)\s*\.\s*(?:%.*)?$"
 MODE = r"^\s*#mode([hb])\((?:\s*(\d+)\s*,)?\s*(\w+)\((.*)\)\s*\)\s*$"
 MODE_ARG = r"(var|const)\((\w+)\)"
 CONSTANT = r"^\s*#constant\(\s*(\w+)\s*,\s*(.+?)\s*\)\s*$"
-ATOM = r"(\w+)\(((?:'[^']*'|[^()'])*)\)\s*\."
-ATOM_ARG = r"'[^']*'|[^,']+"
+ATOM = r"(\w+)\(((?:'(?:[^']|'')*'|[^()'])*)\)\s*\."
 SKIPPED = r"^\s*(?:%|:-|foil_\w+\(|$)"
 VIEW = r"^\s*(\w+)\(\s*([A-Z]\w*)\s*\)\s*:-\s*(\w+)\(\s*([A-Z]\w*)\s*\)\s*\.\s*(?:%.*)?$"
 ITEM = r"^\s*(\d+)->(\w+)\(\w+,(.*)\)\s*$"
@@ -66,13 +65,10 @@ def parse_atoms(lines: DataFrame) -> DataFrame:
     """
     plain = lines.where(~F.col("value").rlike(SKIPPED) & ~F.col("value").contains(":-"))
     atoms = plain.select(F.explode(F.regexp_extract_all("value", F.lit(ATOM), F.lit(0))).alias("atom"))
-    args = F.regexp_extract_all(F.regexp_extract("atom", ATOM, 2), F.lit(ATOM_ARG), F.lit(0))
+    args = F.regexp_extract_all(F.regexp_extract("atom", ATOM, 2), F.lit(f"({TERM})"), F.lit(1))
     return atoms.select(
         F.regexp_extract("atom", ATOM, 1).alias("pred"),
-        F.transform(
-            F.filter(args, lambda a: F.trim(a) != ""),
-            lambda a: F.regexp_replace(F.trim(a), "^'(.*)'$", "$1"),
-        ).alias("args"),
+        F.transform(F.filter(args, lambda a: F.trim(a) != ""), lambda a: unquoted_term(F.trim(a))).alias("args"),
     )
 
 

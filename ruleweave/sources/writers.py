@@ -147,6 +147,12 @@ def write_itemsets(itemsets: DataFrame, path: str, **options) -> None:
     write_lines(render_itemsets(itemsets), path, **options)
 
 
+def render_relation(pred: str, table: DataFrame) -> DataFrame:
+    """``pred(x,y,'Z').`` lines of a relation; rows with nulls are no facts."""
+    args = F.array(*[quoted_term(F.col(c).cast("string")) for c in table.columns])
+    return table.dropna().select(F.concat(F.lit(f"{pred}("), F.array_join(args, ","), F.lit(").")).alias("value"))
+
+
 def render_rules(rule_literals: DataFrame) -> DataFrame:
     """(rule_id, value): ``h(A):-b1(A,x),not(ab0(A)).`` per rule."""
     atom = F.concat(
