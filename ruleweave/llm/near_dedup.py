@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..session import materialize
 from .components import components, if_small
+from .memories import claim
 
 #: Bands and samples per band. A pair at similarity 0.8 shares no band with probability
 #: (1 - 0.8^7)^64 = 2.9e-7; links along other members of its component remain besides.
@@ -44,7 +45,9 @@ PER_FILE = 8_000
 PAIRS_PER_TEXT = 4
 
 _WORDS: dict[bytes, int] = {}
-_REMEMBERED = 1_000_000
+_REMEMBERED = 500_000
+#: Longer words are hashed each time they come.
+_LONG = 100
 _MASK = (1 << 64) - 1
 
 
@@ -72,7 +75,9 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     for word in found:
         h = get(word)
         if h is None:
-            h = _WORDS[word] = xxhash.xxh3_64_intdigest(word)
+            h = xxhash.xxh3_64_intdigest(word)
+            if len(word) <= _LONG:
+                _WORDS[word] = h
         hashed.append(h)
     h = np.array(hashed, dtype=np.uint64)
     span = min(words, len(h))
@@ -133,6 +138,7 @@ def signatures(
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup", _WORDS.clear)
         for batch in batches:
             size, digest, keys, sketch = [], [], [], []
             for text in batch.column(2).to_pylist():
@@ -173,6 +179,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words:
     kind = StructType([chosen.schema["node"], StructField("members", ArrayType(LongType()))])
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("near_dedup", _WORDS.clear)
         for batch in batches:
             sets = [shingle_set(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

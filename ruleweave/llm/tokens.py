@@ -3,7 +3,7 @@
 The tokenizers library does the encoding. For a tokenizer that drops white space, a text's
 ids are those of its white-space separated pieces, one after another; pieces met before are
 taken from a bounded memory. ``Encoder`` runs inside tasks; its tokenizer file is read once
-per Python worker. Tokenizers that keep white space must not be used with it.
+per Python worker. Tokenizers that keep white space are refused.
 """
 
 from __future__ import annotations
@@ -11,10 +11,16 @@ from __future__ import annotations
 import os
 from array import array
 
+from .memories import claim
+
 #: Pieces remembered per worker; the memory is emptied when it is full.
 REMEMBERED = 1_000_000
-#: New pieces normalized and split as one line.
-LINE = 64
+#: Longer pieces (base64, say) are encoded each time they come.
+LONG = 200
+#: New pieces encoded as one line.
+LINE = 256
+#: Texts that show whether a tokenizer drops white space.
+_SPACED = (("a", "b"), ("word,", "Word"), ("1", ".", "x9"))
 
 _LOADED: dict[str, Encoder] = {}
 
@@ -32,54 +38,66 @@ class Encoder:
         self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends: dict[str, bool] = {}  # letter and mark -> whether the mark is a word of its own
+        for words in _SPACED:
+            apart = b"".join(map(self.whole, words))
+            if any(self.whole(gap.join(words)) != apart for gap in (" ", "  ", "\n")):
+                raise ValueError("the tokenizer keeps white space, pieces cannot be encoded apart")
 
     def whole(self, text: str) -> bytes:
         """Ids of a text by one call of the library."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def stands_alone(self, end: str) -> bool:
+        """Whether a full stop or comma after this letter is a word of its own.
+
+        Some letters end in a mark once they are normalized, and then both are one word.
+        """
+        known = self.ends.get(end)
+        if known is None:
+            letter, mark = end
+            normal = self.tokenizer.normalizer.normalize_str(letter) if self.tokenizer.normalizer else letter
+            known = letter.isalpha() and normal[-1:].isalpha() and (
+                self.whole(end) == self.whole(letter) + self.whole(mark)
+            )
+            self.ends[end] = known
+        return known
+
     def learn(self, pieces: list[bytes]) -> None:
-        """Encode pieces that are not known yet.
+        """Encode pieces that are not known yet, many as one line of the tokenizer.
 
-        The tokenizer's own normalizer, splitter and model run one after another. A full
-        stop or comma after a letter is a word of its own, so such pieces are put together
-        from two. Pieces that may hold the string of an added token go through the whole
-        tokenizer.
+        Ids belong to the piece in which their place begins. Pieces that end in a full stop
+        or comma are put together from two where that is right. Pieces that may hold the
+        string of an added token are encoded by themselves.
         """
         known, plain, ended = self.known, [], []
-        for piece in pieces:
-            if piece in known:
-                continue
-            text = piece.decode()
-            if any(added in text for added in self.added):
+        pieces = [piece for piece in pieces if piece not in known]
+        texts = b" ".join(pieces).decode().split(" ") if pieces else []
+        some_added = any(added in piece for added in self.added for piece in texts)
+        for piece, text in zip(pieces, texts, strict=True):
+            if some_added and any(added in text for added in self.added):
                 known[piece] = self.whole(text)
-            elif len(text) > 1 and text[-1] in ".," and text[-2].isalpha():
+            elif text[-1] in ".," and len(text) > 1 and self.stands_alone(text[-2:]):
                 ended.append((piece, piece[:-1], piece[-1:]))
             else:
                 plain.append(piece)
         plain += [part for _, *parts in ended for part in parts if part not in known]
         plain = list(dict.fromkeys(plain))
         for start in range(0, len(plain), LINE):
-            group = plain[start : start + LINE]
-            line = self.tokenizer.normalizer.normalize_str(b" ".join(group).decode())
-            texts = line.split(" ")
-            if len(texts) == len(group):
-                self._words(group, texts, line)
-            else:  # white space of Unicode inside a piece
-                known.update((piece, self.whole(piece.decode())) for piece in group)
+            self._line(plain[start : start + LINE])
         known.update((piece, known[body] + known[mark]) for piece, body, mark in ended)
 
-    def _words(self, group: list[bytes], texts: list[str], line: str) -> None:
-        """Ids of the pieces of a normalized line, word by word."""
-        tokenize = self.tokenizer.model.tokenize
-        words = self.tokenizer.pre_tokenizer.pre_tokenize_str(line)
-        nth, count, end = 0, len(words), -1
+    def _line(self, group: list[bytes]) -> None:
+        texts = [piece.decode() for piece in group]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids, places = array("I", found.ids).tobytes(), found.offsets
+        at, count, end = 0, len(places), -1
         for piece, text in zip(group, texts, strict=True):
             end += len(text) + 1
-            ids: list[int] = []
-            while nth < count and words[nth][1][0] < end:
-                ids += [token.id for token in tokenize(words[nth][0])]
-                nth += 1
-            self.known[piece] = array("I", ids).tobytes()
+            first = at
+            while at < count and places[at][0] < end:
+                at += 1
+            self.known[piece] = ids[4 * first : 4 * at]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian uint32; null counts as empty."""
@@ -97,11 +115,17 @@ class Encoder:
             self.known.clear()
             missing = list(dict.fromkeys(pieces))
         self.learn(missing)
-        return b"".join(map(self.known.__getitem__, pieces))
+        ids = b"".join(map(self.known.__getitem__, pieces))
+        for piece in missing:
+            if len(piece) > LONG:
+                self.known.pop(piece, None)
+                self.known.pop(piece[:-1], None)
+        return ids
 
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a tokenizer file."""
+    claim("tokens", _LOADED.clear)
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
     return _LOADED[path]

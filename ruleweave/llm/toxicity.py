@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .memories import claim
 
 #: Labelled rows the classifier is fitted on, about at most.
 FIT_ROWS = 40_000
@@ -93,6 +94,44 @@ def shortened(word: str, most: int) -> set[str]:
     return found
 
 
+#: In a node of a trie, the terms below it; no word holds this letter.
+BELOW = "\n"
+#: Odd numbers that spread letters and pairs over bits.
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+
+
+def letter_bits(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bitmaps, sizes) of words: 128 bits of their letters and 128 of their pairs of letters.
+
+    Letters fall into 32 groups, whose first, second, third and fourth letter have a bit
+    each, so that differing bits are at most as many as differing letters. Pairs, with the
+    ends of a word, have a bit each.
+    """
+    sizes = np.array([len(w) for w in words], np.int64)
+    if not len(words):
+        return np.zeros((0, 4), np.uint64), sizes
+    codes = np.frombuffer(("\n" + "\n".join(words) + "\n").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    pairs = codes[:-1] * np.uint64(_MIX[0]) ^ codes[1:] * np.uint64(_MIX[1])
+    pairs = (pairs * np.uint64(_MIX[2])) >> np.uint64(57)
+    groups = ((codes[1:] * np.uint64(_MIX[0])) >> np.uint64(59)).astype(np.int64)
+    of = np.repeat(np.arange(len(words)), sizes + 1)
+    key = of * 32 + groups
+    by = np.argsort(key, kind="stable")
+    first = np.r_[True, key[by][1:] != key[by][:-1]]
+    nth = np.empty(len(by), np.int64)
+    nth[by] = np.arange(len(by)) - np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+    letters = (groups * 4 + np.minimum(nth, 3)).astype(np.uint64)
+    letter = codes[1:] != ord("\n")
+    halves = []
+    for numbers, counts in ((letters, letter), (pairs, None)):
+        bit = np.uint64(1) << (numbers & np.uint64(63))
+        for side in (False, True):
+            keep = (numbers >= 64) == side
+            halves.append(np.bitwise_or.reduceat(np.where(keep if counts is None else keep & counts, bit, np.uint64(0)), starts))
+    return np.stack(halves, axis=1), sizes
+
+
 class Lexicon:
     """Tries of terms and of beginnings, intersected with the Levenshtein automaton of a word."""
 
@@ -108,6 +147,11 @@ class Lexicon:
         self.shortened: dict[int, set[str]] = {1: set(), 2: set()}
         self.short_shortened: set[str] = set()
         self.stems_shortened: set[str] = set()
+        fuzzy = [e.text for e in entries if not e.stem and budget(len(e.text))]
+        numbers = {text: i for i, text in enumerate(fuzzy)}
+        self.prefixes: dict[str, bool] = {}
+        self.fuzzy_bits, self.fuzzy_sizes = letter_bits(fuzzy)
+        self.fuzzy_edits = np.array([budget(len(t)) for t in fuzzy], np.int64)
         for entry in entries:
             edits = budget(len(entry.text))
             if not edits:
@@ -119,13 +163,39 @@ class Lexicon:
             else:
                 node, kept = self.root, self.shortened[edits]
             kept |= shortened(entry.text, edits)
+            # Every node knows which terms are below it, as the bits of a number.
+            number = 0 if entry.stem else 1 << numbers[entry.text]
             for letter in entry.text:
-                node = node.setdefault(letter, {})
+                node = node.setdefault(letter, {BELOW: 0})
+                node[BELOW] |= number
             node[""] = entry
 
-    def match(self, word: str, sure_first: bool = False) -> tuple[Entry, int] | None:
+    def candidates(self, words: Sequence[str]) -> dict[int, int]:
+        """Terms that a word is near to in length, letters and pairs: number of the word ->
+        bits of the terms.
+
+        An edit changes two letters and four pairs of letters at most, or six pairs if it
+        swaps two letters, so no misspelled term is missed; this saves time only.
+        """
+        near: dict[int, int] = {}
+        if not len(self.fuzzy_edits):
+            return near
+        for start in range(0, len(words), 512):
+            bits, sizes = letter_bits(words[start : start + 512])
+            word, term = np.nonzero(np.abs(sizes[:, None] - self.fuzzy_sizes[None]) <= self.fuzzy_edits)
+            for columns, per_edit in ((slice(0, 2), 2), (slice(2, 4), 6)):
+                differ = np.bitwise_count(bits[word, columns] ^ self.fuzzy_bits[term, columns]).sum(axis=1)
+                fits = differ <= per_edit * self.fuzzy_edits[term]
+                word, term = word[fits], term[fits]
+            for i, t in zip((start + word).tolist(), term.tolist(), strict=True):
+                near[i] = near.get(i, 0) | 1 << t
+        return near
+
+    def match(self, word: str, sure_first: bool = False, among: int | None = None) -> tuple[Entry, int] | None:
         """(entry, edits) of the best entry for a word: exact, then a stem, then misspelled.
 
+        Misspelled terms are looked for ``among`` those with these bits only, if given.
+
         Of misspelled terms, the one with fewer edits and more lean is best; with
         ``sure_first``, those that are not weak come before. Misspelled stems come last.
         """
@@ -142,24 +212,34 @@ class Lexicon:
         most = 2 if size >= 8 else 1
         sure = short = None
         # Each edit takes a letter at most from either side, so what is left is the same.
-        if size <= self.longest and not (
+        if among is None and size <= self.longest and not (
             self.shortened[1].isdisjoint(shortened(word, 1))
             and (not self.shortened[2] or self.shortened[2].isdisjoint(shortened(word, most)))
-        ):
-            sure = self._misspelled(word, self.root, most)
+        ) or among:
+            sure = self._misspelled(word, self.root, most, among)
             if sure and sure_first:
                 return sure
-        if size <= 5 and not self.short_shortened.isdisjoint(shortened(word, 1)):
-            short = self._misspelled(word, self.short_root, 1)
+        if size <= 5 and (among or among is None and not self.short_shortened.isdisjoint(shortened(word, 1))):
+            short = self._misspelled(word, self.short_root, 1, among)
         if sure or short:
             return min(filter(None, (sure, short)), key=lambda x: (x[1], -x[0].lean))
-        if any(not self.stems_shortened.isdisjoint(shortened(word[:n], 1)) for n in self.stem_lengths):
+        if self.stem_lengths and self._near_stem(word[: self.stem_lengths[0]]):
             # Stems allow one edit, so no more letters than these come into it.
             return self._misspelled(word[: self.stem_lengths[0] + 1], self.stem_root, 1)
         return None
 
+    def _near_stem(self, prefix: str) -> bool:
+        """Whether a stem may begin a word, with an edit; words share their beginnings."""
+        near = self.prefixes.get(prefix)
+        if near is None:
+            if len(self.prefixes) > 200_000:
+                self.prefixes.clear()
+            near = any(not self.stems_shortened.isdisjoint(shortened(prefix[:n], 1)) for n in self.stem_lengths)
+            self.prefixes[prefix] = near
+        return near
+
     @staticmethod
-    def _misspelled(word: str, root: dict, most: int) -> tuple[Entry, int] | None:
+    def _misspelled(word: str, root: dict, most: int, among: int | None = None) -> tuple[Entry, int] | None:
         size = len(word)
         masks: dict[str, int] = {}
         for j, letter in enumerate(word):
@@ -172,6 +252,8 @@ class Lexicon:
         while todo:
             node, states, before, last = todo.pop()
             for letter, child in node.items():
+                if letter == BELOW:
+                    continue
                 if letter == "":
                     for e in range(1, budget(len(child.text)) + 1):
                         # A beginning may end anywhere in the word.
@@ -180,6 +262,8 @@ class Lexicon:
                                 best = (e, -child.lean, child)
                             break
                     continue
+                if among is not None and not child[BELOW] & among:
+                    continue
                 mask = masks.get(letter, 0)
                 moved = [(states[0] & mask) << 1]
                 for e in range(1, most + 1):
@@ -193,31 +277,56 @@ class Lexicon:
         return (best[2], best[0]) if best else None
 
 
+#: Words a worker remembers, and their letters.
+REMEMBERED, REMEMBERED_LETTERS = 400_000, 6_000_000
+_MATCHERS: dict[tuple[Entry, ...], Matcher] = {}
+
+
+def matcher(entries: tuple[Entry, ...]) -> Matcher:
+    """This worker's matcher for a lexicon, with the words it has met."""
+    claim("toxicity", _MATCHERS.clear)
+    if entries not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[entries] = Matcher(entries)
+    return _MATCHERS[entries]
+
+
 class Matcher:
-    """Features of texts; words met before are remembered."""
+    """Features of texts; words met before are remembered, within bounds."""
 
-    def __init__(self, entries: Sequence[Entry], remembered: int = 500_000):
+    def __init__(self, entries: Sequence[Entry], remembered: int = REMEMBERED):
         self.lexicon, self.remembered = Lexicon(entries), remembered
-        self.known: dict[str, tuple[Entry, int] | None] = {}
+        self.known: set[str] = set()
+        self.letters = 0
+        self.found: dict[str, tuple[Entry, int]] = {}
+
+    def learn(self, words: Sequence[str]) -> None:
+        """Match words that are not known yet, each once."""
+        bare = [w.strip(EDGES) for w in words]
+        near = self.lexicon.candidates(bare)
+        for i, (word, core) in enumerate(zip(words, bare, strict=True)):
+            entry = self.lexicon.match(core, True, near.get(i, 0))
+            if entry is not None:
+                self.found[word] = entry
+        self.known.update(words)  # a text's own words are needed at once, however long
+        self.letters += sum(map(len, words))
 
     def features(self, text: str | None) -> list[float]:
-        words = (text or "").lower().split()
-        known = self.known
-        if len(known) > self.remembered:
-            known.clear()
-        hits = []
-        for at, word in enumerate(words):
-            try:
-                found = known[word]
-            except KeyError:
-                found = known[word] = self.lexicon.match(word.strip(EDGES), True)
-            if found is not None:
-                hits.append((at, *found))
+        text = (text or "").lower()
+        words = text.split()
+        if len(self.known) > self.remembered or self.letters > REMEMBERED_LETTERS:
+            self.known.clear()
+            self.found.clear()
+            self.letters = 0
+        if not self.known.issuperset(words):
+            self.learn(sorted(set(words) - self.known))
+        found = self.found
+        hits = [(at, *found[word]) for at, word in enumerate(words) if word in found]
         if not hits:
             return [0.0] * len(FEATURES)
         plain = weight = stems = near = quoted = faint = 0.0
         strongest = 0.0
-        open_before = self._open_quotes(words) if any(q in w for w in words for q in QUOTES) else None
+        open_before = self._open_quotes(words) if any(q in text for q in QUOTES) else None
         strong = [hit for hit in hits if not weak(*hit[1:])]
         for at, entry, edits in hits:
             is_weak = weak(entry, edits)
@@ -401,7 +510,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 def _featured(texts: DataFrame, lexicons: Sequence[Sequence[Entry]]) -> DataFrame:
     """(features, label) of every (text, label, fold), matched with the lexicon of its fold."""
-    held = [list(entries) for entries in lexicons]
+    held = [tuple(entries) for entries in lexicons]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers: dict[int, Matcher] = {}
@@ -409,7 +518,7 @@ def _featured(texts: DataFrame, lexicons: Sequence[Sequence[Entry]]) -> DataFram
             found = []
             for text, fold in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if fold not in matchers:
-                    matchers[fold] = Matcher(held[fold], 100_000)
+                    matchers[fold] = Matcher(held[fold], 60_000)
                 found.append(matchers[fold].features(text))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["features", "label"]
@@ -440,13 +549,14 @@ def learn(labelled: DataFrame) -> Model:
 
 def scored(text: Column, model: Model) -> Column:
     """Score of a text column between 0 and 1; null counts as empty."""
-    entries, weights = list(model.entries), np.array(model.weights)
+    entries, weights = tuple(model.entries), np.array(model.weights)
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        matcher = Matcher(entries)
+        known = matcher(entries)
         for batch in batches:
-            x = np.array([[1.0, *matcher.features(t)] for t in batch.to_pylist()]).reshape(-1, len(weights))
+            texts = batch.to_pylist()
+            x = np.array([[1.0, *known.features(t)] for t in texts]).reshape(-1, len(weights))
             yield pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))
 
     return score(text)
