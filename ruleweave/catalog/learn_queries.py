@@ -66,6 +66,25 @@ def planted_documents(spark, sf) -> CaseTable:
 PLANTED_DOCUMENTS = f"""{DOCUMENTS}, planted AS (SELECT coalesce(lang = 'en' AND NOT (toxic = '1'), false) AS is_pos FROM cases)"""
 
 
+#: Labelled documents that are long or come from two of the sources, or both.
+ODD_DOCUMENTS = f"""{DOCUMENTS}, odd AS (SELECT case_id, lang, chars_q = '3' AS long, source IN ('src0', 'src3') AS few FROM cases)"""
+
+
+def odd_documents(spark, sf, both_only: bool) -> CaseTable:
+    """English documents are positive unless long or from few sources: if they are just one
+    of the two, or with ``both_only`` if they are both."""
+    c = document_cases(spark, sf)
+    df = c.df.select(
+        "case_id", "lang",
+        F.when(F.col("chars_q") == "3", "yes").alias("long"),
+        F.when(F.col("source").isin("src0", "src3"), "yes").alias("few"),
+    )
+    long, few = F.col("long").isNotNull(), F.col("few").isNotNull()
+    bad = long & few if both_only else long != few
+    label = F.coalesce((F.col("lang") == "en") & ~bad, F.lit(False))
+    return CaseTable(df.withColumn("is_pos", label), ("lang", "long", "few"))
+
+
 def quality(df: DataFrame, theory: Theory) -> DataFrame:
     return ev.evaluate(cov.score(df, theory)).select("tp", "tn", "fp", "fn")
 
@@ -112,13 +131,69 @@ def s03_learn(spark, sf):
     return quality(p.df, theory)
 
 
-@query("r05_learn_documents_with_exceptions", f"WITH {PLANTED_DOCUMENTS} {PERFECT}")
+@query("r05_learn_documents_with_exceptions", f"""WITH {ODD_DOCUMENTS},
+    n AS (SELECT count(*) FILTER (long AND NOT few) AS l, count(*) FILTER (few AND NOT long) AS f,
+      count(*) FILTER (long = few) AS p FROM odd WHERE lang = 'en'),
+    o AS (SELECT p, CASE WHEN l > f THEN ['long', 'few'] ELSE ['few', 'long'] END AS v FROM n)
+  SELECT 'positive(A):-lang(A,en),not(ab2(A)).' AS rule, p AS p_cov, 0::BIGINT AS n_cov FROM o
+  UNION ALL SELECT 'ab2(A):-' || v[1] || '(A,yes),not(ab0(A)).', NULL, NULL FROM o
+  UNION ALL SELECT 'ab0(A):-' || v[2] || '(A,yes).', NULL, NULL FROM o
+  UNION ALL SELECT 'ab2(A):-' || v[2] || '(A,yes),not(ab1(A)).', NULL, NULL FROM o
+  UNION ALL SELECT 'ab1(A):-' || v[1] || '(A,yes).', NULL, NULL FROM o""")
 def r05(spark, sf):
-    """Rules with exceptions for a planted label on documents, learned without any bound."""
+    """Exceptions of exceptions: a label that no conjunction of literals tells."""
+    c = odd_documents(spark, sf, both_only=False)
+    return rule_report(spark, c.df, learn_rules(c)).select("rule", "p_cov", "n_cov")
+
+
+@query("r05_separable_documents", f"WITH {PLANTED_DOCUMENTS} {PERFECT}")
+def r05_plain(spark, sf):
+    """Rules for a planted label on documents that conjunctions tell, without any bound."""
     c = planted_documents(spark, sf)
     return quality(c.df, learn_rules(c))
 
 
+@query("r03_learn_all_but", f"""WITH {ODD_DOCUMENTS} SELECT 'positive(A):-not(ab0(A)).' AS rule,
+    count(*) FILTER (NOT (long OR few)) AS p_cov, 0::BIGINT AS n_cov FROM odd
+  UNION ALL SELECT 'ab0(A):-long(A,yes).', NULL, NULL UNION ALL SELECT 'ab0(A):-few(A,yes).', NULL, NULL""")
+def r03_all_but(spark, sf):
+    """A rule of exceptions alone: no literal tells the positives."""
+    c = odd_documents(spark, sf, both_only=True)
+    label = F.col("long").isNull() & F.col("few").isNull()
+    c = CaseTable(c.df.withColumn("is_pos", label), ("long", "few"))
+    return rule_report(spark, c.df, learn_rules(c, settings=LearnSettings(exceptions_alone=True))).select("rule", "p_cov", "n_cov")
+
+
+@query("c03_learn_negated_literal", f"""WITH {ORDERS} SELECT 'positive(A):-not(region(A,''ASIA'')).' AS rule,
+    count(*) FILTER (region IS DISTINCT FROM 'ASIA') AS p_cov, 0::BIGINT AS n_cov FROM cases""")
+def c03_negated(spark, sf):
+    """All regions but one, learned as one negated literal."""
+    c = planted(orders_cases(spark, sf), ~F.coalesce(F.col("region") == "ASIA", F.lit(False)))
+    return rule_report(spark, c.df, learn_rules(c, settings=LearnSettings(negation=True))).select("rule", "p_cov", "n_cov")
+
+
+@query("r05b_learn_with_lists", f"""WITH {DOCUMENTS}, planted AS (SELECT case_id, lang = 'en' AND case_id % 5 <> 0 AS is_pos, lang FROM cases)
+  SELECT 'listed' AS kind, CAST(case_id AS VARCHAR) AS detail, 1::BIGINT AS n FROM planted WHERE lang = 'en' AND NOT is_pos
+  UNION ALL SELECT 'rule', 'positive(A):-lang(A,en),not(ab0(A)).', 1
+  UNION ALL SELECT 'tp', '', count(*) FILTER (is_pos) FROM planted UNION ALL SELECT 'tn', '', count(*) FILTER (NOT is_pos) FROM planted
+  UNION ALL SELECT 'fp', '', 0 UNION ALL SELECT 'fn', '', 0""")
+def r05b_lists(spark, sf):
+    """Negatives without a pattern are listed by id; with the lists no case is wrong."""
+    c = document_cases(spark, sf)
+    c = CaseTable(
+        c.df.select("case_id", "lang", ((F.col("lang") == "en") & (F.col("case_id") % 5 != 0)).alias("is_pos")), ("lang",)
+    )
+    theory = learn_rules(c, settings=LearnSettings(listed=True))
+    scored = quality(c.df, theory)
+    report = scored.unpivot([], ["tp", "tn", "fp", "fn"], "kind", "n").select("kind", F.lit("").alias("detail"), "n")
+    for ids in theory.listed.values():
+        report = report.unionByName(
+            ids.select(F.lit("listed").alias("kind"), F.col("case_id").cast("string").alias("detail"), F.lit(1).cast("bigint").alias("n"))
+        )
+    rules = spark.createDataFrame([("rule", r.text(), 1) for r in theory.rules], "kind string, detail string, n bigint")
+    return report.unionByName(rules)
+
+
 @query("r07_prune_rules")
 def r07b(spark, sf):
     """The fixed theory after rule pruning with a generous loss."""
@@ -157,11 +232,21 @@ def r09b(spark, sf):
     return quality(c.df, theory)
 
 
+@query("r09_learn_utility_exceptions", f"""WITH {ODD_DOCUMENTS} SELECT 'positive(A):-lang(A,en),not(ab0(A)).' AS rule,
+    count(*) FILTER (lang = 'en' AND NOT (long AND few)) AS p_cov, 0::BIGINT AS n_cov FROM odd
+  UNION ALL SELECT 'ab0(A):-few(A,yes),long(A,yes).', NULL, NULL""")
+def r09c(spark, sf):
+    """Utility rules with an exception, which is an itemset of the covered negatives."""
+    c = odd_documents(spark, sf, both_only=True)
+    theory = learn_utility_rules(with_phi(c, order_attributions(c)), UtilitySettings(min_accuracy=1.0, leftover=0.0))
+    return rule_report(spark, c.df, theory).select("rule", "p_cov", "n_cov")
+
+
 @query("r10_learn_guided_rules", f"WITH {PLANTED_DOCUMENTS} {PERFECT}")
 def r10b(spark, sf):
     """Greedy rules whose literals are led by attributions."""
     c = planted_documents(spark, sf)
-    return quality(c.df, learn_guided_rules(with_phi(c, order_attributions(c)), top=100, settings=LearnSettings()))
+    return quality(c.df, learn_guided_rules(with_phi(c, order_attributions(c)), top=6, settings=LearnSettings()))
 
 
 @query("r11_learn_relational", f"""WITH {ORDERS}, planted AS (SELECT coalesce(segment = 'BUILDING' AND region = 'ASIA', false) AS is_pos

@@ -93,14 +93,16 @@ class Program:
         ``domains`` has the bindings a relation's head variables range over, one column per
         variable; such a relation needs no positive atom for them.
         """
-        known, domains = dict(tables), domains or {}
+        # Rows with nulls are no facts.
+        named = {a.pred for c in self.clauses for a in c.body} | {c.head.pred for c in self.clauses}
+        known, domains = {p: t.dropna() if p in named else t for p, t in tables.items()}, domains or {}
         uses: dict[str, int] = {}
         for clause in self.clauses:
             for atom in clause.body:
                 uses[atom.pred] = uses.get(atom.pred, 0) + 1
         for name in self.strata():
             parts = [self._head(c, known, domains.get(name)) for c in self.clauses if c.head.pred == name]
-            facts = [tables[name]] if name in tables else []
+            facts = [known[name]] if name in known else []
             whole = reduce(DataFrame.unionByName, [*facts, *parts]).distinct()
             known[name] = materialize(whole) if uses.get(name, 0) > 1 else whole
         return known

@@ -166,10 +166,25 @@ def with_gain(counts: DataFrame, p_parent: int | Column, n_parent: int | Column)
     return counts.withColumn("gain", gain)
 
 
+def with_negated(counts: DataFrame, p_parent: int, n_parent: int) -> DataFrame:
+    """Candidates and their negations: what does not hold is the clause's rest.
+
+    The counts of ``not l`` are the clause's totals less those of ``l``, so negation needs
+    no scan of its own; cases without a value count for it.
+    """
+    plain = counts.withColumn("negated", F.lit(False))
+    rest = counts.withColumns({
+        "p_cov": F.lit(p_parent) - F.col("p_cov"), "n_cov": F.lit(n_parent) - F.col("n_cov"), "negated": F.lit(True),
+    })
+    return plain.unionByName(rest)
+
+
 def rank_literals(gains: DataFrame) -> DataFrame:
-    """Candidates that gain anything, best first; ties by attribute and value."""
+    """Candidates that gain anything, best first; ties go to plain literals, then by
+    attribute and value."""
+    plain_first = ["negated"] if "negated" in gains.columns else []
     return gains.where("gain > 0").orderBy(
-        F.desc("gain"), F.asc("pred"), F.asc_nulls_first("val")
+        F.desc("gain"), *plain_first, F.asc("pred"), F.asc_nulls_first("val")
     )
 
 

@@ -24,6 +24,7 @@ from ..operators.gain import (
     mdl_accept,
     weigh,
     with_gain,
+    with_negated,
 )
 from ..operators.prep import CaseTable
 from ..rules import Literal, Rule, Theory, any_of, literal_condition, rule_condition
@@ -36,6 +37,11 @@ class LearnSettings:
     ``max_depth`` bounds exceptions of exceptions (None: they end by themselves, as each
     level works on fewer cases than the one above it); ``max_rules`` bounds the rules per
     head (None: until nothing is left to explain or nothing more can be learned).
+
+    ``negation`` proposes negated literals too. With ``exceptions_alone`` a theory may begin
+    with "all but": where no literal gains, exceptions of the clause without a body are
+    looked for. With ``listed`` the negatives that a clause still covers, and for which no
+    exception is found, are listed by their ids.
     """
 
     target: str = "positive"
@@ -44,6 +50,9 @@ class LearnSettings:
     max_depth: int | None = None
     use_mdl: bool = True
     max_rules: int | None = None
+    negation: bool = False
+    exceptions_alone: bool = False
+    listed: bool = False
 
 
 @dataclass(frozen=True)
@@ -70,6 +79,8 @@ class GreedySearch:
         self.bias = bias
         self.settings = settings
         self.exceptions: list[Rule] = []
+        #: Exceptions that list cases: head -> the side they are on.
+        self.listed: dict[str, Side] = {}
         self.next_ab = 0
         p, n = self.count(Side("p_w", F.lit(True)), Side("n_w", F.lit(True)))
         self.total = p + n
@@ -79,9 +90,14 @@ class GreedySearch:
 
     # -- pieces -------------------------------------------------------------
 
-    def condition(self, body: list[Literal]) -> Column:
-        theory = Theory(self.settings.target, (), tuple(self.exceptions))
-        return rule_condition(Rule(self.settings.target, tuple(body)), self.df, theory)
+    @property
+    def listed_side(self) -> dict[str, str]:
+        return {head: side.weight for head, side in self.listed.items()}
+
+    def condition(self, body: list[Literal], side: Side) -> Column:
+        """The body on the cases of a side: listed exceptions differ between the two."""
+        theory = Theory(self.settings.target, (), tuple(self.exceptions), listed_side=self.listed_side)
+        return rule_condition(Rule(self.settings.target, tuple(body)), self.df, theory, side.weight)
 
     def count(self, *sides: Side) -> list[int]:
         row = self.df.agg(*[F.sum(s.count).alias(f"c{i}") for i, s in enumerate(sides)]).first()
@@ -93,8 +109,17 @@ class GreedySearch:
         """All candidate literals for ``body`` with counts and gain."""
         active = self.df.where((pos.count > 0) | (neg.count > 0))
         attrs = self.bias.open_attrs(body)
-        counts = candidate_counts(active, attrs, pos.count, neg.count, self.base.unary)
-        return with_gain(bias_filter(counts, self.bias), n_pos, n_neg)
+        counts = bias_filter(
+            candidate_counts(active, attrs, pos.count, neg.count, self.base.unary), self.bias
+        )
+        if self.settings.negation:
+            counts = with_negated(counts, n_pos, n_neg)
+        return with_gain(counts, n_pos, n_neg)
+
+    @property
+    def literal_bits(self) -> float:
+        """Bits to name a literal; one more tells whether it is negated."""
+        return self.bias.literal_bits + self.settings.negation
 
     def best_literal(
         self, body: list[Literal], pos: Side, neg: Side, n_pos: int, n_neg: int
@@ -106,10 +131,11 @@ class GreedySearch:
         if row is None:
             return None
         if self.settings.use_mdl and not mdl_accept(
-            self.total, row["p_cov"], self.bias.literal_bits, len(body) + 1
+            self.total, row["p_cov"], self.literal_bits, len(body) + 1
         ):
             return None
-        return Literal(row["pred"], row["val"]), row["p_cov"], row["n_cov"]
+        negated = self.settings.negation and row["negated"]
+        return Literal(row["pred"], row["val"], negated), row["p_cov"], row["n_cov"]
 
     # -- the loop -----------------------------------------------------------
 
@@ -127,29 +153,35 @@ class GreedySearch:
             pos, neg = pos.within(holds), neg.within(holds)
             if n_pos / (n_pos + n_neg) > self.settings.stop_accuracy:
                 return body
-        if not body or n_pos == 0:
+        # "All but" is for the target itself: an exception of everything would be its opposite.
+        alone = self.settings.exceptions_alone and depth == 0 and n_neg > 0
+        if n_pos == 0 or not (body or alone):
             return None
         accuracy = n_pos / (n_pos + n_neg)
         if (self.settings.max_depth is None or depth < self.settings.max_depth) and n_neg > 0:
             head = self.learn_exceptions(body, pos, neg, n_pos, n_neg, depth)
             if head is not None:
                 body = [*body, Literal(head, None, True)]
-                limited = self.condition(body[-1:])
-                p_left, n_left = self.count(pos.within(limited), neg.within(limited))
+                p_left, n_left = self.count(
+                    pos.within(self.condition(body[-1:], pos)), neg.within(self.condition(body[-1:], neg))
+                )
                 accuracy = (p_left + n_neg - n_left) / (n_pos + n_neg)
-        return body if accuracy >= self.settings.min_accuracy else None
+        return body if body and accuracy >= self.settings.min_accuracy else None
 
     def learn_exceptions(
         self, body: list[Literal], pos: Side, neg: Side, n_pos: int, n_neg: int, depth: int
     ) -> str | None:
-        """Rules for the negatives a clause covers, with the roles of the sets swapped."""
-        if self.best_literal(body, neg, pos, n_neg, n_pos) is None:
-            return None
-        bodies = self.cover(neg, pos, depth + 1)
-        if not bodies:
+        """Rules for the negatives a clause covers, with the roles of the sets swapped; their
+        list, if there is no pattern in them and lists are wanted."""
+        bodies: list[list[Literal]] = []
+        if self.best_literal(body, neg, pos, n_neg, n_pos) is not None:
+            bodies = self.cover(neg, pos, depth + 1)
+        if not bodies and not (self.settings.listed and body):
             return None
         head = f"ab{self.next_ab}"
         self.next_ab += 1
+        if not bodies:
+            self.listed[head] = neg
         self.exceptions.extend(Rule(head, tuple(b)) for b in bodies)
         return head
 
@@ -166,14 +198,23 @@ class GreedySearch:
             if body is None:
                 break
             bodies.append(body)
-            done.append(self.condition(body))
+            done.append(self.condition(body, pos))
         return bodies
 
     def run(self) -> Theory:
         bodies = self.cover(Side("p_w", F.lit(True)), Side("n_w", F.lit(True)), 0)
         target = self.settings.target
         rules = tuple(Rule(target, tuple(b)) for b in bodies)
-        return Theory(target, rules, tuple(self.exceptions)).reachable()
+        return Theory(target, rules, tuple(self.exceptions), listed_side=self.listed_side).reachable()
+
+    def with_ids(self, theory: Theory, cases: CaseTable) -> Theory:
+        """The theory with the ids its lists hold, found by one filter of the cases each."""
+        listed = {}
+        for head in theory.listed_side:
+            side = self.listed[head]
+            mine = F.coalesce(F.col("is_pos"), F.lit(False)) == F.lit(side.weight == "p_w")
+            listed[head] = cases.df.where(side.where & mine).select("case_id")
+        return replace(theory, listed=listed)
 
 
 def grouped_bias(base: Weighted) -> Bias:
@@ -190,12 +231,17 @@ def learn_rules(
     """Learn a theory for the positive cases."""
     from .prune import prune
 
+    settings = settings or LearnSettings()
+    if settings.listed and isinstance(cases, Weighted):
+        raise ValueError("grouped cases have no ids to list")
     base = cases if isinstance(cases, Weighted) else weigh(cases)
     bias = bias or grouped_bias(base)
-    search = GreedySearch(base, bias, settings or LearnSettings())
+    search = GreedySearch(base, bias, settings)
     try:
         theory = search.run()
-        return prune(search.df, theory) if post_prune else theory
+        if post_prune:
+            theory = prune(search.df, theory)
+        return search.with_ids(theory, cases) if theory.listed_side else theory
     finally:
         search.close()
 

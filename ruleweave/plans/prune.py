@@ -20,9 +20,9 @@ def coverage_of(df: DataFrame, rules: list[Rule], theory: Theory) -> list[tuple[
         part = rules[start : start + SCAN_WIDTH]
         aggs = []
         for i, rule in enumerate(part):
-            hit = rule_condition(rule, df, theory)
-            aggs.append(F.sum(F.when(hit, F.col("p_w"))).alias(f"p{i}"))
-            aggs.append(F.sum(F.when(hit, F.col("n_w"))).alias(f"n{i}"))
+            for name, weight in (("p", "p_w"), ("n", "n_w")):
+                hit = rule_condition(rule, df, theory, weight)
+                aggs.append(F.sum(F.when(hit, F.col(weight))).alias(f"{name}{i}"))
         row = df.agg(*aggs).first()
         out += [(int(row[f"p{i}"] or 0), int(row[f"n{i}"] or 0)) for i in range(len(part))]
     return out
@@ -37,7 +37,9 @@ def prune_literals(df: DataFrame, theory: Theory) -> Theory:
     for rule in theory.rules:
         start = len(variants)
         variants.append(rule)
-        if len(rule.body) > 1:
+        # Listed cases are those of the whole body, so such a body stays as it is.
+        lists = any(lit.pred in theory.listed_side for lit in rule.body)
+        if len(rule.body) > 1 and not lists:
             variants += [rule.without(i) for i in range(len(rule.body))]
         spans.append((start, len(variants)))
     counts = coverage_of(df, variants, theory)
@@ -60,7 +62,7 @@ def prune_rules(df: DataFrame, theory: Theory, max_loss: float = 0.03) -> Theory
         return theory
     fired = F.array_compact(
         F.array(
-            *[F.when(rule_condition(r, df, theory), F.lit(i)) for i, r in enumerate(rules)]
+            *[F.when(rule_condition(r, df, theory, "p_w"), F.lit(i)) for i, r in enumerate(rules)]
         )
     )
     groups = (

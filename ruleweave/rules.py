@@ -77,12 +77,14 @@ class Theory:
     exceptions: tuple[Rule, ...] = ()
     #: Exceptions given as explicit case ids: head -> DataFrame(case_id).
     listed: dict[str, DataFrame] = field(default_factory=dict, compare=False)
+    #: On grouped cases, whose ids are gone: head -> weight of the side that it lists.
+    listed_side: dict[str, str] = field(default_factory=dict, compare=False)
 
     def exception_bodies(self, head: str) -> list[Rule]:
         return [r for r in self.exceptions if r.head == head]
 
     def is_exception(self, name: str) -> bool:
-        return name in self.listed or any(r.head == name for r in self.exceptions)
+        return name in self.listed or name in self.listed_side or any(r.head == name for r in self.exceptions)
 
     def reachable(self) -> Theory:
         """Drop exception rules that no kept rule leads to."""
@@ -98,6 +100,7 @@ class Theory:
             self,
             exceptions=tuple(r for r in self.exceptions if r.head in used),
             listed={h: d for h, d in self.listed.items() if h in used},
+            listed_side={h: w for h, w in self.listed_side.items() if h in used},
         )
 
     def lines(self) -> list[str]:
@@ -139,14 +142,23 @@ def all_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def literal_condition(lit: Literal, df: DataFrame, theory: Theory | None = None) -> Column:
-    """Condition of one literal, never null: what cannot be shown does not hold."""
+def literal_condition(
+    lit: Literal, df: DataFrame, theory: Theory | None = None, side: str | None = None
+) -> Column:
+    """Condition of one literal, never null: what cannot be shown does not hold.
+
+    ``side`` names the weight that is counted on grouped cases: an exception that lists
+    cases holds for all of the side it lists, within the clause it belongs to, and for none
+    of the other.
+    """
     if theory is not None and theory.is_exception(lit.pred):
-        if lit.pred in theory.listed:
+        if side is not None and lit.pred in theory.listed_side:
+            holds = F.lit(theory.listed_side[lit.pred] == side)
+        elif lit.pred in theory.listed:
             holds = F.coalesce(F.col(lit.pred), F.lit(False))
         else:
             holds = any_of(
-                [rule_condition(r, df, theory) for r in theory.exception_bodies(lit.pred)]
+                [rule_condition(r, df, theory, side) for r in theory.exception_bodies(lit.pred)]
             )
     elif lit.val is None:
         holds = F.col(lit.pred).isNotNull()
@@ -157,6 +169,8 @@ def literal_condition(lit: Literal, df: DataFrame, theory: Theory | None = None)
     return ~holds if lit.negated else holds
 
 
-def rule_condition(rule: Rule, df: DataFrame, theory: Theory | None = None) -> Column:
+def rule_condition(
+    rule: Rule, df: DataFrame, theory: Theory | None = None, side: str | None = None
+) -> Column:
     """The body of ``rule`` as one boolean column, innermost exceptions first."""
-    return all_of([literal_condition(lit, df, theory) for lit in rule.body])
+    return all_of([literal_condition(lit, df, theory, side) for lit in rule.body])

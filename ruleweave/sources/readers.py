@@ -26,7 +26,8 @@ ATTRIBUTION = r"^\s*data\(([^)]+)\):(\w+)\(\w+,([^)]*)\):(\S+)\s*$"
 TRANSACTION = r"^\w+\(([^)]*)\)::\s*([^:]*?)\s*:\s*(\d*)\s*:\s*([^:]*?)\s*$"
 TERM = r"'(?:[^']|'')*'|[^,()']+"
 ANY_ATOM = r"\w+\((?:'(?:[^']|'')*'|[^()'])*\)"
-RULE = r"^\s*(\w+)\(\s*([A-Z_]\w*(?:\s*,\s*[A-Z_]\w*)*)\s*\)\s*:-(.*)\.\s*(?:%.*)?$"
+HEAD_ARG = r"(?:[A-Z_]\w*|'(?:[^']|'')*')"
+RULE = rf"^\s*(\w+)\(\s*({HEAD_ARG}(?:\s*,\s*{HEAD_ARG})*)\s*\)\s*:-(.*)\.\s*(?:%.*)?$"
 RULE_LITERAL = rf"(?:not\b|\\\+)\s*\(?\s*{ANY_ATOM}|{ANY_ATOM}"
 
 
@@ -203,7 +204,7 @@ def parse_clauses(lines: DataFrame) -> DataFrame:
     rules = lines.where(F.col("value").rlike(RULE)).select(
         F.trim("value").alias("rule_text"),
         F.regexp_extract("value", RULE, 1).alias("head"),
-        F.split(F.regexp_extract("value", RULE, 2), r"\s*,\s*").alias("head_args"),
+        F.regexp_extract_all(F.regexp_extract("value", RULE, 2), F.lit(f"({HEAD_ARG})"), 1).alias("head_args"),
         F.regexp_extract_all(F.regexp_extract("value", RULE, 3), F.lit(f"({RULE_LITERAL})"), 1).alias("body"),
     )
     lits = rules.select("rule_text", "head", "head_args", F.posexplode("body").alias("lit_no", "lit"))
