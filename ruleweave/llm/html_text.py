@@ -4,9 +4,9 @@ The standard library's streaming parser turns a page into lines: block elements
 breaks end a line. Each line has its text, the number of tags met inside it and the section
 it lies in. Its text-to-tag ratio is the length of its text over the number of its tags;
 text of links, and lines inside menus, footers, adverts and the like, weigh nothing. What is
-such by its name only, a class, id or role, is named by whole tokens, and an article or main
-element inside it is read all the same. If nothing is left for the ratios, lines that are out
-by name only are judged by them too. The ratios are smoothed by a Gaussian along the page, and a threshold at a share of their
+such by its name, a class, id or role, is named by whole tokens, and adverts, teasers,
+comments and notices by any part of one. An article or main element inside something that is
+named like a part of the layout is read only if nothing else on the page is. The ratios are smoothed by a Gaussian along the page, and a threshold at a share of their
 deviation splits the lines into content and the rest. Content lines vote for their section:
 an article or main element if the page has one with content, else the sections that reach
 the threshold. All lines of the chosen sections are the text, short ones too.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -54,10 +55,18 @@ PART_WORDS = (
 NOISE = re.compile(
     rf"(?:^|\s)(?:{PART_WORDS}[_-]+)*{NOISE_WORDS}(?:[_-]+(?:{NOISE_WORDS}|{PART_WORDS}))*(?:$|\s)"
 )
-#: Tokens of comments; an article inside is a comment, not the page's.
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|disqus)(?:$|[\s_-])")
-#: How a line is left out: not at all, by the names around it only, or by elements as well.
-KEPT, NAMED, OUT = range(3)
+#: Parts of a token that mark adverts, teasers, comments and notices wherever they stand in it,
+#: save behind a word that says what the layout has or lacks.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising advertorial adsbygoogle adsense adslot dfp "
+    "sponsor sponsored sponsors promo promos promotion promoted taboola outbrain teaser teasers related "
+    "recommended recommendation recommendations comment comments discussion replies disqus cookie cookies "
+    "consent gdpr newsletter popup".split()
+)
+GOVERNING = frozenset("with without has have no not is hide show".split())
+#: How a line is left out: not at all, by names of the layout around its article, by the names
+#: around it, or for good.
+KEPT, LIFTED, NAMED, OUT = range(4)
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: An end tag may be left out where one of these begins.
@@ -65,6 +74,18 @@ CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt"
              "th": {"td", "th", "tr"}, "tr": {"tr", "tbody", "tfoot"}, "option": {"option"}}
 
 
+@lru_cache(maxsize=4096)
+def named_level(names: str) -> int:
+    """How the class, id and role of an element leave its lines out."""
+    for token in names.split():
+        for part in re.split("[_-]+", token):
+            if part in GOVERNING:
+                break
+            if part in STRONG:
+                return OUT
+    return NAMED if NOISE.search(names) else KEPT
+
+
 class Lines(HTMLParser):
     """Collects (text, tags, link characters, section, how it is left out) of each line of a page."""
 
@@ -102,10 +123,11 @@ class Lines(HTMLParser):
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v).lower()
         hidden = any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
         skip = OUT if tag in SKIPPED or hidden else self.skipped
-        if tag in ("article", "main"):
-            skip = KEPT if skip == NAMED else skip
-        elif tag not in ("html", "body") and named and NOISE.search(named):
-            skip = max(skip, OUT if COMMENTS.search(named) else NAMED)
+        if tag in ("article", "main") and skip == NAMED:
+            skip = LIFTED
+        if tag not in ("html", "body") and named:
+            level = named_level(named)
+            skip = max(skip, level if level == OUT or tag not in ("article", "main") else KEPT)
         section = self.section
         if tag in SECTIONS:
             self.sections.append((tag, section))
@@ -164,8 +186,8 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
 
     ratios = judged()
     if not ratios.any():
-        # Names left nothing over, so they name the layout; the ratios decide.
-        least = NAMED
+        # All articles lie in something named like a part of the layout.
+        least = LIFTED
         ratios = judged()
     level = smoothed(ratios, sigma)
     content = (level >= threshold * level.std()) & (ratios > 0)
@@ -204,7 +226,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html", text: str = "text")
     """Add the main text of every page; a column that bears its name is replaced.
 
     Null and empty pages, and pages without text outside menus and the like, give an empty
-    text. Each row is read by itself and whole, so repeated rows and nulls elsewhere do not
-    matter. Broken markup is read as far as it goes; nothing in it is an error.
+    text; a page of notices and adverts alone is such a page. Each row is read by itself and
+    whole, so repeated rows, very long pages and nulls elsewhere do not matter; an empty table
+    stays empty. Broken markup is read as far as it goes; nothing in it is an error.
     """
     return pages.withColumn(text, extracted(F.col(html_col)))

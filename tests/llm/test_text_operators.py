@@ -69,7 +69,17 @@ def test_main_text(html, text):
           for name in ("content with-sidebar", "layout no-sidebar", "page-header-fixed", "has_footer", "sidebar", "page banner")),
         *((f"<div class='{name}'><p>A long text without an article</p></div><div class='cookie-notice'>bla</div>",
            "A long text without an article") for name in ("content with-sidebar", "no-sidebar", "has_footer")),
-        ("<div class=widget><p>All there is is named so</p></div><footer>f</footer>", "All there is is named so"),
+        ("<div class=widget><p>All there is is named so</p></div><footer>f</footer>", ""),
+        ("<nav>m</nav><div class='ad'>buy this now</div>", ""),
+        ("<nav>m</nav><div class='cookie-notice'>We use cookies on this page</div>", ""),
+        ("<article><p>Text of the page</article><div class='related'><article><p>Teaser of another text</article></div>"
+         "<article class='sponsored'><p>Buy a thing of great worth now</article>", "Text of the page"),
+        ("<div><p>Text of the page without an article</p></div><div class='related-posts'><article>A teaser</article></div>",
+         "Text of the page without an article"),
+        *((f"<article><p>Text of the page<div class='{name}'><p>Other words</p></div></article>", "Text of the page")
+          for name in ("user-comments", "reader-comments", "discussion", "adsbygoogle", "ad-banner-300x250", "advertorial", "Box_Ad")),
+        *((f"<article class='{name}'><p>Text of the page</article>", "Text of the page")
+          for name in ("post with-comments", "no-ads", "entry has_related", "story-header", "adapted", "commentary")),
         ("<main><p>Text of the page</p></main><aside><article>a</article></aside><div hidden><main>b</main></div>"
          "<div class='comments'><article>c</article></div><nav class=x><main>d</main></nav>", "Text of the page"),
         ("<article><p>Text of the page<div class='site-footer'>f</div><div class='sidebar-left'>s</div></article>",
@@ -89,6 +99,9 @@ def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "<article>a</article>"), (1, None), (None, "<p>b</p>")], "page_id int, html string")
     found = html_text.extract_pages(pages.withColumn("text", F.lit("old"))).collect()
     assert sorted((r.page_id or 0, r.text) for r in found) == [(0, "b"), (1, ""), (1, "a")]
+    assert html_text.extract_pages(pages.limit(0)).collect() == []
+    long = pages.limit(1).select(F.concat(F.lit("<article>"), F.repeat(F.lit("<p>word</p>"), 200_000)).alias("html"))
+    assert html_text.extract_pages(long).first()["text"] == "\n".join(["word"] * 200_000)
 
 
 def test_license_templates():
