@@ -17,7 +17,7 @@ from ..plans.learn import LearnSettings, learn_rules
 from ..plans.prune import prune_rules
 from ..plans.utility_learn import UtilitySettings, learn_utility_rules
 from ..operators.gain import weigh
-from ..rules import Theory
+from ..rules import Literal, Rule, Theory
 from .coverage_queries import METRICS, THEORY, cases
 from .datasets import DOCUMENTS, ORDERS, document_cases, order_attributions, orders_cases, relations, table
 from .registry import query
@@ -205,8 +205,6 @@ def r07b(spark, sf):
 @query("r13_reachable_rules", f"WITH {PLANTED_ORDERS} {PERFECT}")
 def r13(spark, sf):
     """A learned theory with an exception nothing leads to: dropping it changes no case."""
-    from ..rules import Literal, Rule
-
     c = planted_orders(spark, sf)
     learned = learn_rules(c)
     stray = Rule("ab99", (Literal("region", "ASIA"),))
@@ -269,37 +267,72 @@ def r11(spark, sf):
 @query("r05b_listed_exceptions_quality", f"""WITH {DOCUMENTS}, s AS (SELECT lang = 'en' AND is_pos AS pred, is_pos FROM cases), {METRICS}""")
 def r05c(spark, sf):
     """A rule whose covered negatives are all listed has no false positives."""
-    from ..rules import Literal, Rule
-
     c = document_cases(spark, sf)
     theory = cov.add_enumerated_exceptions(c, Rule("positive", (Literal("lang", "en"),)))
     quality = ev.evaluate(cov.score(c.df, theory))
     return quality.select("tp", "tn", "fp", "fn", *[F.round(m, 6).alias(m) for m in ("accuracy", "precision", "recall", "f1")])
 
 
+#: Large events are purchases, unless they are views.
+EVENT_THEORY = Theory(
+    "positive", (Rule("positive", (Literal("size", "high"), Literal("ab0", None, True))),),
+    (Rule("ab0", (Literal("event_type", "view"),)),),
+)
+
+
 @query("x02_windowed_quality", """WITH s AS (SELECT date_trunc('hour', ts) AS start, value > 60 AND event_type <> 'view' AS pred,
     event_type = 'purchase' AS is_pos FROM events)
   SELECT CAST(epoch(start) AS BIGINT) AS start_sec, count(*) FILTER (pred AND is_pos) AS tp, count(*) FILTER (NOT pred AND NOT is_pos) AS tn,
     count(*) FILTER (pred AND NOT is_pos) AS fp, count(*) FILTER (NOT pred AND is_pos) AS fn FROM s GROUP BY start""")
 def x02(spark, sf):
     """Hourly confusion counts of a rule on events, in batch form."""
-    from ..rules import Literal, Rule
     from ..streaming.scoring import score_stream, windowed_quality
 
     events = table(spark, sf, "events").select(
         "ts", (F.col("event_type") == "purchase").alias("is_pos"), "event_type",
         F.when(F.col("value") > 60, "high").otherwise("low").alias("size"),
     )
-    theory = Theory("positive", (Rule("positive", (Literal("size", "high"), Literal("ab0", None, True))),),
-                    (Rule("ab0", (Literal("event_type", "view"),)),))
-    quality = windowed_quality(score_stream(events, theory))
+    quality = windowed_quality(score_stream(events, EVENT_THEORY))
+    return quality.select(F.unix_timestamp("start").alias("start_sec"), "tp", "tn", "fp", "fn")
+
+
+@query("x01_stream_quality", """WITH e AS (SELECT ts, date_trunc('hour', ts) AS start, value > 60 AND event_type <> 'view' AS pred, event_type = 'purchase' AS is_pos,
+    least(3, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END
+      + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS arrival FROM events),
+  m AS (SELECT max(ts) FILTER (arrival = 1) - INTERVAL 10 MINUTE AS w1, max(ts) FILTER (arrival <= 2) - INTERVAL 10 MINUTE AS w2,
+    max(ts) - INTERVAL 10 MINUTE AS w3 FROM e),
+  k AS (SELECT e.* FROM e, m WHERE start + INTERVAL 1 HOUR <= w3
+    AND (arrival = 1 OR (arrival = 2 AND start + INTERVAL 1 HOUR > w1) OR (arrival = 3 AND start + INTERVAL 1 HOUR > w2)))
+  SELECT CAST(epoch(start) AS BIGINT) AS start_sec, count(*) FILTER (pred AND is_pos) AS tp, count(*) FILTER (NOT pred AND NOT is_pos) AS tn,
+    count(*) FILTER (pred AND NOT is_pos) AS fp, count(*) FILTER (NOT pred AND is_pos) AS fn FROM k GROUP BY start""")
+def x01(spark, sf):
+    """A stream over the events in three arrivals, a tenth of them late by one: open windows
+    wait in the state, closed ones are appended once, what is too late is dropped."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..streaming.scoring import append_quality
+
+    period = F.when(F.col("ts") < "2024-01-11", 1).when(F.col("ts") < "2024-01-21", 2).otherwise(3)
+    late = (F.col("event_id") % 10 == 0).cast("int")
+    events = table(spark, sf, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("is_pos"), "event_type",
+        F.when(F.col("value") > 60, "high").otherwise("low").alias("size"),
+        F.least(period + late, F.lit(3)).alias("arrival"),
+    )
+    folder = f"{shared_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
+    for arrival in (1, 2, 3):
+        events.where(F.col("arrival") == arrival).drop("arrival").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.drop("arrival").schema).parquet(f"{folder}/in")
+        append_quality(stream, EVENT_THEORY, f"{folder}/out", f"{folder}/checkpoint")
+    quality = spark.read.parquet(f"{folder}/out")
     return quality.select(F.unix_timestamp("start").alias("start_sec"), "tp", "tn", "fp", "fn")
 
 
 @query("a13_learned_total_coverage", f"WITH {ORDERS} SELECT count(*) FILTER (priority = '1-URGENT' OR segment = 'BUILDING') AS covered FROM cases WHERE is_pos")
 def a13b(spark, sf):
     """Distinct positives of two overlapping rules, from grouped cases."""
-    from ..rules import Literal, Rule, any_of, rule_condition
+    from ..rules import any_of, rule_condition
 
     base = weigh(orders_cases(spark, sf))
     rules = [Rule("positive", (Literal("priority", "1-URGENT"),)), Rule("positive", (Literal("segment", "BUILDING"),))]

@@ -32,13 +32,22 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def _goes_with_driver(spark: SparkSession, path: str) -> None:
+    """Have the folder's file system delete it when the driver ends."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later plans start from this table, so their lineage stays one scan deep and a lost
-    executor costs a re-read, not a recomputation.
+    executor costs a re-read, not a recomputation. The table belongs to the driver: as
+    results are read lazily from it, it stays until the driver ends, and then goes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ruleweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _goes_with_driver(spark, path)
     return spark.read.schema(df.schema).parquet(path)
