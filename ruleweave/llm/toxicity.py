@@ -132,6 +132,43 @@ def letter_bits(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(halves, axis=1), sizes
 
 
+def letter_codes(words: Sequence[str]) -> np.ndarray:
+    """A row of code points per word, with zeros behind its end."""
+    width = max(map(len, words), default=0)
+    if not width:
+        return np.zeros((len(words), 1), np.uint32)
+    return np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
+
+
+def edit_distances(words: Sequence[str], terms: np.ndarray) -> np.ndarray:
+    """Edit distances, swaps included, of words to the terms beside them, given as codes.
+
+    One bit per letter of the word, all pairs at once, a letter of the terms after another.
+    Words must have fewer than 64 letters; longer ones are as far as can be.
+    """
+    codes = letter_codes([w[:63] for w in words])
+    sizes = np.array([len(w) for w in words], np.int64)
+    one = np.uint64(1)
+    powers = one << np.arange(codes.shape[1], dtype=np.uint64)
+    end = one << (np.clip(sizes, 1, 63) - 1).astype(np.uint64)
+    up, down = np.full(len(words), ~np.uint64(0)), np.zeros(len(words), np.uint64)
+    same, before, distance = down.copy(), down.copy(), sizes.copy()
+    for j in range(terms.shape[1]):
+        letter = terms[:, j]
+        runs = letter != 0
+        meets = ((codes == letter[:, None]) * powers).sum(axis=1, dtype=np.uint64)
+        swapped = ((~same & meets) << one) & before
+        next_same = swapped | (((meets & up) + up) ^ up) | meets | down
+        more, less = down | ~(next_same | up), next_same & up
+        change = ((more & end) != 0).astype(np.int64) - ((less & end) != 0)
+        distance += np.where(runs, change, 0)
+        more, less = (more << one) | one, less << one
+        up = np.where(runs, less | ~(next_same | more), up)
+        down = np.where(runs, more & next_same, down)
+        same, before = np.where(runs, next_same, same), np.where(runs, meets, before)
+    return np.where(sizes < 64, distance, 1 << 30)
+
+
 class Lexicon:
     """Tries of terms and of beginnings, intersected with the Levenshtein automaton of a word."""
 
@@ -151,6 +188,7 @@ class Lexicon:
         numbers = {text: i for i, text in enumerate(fuzzy)}
         self.prefixes: dict[str, bool] = {}
         self.fuzzy_bits, self.fuzzy_sizes = letter_bits(fuzzy)
+        self.fuzzy_codes = letter_codes(fuzzy)
         self.fuzzy_edits = np.array([budget(len(t)) for t in fuzzy], np.int64)
         for entry in entries:
             edits = budget(len(entry.text))
@@ -171,23 +209,30 @@ class Lexicon:
             node[""] = entry
 
     def candidates(self, words: Sequence[str]) -> dict[int, int]:
-        """Terms that a word is near to in length, letters and pairs: number of the word ->
-        bits of the terms.
+        """Terms that a word is near to: number of the word -> bits of the terms.
 
         An edit changes two letters and four pairs of letters at most, or six pairs if it
-        swaps two letters, so no misspelled term is missed; this saves time only.
+        swaps two letters, so no misspelled term is missed; what these counts leave over is
+        held against the edit distance. This saves time only: what is searched for in the
+        tries is the same.
         """
         near: dict[int, int] = {}
         if not len(self.fuzzy_edits):
             return near
-        for start in range(0, len(words), 512):
-            bits, sizes = letter_bits(words[start : start + 512])
-            word, term = np.nonzero(np.abs(sizes[:, None] - self.fuzzy_sizes[None]) <= self.fuzzy_edits)
-            for columns, per_edit in ((slice(0, 2), 2), (slice(2, 4), 6)):
-                differ = np.bitwise_count(bits[word, columns] ^ self.fuzzy_bits[term, columns]).sum(axis=1)
-                fits = differ <= per_edit * self.fuzzy_edits[term]
-                word, term = word[fits], term[fits]
-            for i, t in zip((start + word).tolist(), term.tolist(), strict=True):
+        for start in range(0, len(words), 1024):
+            part = words[start : start + 1024]
+            bits, sizes = letter_bits(part)
+            differ = np.bitwise_count(bits[:, 0, None] ^ self.fuzzy_bits[:, 0])
+            differ += np.bitwise_count(bits[:, 1, None] ^ self.fuzzy_bits[:, 1])
+            word, term = np.nonzero(differ <= 2 * self.fuzzy_edits.astype(np.uint8))
+            differ = np.bitwise_count(bits[word, 2:] ^ self.fuzzy_bits[term, 2:]).sum(axis=1)
+            fits = differ <= 6 * self.fuzzy_edits[term]
+            fits &= np.abs(sizes[word] - self.fuzzy_sizes[term]) <= self.fuzzy_edits[term]
+            word, term = word[fits], term[fits]
+            if not len(word):
+                continue
+            close = edit_distances([part[i] for i in word], self.fuzzy_codes[term]) <= self.fuzzy_edits[term]
+            for i, t in zip((start + word[close]).tolist(), term[close].tolist(), strict=True):
                 near[i] = near.get(i, 0) | 1 << t
         return near
 
@@ -279,6 +324,8 @@ class Lexicon:
 
 #: Words a worker remembers, and their letters.
 REMEMBERED, REMEMBERED_LETTERS = 400_000, 6_000_000
+#: Texts whose new words are matched together.
+TOGETHER = 64
 _MATCHERS: dict[tuple[Entry, ...], Matcher] = {}
 
 
@@ -311,15 +358,28 @@ class Matcher:
         self.known.update(words)  # a text's own words are needed at once, however long
         self.letters += sum(map(len, words))
 
+    def all_features(self, texts: Sequence[str | None]) -> list[list[float]]:
+        """Features of some texts; the words that are new in several of them are learned
+        together."""
+        out: list[list[float]] = []
+        for start in range(0, len(texts), TOGETHER):
+            part = [(text or "").lower() for text in texts[start : start + TOGETHER]]
+            if len(self.known) > self.remembered or self.letters > REMEMBERED_LETTERS:
+                self.known.clear()
+                self.found.clear()
+                self.letters = 0
+            new: set[str] = set()
+            for text in part:
+                new.update(text.split())
+            self.learn(sorted(new - self.known))
+            out += map(self._features, part)
+        return out
+
     def features(self, text: str | None) -> list[float]:
-        text = (text or "").lower()
+        return self.all_features([text])[0]
+
+    def _features(self, text: str) -> list[float]:
         words = text.split()
-        if len(self.known) > self.remembered or self.letters > REMEMBERED_LETTERS:
-            self.known.clear()
-            self.found.clear()
-            self.letters = 0
-        if not self.known.issuperset(words):
-            self.learn(sorted(set(words) - self.known))
         found = self.found
         hits = [(at, *found[word]) for at, word in enumerate(words) if word in found]
         if not hits:
@@ -515,11 +575,14 @@ def _featured(texts: DataFrame, lexicons: Sequence[Sequence[Entry]]) -> DataFram
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers: dict[int, Matcher] = {}
         for batch in batches:
-            found = []
-            for text, fold in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            texts, folds = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            found: list = [None] * len(texts)
+            for fold in sorted(set(folds)):
                 if fold not in matchers:
                     matchers[fold] = Matcher(held[fold], 60_000)
-                found.append(matchers[fold].features(text))
+                mine = [i for i, f in enumerate(folds) if f == fold]
+                for i, row in zip(mine, matchers[fold].all_features([texts[i] for i in mine]), strict=True):
+                    found[i] = row
             yield pa.RecordBatch.from_arrays(
                 [pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["features", "label"]
             )
@@ -556,7 +619,7 @@ def scored(text: Column, model: Model) -> Column:
         known = matcher(entries)
         for batch in batches:
             texts = batch.to_pylist()
-            x = np.array([[1.0, *known.features(t)] for t in texts]).reshape(-1, len(weights))
+            x = np.array([[1.0, *f] for f in known.all_features(texts)]).reshape(-1, len(weights))
             yield pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))
 
     return score(text)
