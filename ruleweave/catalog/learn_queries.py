@@ -66,8 +66,8 @@ def planted_documents(spark, sf) -> CaseTable:
 PLANTED_DOCUMENTS = f"""{DOCUMENTS}, planted AS (SELECT coalesce(lang = 'en' AND NOT (toxic = '1'), false) AS is_pos FROM cases)"""
 
 
-#: Labelled documents that are long or come from two of the sources, or both.
-ODD_DOCUMENTS = f"""{DOCUMENTS}, odd AS (SELECT case_id, lang, chars_q = '3' AS long, source IN ('src0', 'src3') AS few FROM cases)"""
+#: Labelled documents that are long or come from five of the sources, or both.
+ODD_DOCUMENTS = f"""{DOCUMENTS}, odd AS (SELECT case_id, lang, chars_q = '3' AS long, source IN ('src0', 'src3', 'src5', 'src8', 'src9') AS few FROM cases)"""
 
 
 def odd_documents(spark, sf, both_only: bool) -> CaseTable:
@@ -77,7 +77,7 @@ def odd_documents(spark, sf, both_only: bool) -> CaseTable:
     df = c.df.select(
         "case_id", "lang",
         F.when(F.col("chars_q") == "3", "yes").alias("long"),
-        F.when(F.col("source").isin("src0", "src3"), "yes").alias("few"),
+        F.when(F.col("source").isin("src0", "src3", "src5", "src8", "src9"), "yes").alias("few"),
     )
     long, few = F.col("long").isNotNull(), F.col("few").isNotNull()
     bad = long & few if both_only else long != few
