@@ -45,7 +45,7 @@ PER_FILE = 8_000
 PAIRS_PER_TEXT = 4
 
 _WORDS: dict[bytes, int] = {}
-_REMEMBERED = 500_000
+_REMEMBERED = 250_000
 #: Longer words are hashed each time they come.
 _LONG = 100
 _MASK = (1 << 64) - 1

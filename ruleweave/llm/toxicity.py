@@ -277,7 +277,7 @@ class Lexicon:
         """Whether a stem may begin a word, with an edit; words share their beginnings."""
         near = self.prefixes.get(prefix)
         if near is None:
-            if len(self.prefixes) > 200_000:
+            if len(self.prefixes) > 50_000:
                 self.prefixes.clear()
             near = any(not self.stems_shortened.isdisjoint(shortened(prefix[:n], 1)) for n in self.stem_lengths)
             self.prefixes[prefix] = near
@@ -323,7 +323,7 @@ class Lexicon:
 
 
 #: Words a worker remembers, and their letters.
-REMEMBERED, REMEMBERED_LETTERS = 400_000, 6_000_000
+REMEMBERED, REMEMBERED_LETTERS = 150_000, 2_500_000
 #: Texts whose new words are matched together.
 TOGETHER = 64
 _MATCHERS: dict[tuple[Entry, ...], Matcher] = {}
@@ -579,7 +579,7 @@ def _featured(texts: DataFrame, lexicons: Sequence[Sequence[Entry]]) -> DataFram
             found: list = [None] * len(texts)
             for fold in sorted(set(folds)):
                 if fold not in matchers:
-                    matchers[fold] = Matcher(held[fold], 60_000)
+                    matchers[fold] = Matcher(held[fold], 30_000)
                 mine = [i for i, f in enumerate(folds) if f == fold]
                 for i, row in zip(mine, matchers[fold].all_features([texts[i] for i in mine]), strict=True):
                     found[i] = row
