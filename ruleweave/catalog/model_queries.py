@@ -176,3 +176,66 @@ def m06c(spark, sf):
         F.count(F.lit(1)).alias("cases"),
         F.count_if(F.abs(total - F.col("margin")) < 1e-6).alias("additive"),
     )
+
+
+# Two leaves over twelve numbers of a line: feature, lower bound (excluded), upper bound, cover.
+LINE_FEATURES = {
+    "quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax",
+    "line": "l_linenumber", "part": "l_partkey % 11", "supplier": "l_suppkey % 7", "ord": "l_orderkey % 13",
+    "month": "month(l_shipdate)", "day": "day(l_shipdate)", "year": "year(l_shipdate)", "cents": "l_partkey % 5",
+}
+DEEP_LEAVES = {
+    2.5: (
+        ("quantity", 5, 40, 0.7), ("price", 9000, 1e9, 0.83), ("discount", 0.015, 1, 0.77), ("tax", -1, 0.065, 0.81),
+        ("line", 1.5, 9, 0.72), ("part", -1, 8.5, 0.79), ("supplier", 0.5, 9, 0.86), ("ord", 1.5, 20, 0.84),
+        ("month", 1.5, 11.5, 0.82), ("day", 3.5, 99, 0.9), ("year", 1992.5, 2999, 0.85), ("cents", 0.5, 9, 0.8),
+    ),
+    -1.25: (("quantity", 25, 99, 0.5), ("month", 0, 6.5, 0.49), ("cents", -1, 2.5, 0.61)),
+}
+
+
+def deep_leaves_sql():
+    """Every coalition of a leaf: its size and the covers of who is absent; the row plays it as far as it passes."""
+    parts = []
+    for n, (value, tests) in enumerate(DEEP_LEAVES.items()):
+        m = len(tests)
+        passed = " + ".join(f"(CASE WHEN {f} > {lo} AND {f} <= {hi} THEN {1 << j} ELSE 0 END)" for j, (f, lo, hi, _) in enumerate(tests))
+        absent = " * ".join(f"(CASE WHEN (s >> {j}) & 1 = 1 THEN 1 ELSE {c} END)::DOUBLE" for j, (*_, c) in enumerate(tests))
+        phis = ", ".join(
+            f"sum(reach * CASE WHEN (s >> {j}) & 1 = 1 THEN factorial(greatest(bits - 1, 0)) * factorial({m} - bits) "
+            f"ELSE -factorial(bits) * factorial(greatest({m} - bits - 1, 0)) END::DOUBLE / factorial({m})::DOUBLE) AS {tests[j][0]}"
+            for j in range(m)
+        )
+        parts.append(
+            f"p{n} AS (SELECT *, {passed} AS own{n} FROM {'x' if n == 0 else f'p{n - 1}'}), "
+            f"s{n} AS (SELECT s, bit_count(s) AS bits, {value} * {absent} AS reach FROM range({1 << m}) t(s)), "
+            f"v{n} AS (SELECT own{n}, {phis} FROM (SELECT DISTINCT own{n} FROM p{n}) JOIN s{n} ON (s & own{n}) = s GROUP BY own{n})"
+        )
+    last = len(DEEP_LEAVES) - 1
+    columns = []
+    for f in LINE_FEATURES:
+        terms = [f"v{n}.{f}" for n, tests in enumerate(DEEP_LEAVES.values()) if f in {t[0] for t in tests}]
+        columns.append(f"CAST(round(1e9 * ({' + '.join(terms)})) AS BIGINT) AS phi_{f}")
+    joins = " ".join(f"JOIN v{n} ON v{n}.own{n} = p{last}.own{n}" for n in range(last + 1))
+    numbers = ", ".join(f"CAST({e} AS DOUBLE) AS {f}" for f, e in LINE_FEATURES.items())
+    return (
+        f"WITH x AS (SELECT l_orderkey, l_linenumber, {numbers} FROM lineitem), {', '.join(parts)} "
+        f"SELECT l_orderkey, l_linenumber, {', '.join(columns)} FROM p{last} {joins}"
+    )
+
+
+@query("m06_deep_leaves", deep_leaves_sql())
+def m06d(spark, sf):
+    """Shapley values, in billionths, of two leaves, one testing twelve features, for every line."""
+    names = list(LINE_FEATURES)
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", *[F.expr(e).cast("double").alias(f) for f, e in LINE_FEATURES.items()]
+    )
+    leaves = []
+    for value, tests in DEEP_LEAVES.items():
+        tests = sorted(tests, key=lambda t: names.index(t[0]))
+        leaves.append(md.Leaf(value, tuple(names.index(t[0]) for t in tests), *(tuple(map(float, c)) for c in list(zip(*tests))[1:])))
+    phi, _ = md.tree_attributions(None, lines, names, leaves=leaves)
+    return phi.select(
+        "l_orderkey", "l_linenumber", *[F.round(F.col(f"phi_{f}") * 1e9).cast("bigint").alias(f"phi_{f}") for f in names]
+    )

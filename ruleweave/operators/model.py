@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -28,8 +27,10 @@ from ..session import materialize
 
 #: Rows of a boundary bucket that one task may order.
 BOUNDARY_ROWS = 1_000_000
-#: Different features on one tree path; pattern tables grow with 2 to this power.
-MAX_PATH_FEATURES = 10
+#: Background patterns that travel to the tasks at once; more are taken in several passes.
+BACKGROUND_PATTERNS = 100_000
+#: Numbers of one array while a task compares patterns of rows with patterns of a background.
+PATTERN_CELLS = 1_000_000
 
 
 # ---------------------------------------------------------------- splitting
@@ -229,39 +230,37 @@ def _walk(node, weight: float, path: dict[int, tuple[float, float, float]], out:
         _walk(child, weight, {**path, feature: (*bounds, cover * share)}, out)
 
 
-def _shapley_table(leaf: Leaf, reference: Mapping[int, float]) -> list[list[float]]:
-    """phi per path feature for every pattern of passed features (bit j: feature j).
+def _shapley_kernel() -> Callable:
+    """Function for the tasks: Shapley values of one leaf of value 1.
 
-    ``reference`` gives the chance of each pattern among the cases to compare with. For
-    one pattern of the row and one of the reference, the leaf is reached by a coalition
-    exactly when it takes every feature only the row passes and none that only the
-    reference passes; the Shapley weights of that game have a closed form.
+    It takes ``own`` (patterns x features, 1 where the row passes), and the reference as
+    weighted ``covers`` (each the chances with which absent features pass: shares of the
+    training rows, or the zeros and ones of a background row). With product games the sum
+    over coalitions is the integral over t in [0, 1] of the product of own t + cover (1 - t)
+    over the other features. That is a polynomial below degree m, which Gauss-Legendre
+    quadrature with m / 2 nodes integrates exactly: time grows with m squared, not 2^m.
     """
-    m = len(leaf.features)
-    if m > MAX_PATH_FEATURES:
-        raise ValueError(f"a path tests {m} features; attributions support {MAX_PATH_FEATURES}")
-    table = [[0.0] * m for _ in range(1 << m)]
-    for own, (ref, share) in itertools.product(range(1 << m), reference.items()):
-        if own | ref != (1 << m) - 1 or share == 0.0:
-            continue
-        gains = [j for j in range(m) if own >> j & 1 and not ref >> j & 1]
-        losses = [j for j in range(m) if ref >> j & 1 and not own >> j & 1]
-        a, b = len(gains), len(losses)
-        whole = math.factorial(a + b)
-        for j in gains:
-            table[own][j] += share * leaf.value * math.factorial(a - 1) * math.factorial(b) / whole
-        for j in losses:
-            table[own][j] -= share * leaf.value * math.factorial(a) * math.factorial(b - 1) / whole
-    return table
-
-
-def _cover_patterns(leaf: Leaf) -> dict[int, float]:
-    """Pattern chances when features pass independently with their cover."""
-    out: dict[int, float] = {}
-    for bits in itertools.product((0, 1), repeat=len(leaf.features)):
-        share = math.prod(c if b else 1 - c for b, c in zip(bits, leaf.cover))
-        out[sum(b << j for j, b in enumerate(bits))] = share
-    return out
+    cells = PATTERN_CELLS
+
+    def shapley(own: np.ndarray, weights: np.ndarray, covers: np.ndarray) -> np.ndarray:
+        m = own.shape[1]
+        nodes, shares = np.polynomial.legendre.leggauss((m + 1) // 2)
+        out = np.zeros(own.shape)
+        step = max(1, cells // own.size)
+        for at in range(0, len(weights), step):
+            absent, weight = covers[None, at : at + step], weights[at : at + step]
+            present = own[:, None]
+            mean = np.zeros((len(own), len(weight), m))
+            for t, share in zip((nodes + 1) / 2, shares / 2):
+                factors = present * t + absent * (1 - t)
+                before, after = np.ones_like(factors), np.ones_like(factors)
+                before[..., 1:] = np.cumprod(factors[..., :-1], axis=2)
+                after[..., :-1] = np.cumprod(factors[..., :0:-1], axis=2)[..., ::-1]
+                mean += share * before * after
+            out += np.einsum("orm,r->om", (present - absent) * mean, weight)
+        return out
+
+    return shapley
 
 
 def _pattern_counter() -> Callable:
@@ -284,10 +283,8 @@ def _tests(leaves: Sequence[Leaf]) -> list[tuple]:
     return [(leaf.features, leaf.low, leaf.high) for leaf in leaves]
 
 
-def background_patterns(
-    leaves: Sequence[Leaf], background: DataFrame, features: Sequence[str]
-) -> dict[int, dict[int, float]]:
-    """Share of the background rows per leaf and pattern.
+def background_patterns(leaves: Sequence[Leaf], background: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Background rows per leaf and pattern of passed features: ``leaf``, ``pattern``, ``cnt``.
 
     All background rows are used: each task counts its own rows and sends at most one
     number per leaf and pattern.
@@ -307,24 +304,36 @@ def background_patterns(
         rows = [(i, v, c) for (i, v), c in totals.items()]
         yield pd.DataFrame(rows, columns=["leaf", "pattern", "cnt"])
 
-    counted = (
+    return (
         background.select(*[F.col(f).cast("double").alias(f) for f in names])
         .mapInPandas(count, "leaf int, pattern bigint, cnt bigint")
         .groupBy("leaf", "pattern")
         .agg(F.sum("cnt").alias("cnt"))
     )
-    out: dict[int, dict[int, float]] = {}
-    for row in counted.collect():  # bounded by leaves x patterns of the model
-        out.setdefault(row["leaf"], {})[row["pattern"]] = float(row["cnt"])
-    for shares in out.values():
-        total = sum(shares.values())
-        for pattern in shares:
-            shares[pattern] /= total
-    return out
+
+
+Reference = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _background_references(counted: DataFrame, leaves: Sequence[Leaf], rows: int) -> Iterator[Reference]:
+    """Weights and passes per leaf, at most about ``BACKGROUND_PATTERNS`` patterns at a time."""
+    parts = -(-counted.count() // BACKGROUND_PATTERNS)
+    part = F.pmod(F.xxhash64("leaf", "pattern"), F.lit(max(parts, 1)))
+    for i in range(parts):
+        found: dict[int, list[tuple[int, int]]] = {}
+        for r in counted.where(part == i).collect():
+            found.setdefault(r["leaf"], []).append((r["pattern"], r["cnt"]))
+        yield {
+            leaf: (
+                np.array([cnt for _, cnt in met]) / rows,
+                np.array([p for p, _ in met])[:, None] >> np.arange(len(leaves[leaf].features)) & 1,
+            )
+            for leaf, met in found.items()
+        }
 
 
 def tree_attributions(
-    model: Model,
+    model: Model | None,
     df: DataFrame,
     features: Sequence[str],
     background: DataFrame | None = None,
@@ -336,38 +345,57 @@ def tree_attributions(
     it they take the values of the background rows, all of them. Returns the frame and
     the base value: base + sum of phi = model output. Only the model and tables derived
     from it travel to the tasks; rows are independent.
+
+    Values add up over background patterns, so a background with more of them than
+    ``BACKGROUND_PATTERNS`` is taken in several passes over the rows, each with a part of
+    the patterns. A missing value passes no test; an empty background gives zeros.
     """
     leaf_list = list(model_leaves(model) if leaves is None else leaves)
+    references: Iterator[Reference]
     if background is None:
-        references = {i: _cover_patterns(leaf) for i, leaf in enumerate(leaf_list)}
+        base = sum(leaf.value * math.prod(leaf.cover) for leaf in leaf_list)
+        references = iter([{i: (np.ones(1), np.array([leaf.cover])) for i, leaf in enumerate(leaf_list)}])
     else:
-        references = background_patterns(leaf_list, background, features)
-    base = sum(
-        leaf.value * references.get(i, {}).get((1 << len(leaf.features)) - 1, 0.0)
-        for i, leaf in enumerate(leaf_list)
-    )
-    tables = [
-        np.asarray(_shapley_table(leaf, references.get(i, {}))).reshape(1 << len(leaf.features), -1)
-        for i, leaf in enumerate(leaf_list)
+        counted = materialize(background_patterns(leaf_list, background, features))
+        rows = counted.where(F.col("leaf") == 0).agg(F.sum("cnt")).first()[0] or 0
+        full = [(i, (1 << len(leaf.features)) - 1) for i, leaf in enumerate(leaf_list)]
+        reached = counted.join(
+            df.sparkSession.createDataFrame(full, "leaf int, pattern bigint"), ["leaf", "pattern"], "left_semi"
+        )
+        base = sum(leaf_list[r["leaf"]].value * r["cnt"] / rows for r in reached.collect())
+        references = _background_references(counted, leaf_list, rows)
+    out, added = df.withColumn("phi__", F.array_repeat(F.lit(0.0), len(features))), 0
+    for reference in references:
+        if added:
+            out = materialize(out)
+        phi = _attributed(out, features, leaf_list, reference)
+        out, added = out.withColumn("phi__", F.zip_with("phi__", phi, lambda a, b: a + b)), added + 1
+    phi_cols = [F.col("phi__")[i].alias(f"phi_{f}") for i, f in enumerate(features)]
+    return out.select(*df.columns, *phi_cols), base
+
+
+def _attributed(df: DataFrame, features: Sequence[str], leaves: Sequence[Leaf], reference: Reference) -> Column:
+    """Shapley values of each row against one reference, an array in order of features."""
+    games = [
+        (test, leaf.value, *reference[i])
+        for i, (test, leaf) in enumerate(zip(_tests(leaves), leaves))
+        if leaf.features and i in reference
     ]
-    shared = df.sparkSession.sparkContext.broadcast((_tests(leaf_list), tables))
+    shared = df.sparkSession.sparkContext.broadcast(games)
     width = len(features)
-    patterns = _pattern_counter()
+    patterns, shapley = _pattern_counter(), _shapley_kernel()
 
     @F.pandas_udf("array<double>")
     def attribute(*columns: pd.Series) -> pd.Series:
-        tests, phis = shared.value
         x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
         out = np.zeros((len(x), width))
-        for leaf, table in zip(tests, phis):
-            if leaf[0]:
-                out[:, leaf[0]] += table[patterns(leaf, x)]
+        for test, value, weights, covers in shared.value:
+            met, at = np.unique(patterns(test, x), return_inverse=True)
+            own = (met[:, None] >> np.arange(len(test[0])) & 1).astype(np.float64)
+            out[:, test[0]] += value * shapley(own, weights, covers)[at]
         return pd.Series(list(out))
 
-    cols = [F.col(f).cast("double") for f in features]
-    with_phi = df.withColumn("phi__", attribute(*cols))
-    phi_cols = [F.col("phi__")[i].alias(f"phi_{f}") for i, f in enumerate(features)]
-    return with_phi.select(*df.columns, *phi_cols), base
+    return attribute(*[F.col(f).cast("double") for f in features])
 
 
 def model_output(leaves: Sequence[Leaf], row: Sequence[float]) -> float:

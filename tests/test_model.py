@@ -70,10 +70,75 @@ def test_tree_attributions(data, kind, params):
 def test_background_counts_do_not_depend_on_partitions(data):
     _, df = data
     leaves = md.model_leaves(md.fit_model(df, FEATURES, "rf", numTrees=2, maxDepth=3))
-    one = md.background_patterns(leaves, df.repartition(1), FEATURES)
-    many = md.background_patterns(leaves, df.repartition(6), FEATURES)
+    one = sorted(md.background_patterns(leaves, df.repartition(1), FEATURES).collect())
+    many = sorted(md.background_patterns(leaves, df.repartition(6), FEATURES).collect())
     assert one == many
-    assert all(sum(p.values()) == pytest.approx(1.0) for p in one.values())
+    for i in range(len(leaves)):
+        assert sum(r["cnt"] for r in one if r["leaf"] == i) == df.count()
+
+
+def random_leaf(r, features):
+    low = [r.choice([-math.inf, r.random() / 2]) for _ in features]
+    return md.Leaf(
+        r.uniform(-2, 2), tuple(features), tuple(low), tuple(r.choice([math.inf, 0.5 + r.random() / 2]) for _ in low),
+        tuple(r.choice([0.0, 1.0, r.random()]) for _ in low),
+    )
+
+
+@pytest.mark.parametrize("patterns", [100_000, 7])
+def test_attributions_of_deep_leaves(spark, monkeypatch, patterns):
+    """Every number of features on a path, repeated and missing values, several passes over a background."""
+    monkeypatch.setattr(md, "BACKGROUND_PATTERNS", patterns)
+    r = random.Random(5)
+    names = [f"f{i}" for i in range(9)]
+    leaves = [random_leaf(r, sorted(r.sample(range(9), m))) for m in (0, 1, 2, 5, 6, 9)]
+    rows = [tuple(r.choice([None, 0.0, 0.5, r.random()]) for _ in names) for _ in range(4)]
+    behind = [tuple(r.choice([0.5, r.random()]) for _ in names) for _ in range(12)]
+    rows += rows[:1] + [tuple(0.5 for _ in names)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], ["id", *names])
+    background = spark.createDataFrame(behind, names)
+
+    def passes(leaf, x):
+        return [x[f] is not None and lo < x[f] <= hi for f, lo, hi in zip(leaf.features, leaf.low, leaf.high)]
+
+    def by_cover(x):
+        def value(s):
+            return sum(
+                leaf.value * math.prod(
+                    float(ok) if f in s else cover for f, ok, cover in zip(leaf.features, passes(leaf, x), leaf.cover)
+                ) for leaf in leaves
+            )
+        return value
+
+    def by_rows(x):
+        def value(s):
+            mixed = [[x[f] if f in s else b[f] for f in range(9)] for b in behind]
+            return sum(leaf.value * sum(all(passes(leaf, m)) for m in mixed) for leaf in leaves) / len(behind)
+        return value
+
+    for chosen, game in ((None, by_cover), (background, by_rows)):
+        phi, base = md.tree_attributions(None, df, names, chosen, leaves)
+        assert phi.columns == [*df.columns, *[f"phi_{f}" for f in names]]
+        got = sorted(phi.collect())
+        assert base == pytest.approx(game(rows[0])(set()))
+        for row, x in zip(got, rows, strict=True):
+            assert list(row)[10:] == pytest.approx(brute(game(x), 9), abs=1e-12)
+
+
+def test_attributions_of_long_paths_and_empty_tables(spark):
+    """30 features on a path: no table of patterns; values add up to the output."""
+    r = random.Random(6)
+    names = [f"f{i}" for i in range(30)]
+    leaves = [random_leaf(r, range(30)) for _ in range(3)]
+    wide = md.Leaf(1.0, tuple(range(30)), (-1.0,) * 30, (2.0,) * 30, (0.5,) * 30)
+    df = spark.createDataFrame([tuple(r.random() for _ in names) for _ in range(20)], names)
+    for background in (None, df):
+        phi, base = md.tree_attributions(None, df, names, background, [*leaves, wide])
+        for row in phi.collect():
+            assert base + sum(row[30:]) == pytest.approx(md.model_output([*leaves, wide], row[:30]))
+    phi, base = md.tree_attributions(None, df, names, df.limit(0), leaves)
+    assert base == 0 and all(set(row[30:]) == {0.0} for row in phi.collect())
+    assert md.tree_attributions(None, df.limit(0), names, df, leaves)[0].collect() == []
 
 
 def test_grid_search(data):
