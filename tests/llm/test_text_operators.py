@@ -137,6 +137,112 @@ def test_scan_documents(spark):
     assert {m.label for m in found[texts[3]].matches} == {"gpl", "gpl-3.0"}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the
+Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+the Software.
+
+THE SOFTWARE IS PROVIDED “AS IS”, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met:
+ 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+    disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+   disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """ 3. Neither the name of Example Group, Inc. nor the names of its contributors may be used to endorse or
+    promote products derived from this software without specific prior written permission.
+"""
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN
+AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""
+GPL_HEADER = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details."""
+APACHE_HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#     http://www.apache.org/licenses/LICENSE-2.0
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License."""
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+WHOLE = {
+    "mit-text": MIT, "bsd-2-clause": BSD_HEAD + BSD_TAIL, "bsd-3-clause": BSD_HEAD + BSD_NAMES + BSD_TAIL, "isc": ISC,
+    "gpl-3.0-header": GPL_HEADER, "apache-2.0-header": APACHE_HEADER, "mpl-2.0-header": MPL_HEADER,
+    "gpl-2.0-header": GPL_HEADER.replace("version 3", "version 2"),
+    "lgpl-3.0-header": GPL_HEADER.replace("General", "Lesser General"),
+    "lgpl-2.1-header": GPL_HEADER.replace("General", "Lesser General").replace("version 3", "version 2.1"),
+}
+
+
+@pytest.mark.parametrize("label", WHOLE)
+def test_whole_licenses_whole_or_not_at_all(label):
+    automata, text = licenses.Automata(), WHOLE[label]
+    words = licenses.words_of(text)
+
+    def whole(words):
+        return {found for _, _, found, _ in automata.matches(words) if found in WHOLE}
+
+    assert whole(licenses.words_of("Copyright 2020 Some One\n\n" + text + "\nint main() {}")) == {label}
+    assert whole(licenses.words_of(text.replace("\n", "\n// "))) == {label}
+    assert whole(words[:-1]) == whole(words[3:]) == set()
+    for at in range(0, len(words), 7):  # a word more that no replaceable region takes
+        assert label not in whole(words[:at] + [b"perhaps"] * 20 + words[at:]) or at == 0
+    assert whole(words[: len(words) // 2] + [b"the", b"rest", b"is", b"forbidden"]) == set()
+
+
+def test_named_licenses_and_tags():
+    automata = licenses.Automata()
+
+    def labels(text):
+        return {label for _, _, label, base in automata.matches(licenses.words_of(text)) if not base}
+
+    assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy of this software, "
+                  "to deal in the Software without restriction. THE REST IS FORBIDDEN") == set()
+    assert labels("Redistribution and use in source and binary forms are permitted only on Mondays") == set()
+    assert labels("not released under the BSD license") == labels("never licensed under the MIT license") == set()
+    assert labels("Released under the terms of the BSD 3-clause license.") == {"bsd-notice"}
+    assert labels("distributed under the MIT license") == {"mit-notice"}
+    assert labels("SPDX-License-Identifier: MIT") == {"spdx-mit"}
+    assert labels("// SPDX-License-Identifier: GPL-2.0-or-later") == {"spdx-gpl-2.0"}
+    assert labels("SPDX-License-Identifier: BSD-3-Clause") == {"spdx-bsd"}
+
+
+def test_licenses_of_empty_tables_and_long_texts(spark):
+    assert licenses.scan_documents(spark.createDataFrame([], "text string")).collect() == []
+    long = "copyright " * 300_000 + MIT
+    row = licenses.scan_documents(spark.createDataFrame([(long,)], "text string")).first()
+    assert [(m.start, m.label) for m in row.licenses.matches] == [(300_000, "mit-text")]
+
+
 def edits(a, b):
     """Edit distance with swapped neighbours as one edit."""
     d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
