@@ -71,23 +71,26 @@ def t01(spark, sf):
     return ut.top_k(totals, 10, ties=["tid"])
 
 
-@query("j04_extend_lists", f"""WITH {BASKETS}, best AS (SELECT item AS x FROM twus ORDER BY twu, item LIMIT 1),
-  px AS (SELECT tid, item, util, twu FROM tx JOIN twus USING (item) JOIN best ON item = x),
-  py AS (SELECT tid, item, util, twu FROM tx JOIN twus USING (item)),
-  pairs AS (SELECT px.item || ' ' || py.item AS itemset, px.util + py.util AS util
-    FROM px JOIN py USING (tid) WHERE (py.twu, py.item) > (px.twu, px.item))
-  SELECT itemset, CAST(sum(util) AS BIGINT) AS util, count(*) AS transactions FROM pairs GROUP BY 1""")
+@query("j04_extend_lists", f"""WITH {LISTS}, m AS (SELECT CAST(sum(util) AS BIGINT) // 7 AS least FROM tx),
+  one AS (SELECT item FROM ordered GROUP BY 1 HAVING sum(util) + sum(rutil) >= (SELECT least FROM m)),
+  two AS (SELECT a.tid, a.item AS i, b.item AS j, a.util + b.util AS util, b.rutil, b.twu
+    FROM ordered a JOIN ordered b ON a.tid = b.tid AND (b.twu, b.item) > (a.twu, a.item)
+    WHERE a.item IN (SELECT item FROM one)),
+  pairs AS (SELECT i, j, i || ' ' || j AS itemset, CAST(sum(util) AS BIGINT) AS util, CAST(sum(rutil) AS BIGINT) AS rutil,
+    count(*) AS transactions FROM two GROUP BY ALL),
+  three AS (SELECT i || ' ' || j || ' ' || c.item AS itemset, two.util + c.util AS util, c.rutil
+    FROM two JOIN pairs USING (i, j) JOIN ordered c ON c.tid = two.tid AND (c.twu, c.item) > (two.twu, two.j)
+    WHERE pairs.util + pairs.rutil >= (SELECT least FROM m) // 10)
+  SELECT itemset, util, rutil, transactions FROM pairs
+  UNION ALL SELECT itemset, CAST(sum(util) AS BIGINT), CAST(sum(rutil) AS BIGINT), count(*) FROM three GROUP BY 1""")
 def j04(spark, sf):
-    """All two-item extensions of the first item in order, by joining utility lists."""
-    lists = ut.remaining_utility(ut.with_twu(baskets(spark, sf)))
-    singles = lists.select(
-        "tid", "item", "twu", F.array("item").alias("itemset"), F.col("util").alias("iutil"), "rutil"
-    )
-    best = singles.select("item", "twu").distinct().orderBy("twu", "item").first()
-    px = singles.where(F.col("item") == best["item"])
-    py = singles.where(F.struct("twu", "item") > F.struct(F.lit(best["twu"]), F.lit(best["item"])))
-    return ut.extend_lists(px, py).groupBy(F.array_join("itemset", " ").alias("itemset")).agg(
-        F.sum("iutil").alias("util"), F.count(F.lit(1)).alias("transactions")
+    """Utility lists of pairs and then of triples, of every prefix that can reach the threshold, summed up."""
+    tx = baskets(spark, sf)
+    least = tx.agg(F.sum("util")).first()[0] // 7
+    pairs = ut.extend_all_lists(ut.single_lists(tx), least)
+    both = pairs.unionByName(ut.extend_all_lists(pairs, least // 10))
+    return both.groupBy(F.array_join("itemset", " ").alias("itemset")).agg(
+        F.sum("iutil").alias("util"), F.sum("rutil").alias("rutil"), F.count(F.lit(1)).alias("transactions")
     )
 
 
@@ -115,11 +118,16 @@ def u02c(spark, sf):
     return named(ut.top_k_utility_itemsets(user_tx(spark, sf), 7))
 
 
-@query("u03_top_k_with_ties", f"""WITH {BASKETS}, m AS (SELECT item AS itemset, CAST(sum(util // 10000000) AS BIGINT) AS util FROM tx GROUP BY 1)
-  SELECT itemset, util FROM m QUALIFY rank() OVER (ORDER BY util DESC) <= 5""")
+@query("u03_top_k_with_ties", f"""WITH RECURSIVE {BASKETS.lstrip()}, coarse AS (SELECT tid, item, util // 10000000 AS util FROM tx),
+  subsets AS (SELECT tid, [item] AS itemset, item AS last, util FROM coarse UNION ALL
+    SELECT s.tid, list_append(s.itemset, c.item), c.item, s.util + c.util FROM subsets s
+    JOIN coarse c ON s.tid = c.tid AND c.item > s.last),
+  mined AS (SELECT itemset, CAST(sum(util) AS BIGINT) AS util FROM subsets GROUP BY 1)
+  SELECT {ITEMS}, util FROM mined QUALIFY rank() OVER (ORDER BY util DESC) <= 60""")
 def u03(spark, sf):
+    """The best itemsets of every length in coarse units, with all that equal the last of them."""
     coarse = ut.merged_items(baskets(spark, sf)).withColumn("util", F.expr("util div 10000000"))
-    return named(ut.top_k_utility_itemsets(coarse, 5, max_len=1, with_ties=True))
+    return named(ut.top_k_utility_itemsets(coarse, 60, with_ties=True))
 
 
 @query("u04_next_unused", f"""WITH {SUBSETS}, ranked AS (SELECT itemset, util, row_number() OVER (ORDER BY util DESC, len(itemset), list_sort(itemset)) AS nth FROM mined)

@@ -105,6 +105,47 @@ def extend_lists(px: DataFrame, py: DataFrame, prefix: DataFrame | None = None)
     )
 
 
+def single_lists(tx: DataFrame) -> DataFrame:
+    """Utility lists of single items, ready for ``extend_all_lists``.
+
+    Beside (itemset, tid, iutil, rutil) a row has ``last``, the place of its last item in the
+    item order, and ``before``, the utility of the items ahead of it.
+    """
+    return remaining_utility(with_twu(tx)).select(
+        F.array("item").alias("itemset"),
+        "tid",
+        F.col("util").alias("iutil"),
+        "rutil",
+        F.struct("twu", "item").alias("last"),
+        F.lit(0).cast("bigint").alias("before"),
+    )
+
+
+def extend_all_lists(lists: DataFrame, min_util: int) -> DataFrame:
+    """Utility lists of all itemsets that are one item longer, of every prefix at once.
+
+    Lists of itemsets that share all but their last item meet per transaction. An itemset
+    whose utility and remaining utility together stay below ``min_util`` is not extended:
+    nothing that begins with it can reach the threshold. That is decided on totals per
+    itemset, before any lists meet. Equal rows of a transaction are to be merged beforehand
+    (``single_lists`` does); null transactions or items meet nothing.
+    """
+    hopeful = itemset_utilities(lists).where(F.col("util") + F.col("rutil") >= min_util).select("itemset")
+    prefix = F.slice("itemset", 1, F.size("itemset") - 1).alias("prefix")
+    x = lists.join(hopeful, "itemset", "left_semi").select(
+        "tid", prefix, F.col("itemset").alias("x"), F.col("iutil").alias("ix"), F.col("last").alias("x_last"), "before"
+    )
+    y = lists.select("tid", prefix, F.col("iutil").alias("iy"), "rutil", "last")
+    return x.join(y, ["tid", "prefix"]).where(F.col("x_last") < F.col("last")).select(
+        F.concat("x", F.array("last.item")).alias("itemset"),
+        "tid",
+        (F.col("ix") + F.col("iy") - F.col("before")).alias("iutil"),
+        "rutil",
+        "last",
+        F.col("ix").alias("before"),
+    )
+
+
 def top_k(df: DataFrame, k: int, by: str = "util", ties: Sequence[str] = ()) -> DataFrame:
     """The k largest rows; equal ones in the order of ``ties``."""
     return df.orderBy(F.desc(by), *[F.asc(t) for t in ties]).limit(k)

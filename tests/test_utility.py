@@ -110,6 +110,21 @@ def test_utility_lists_and_their_extension(spark):
     assert full["itemset"] == [1, 2, 3] and full["iutil"] == 9 and full["rutil"] == 0
 
 
+@pytest.mark.parametrize("least", [0, 60])
+def test_lists_of_every_prefix(spark, least):
+    """All longer itemsets are met; only what cannot reach the threshold may be missing."""
+    rows = random_tx(12) + [(1, None, 4), (None, 3, 4), (None, 4, 4)] + random_tx(13)[:9]
+    truth = brute([r for r in rows if None not in r])
+    lists, size = ut.single_lists(frame(spark, rows)), 1
+    while size < 5:
+        lists, size = ut.extend_all_lists(lists, least), size + 1
+        totals = ut.itemset_utilities(lists).collect()
+        got = {tuple(sorted(r["itemset"])): r["util"] for r in totals}
+        assert len(got) == len(totals) and set(got.items()) <= set(truth.items())
+        assert {c for c, u in truth.items() if len(c) == size and (u >= least or not least)} <= set(got)
+    assert ut.extend_all_lists(lists.limit(0), least).count() == 0
+
+
 def test_next_itemset_skips_used(spark):
     rows = random_tx(9)
     truth = ranked(brute(rows))
