@@ -131,7 +131,11 @@ def grid_search(
     parallelism: int = 4,
     seed: int = 1,
 ) -> tuple[Model, DataFrame]:
-    """Cross-validated search by accuracy: the best model and (params, accuracy)."""
+    """Cross-validated search by accuracy: the best model and (params, accuracy).
+
+    Label and features are written once: folds are drawn from that table, so they are the same
+    rows whenever they are read, and every step of every model runs over its few partitions.
+    """
     est = estimator(kind, label, seed=seed) if kind != "lr" else estimator(kind, label)
     builder = ParamGridBuilder()
     for name, values in grid.items():
@@ -145,7 +149,7 @@ def grid_search(
         parallelism=parallelism,
         seed=seed,
     )
-    fitted = cv.fit(assemble(df, features))
+    fitted = cv.fit(assemble(materialize(df.select(label, *features)), features))
     rows = [
         (", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda e: e[0].name)), float(a))
         for m, a in zip(maps, fitted.avgMetrics)

@@ -149,6 +149,20 @@ def test_grid_search(data):
     assert model.transform(md.assemble(df, FEATURES)).count() == 200
 
 
+def test_grid_search_derives_its_input_once(spark, data):
+    rows, df = data
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    slow = df.withColumn("a", watched("a"))
+    md.grid_search(slow, FEATURES, "lr", {"regParam": [0.0, 0.1]}, folds=3)
+    assert seen.value == len(rows)
+
+
 def test_linear_attributions_add_up(data):
     rows, df = data
     coefs = {"a": 2.0, "b": -1.0, "c": 0.5}
