@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import unquoted_term
+from ..session import materialize
 
 # Fixed patterns of the text formats.
 FACT = r"^\s*(\w+)\(\s*([\w.]+)\s*(?:,\s*([^()]+?)\s*)?\)\s*\.\s*(?:%.*)?$"
@@ -82,9 +83,14 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
 
 
 def relation_tables(atoms: DataFrame, arity: dict[str, int]) -> dict[str, DataFrame]:
-    """One table per named predicate with columns a0, a1 ..., as relational clauses use them."""
+    """One table per named predicate with columns a0, a1 ..., as relational clauses use them.
+
+    The facts are written once, a predicate apart, so that a table does not read the text of
+    all of them each time it is used.
+    """
+    facts = materialize(atoms.where(F.col("pred").isin(*arity)).select("pred", "args"), "pred")
     return {
-        pred: atoms.where((F.col("pred") == pred) & (F.size("args") == n)).select(
+        pred: facts.where((F.col("pred") == pred) & (F.size("args") == n)).select(
             *[F.col("args")[i].alias(f"a{i}") for i in range(n)]
         )
         for pred, n in arity.items()

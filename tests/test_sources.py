@@ -1,5 +1,7 @@
 """Text files written and read back, and odd lines in them."""
 
+from pyspark.sql import functions as F
+
 from ruleweave.operators import coverage as cov
 from ruleweave.plans.learn import LearnSettings, learn_rules
 from ruleweave.rules import Literal, Rule, Theory, theory_from_rows
@@ -125,6 +127,22 @@ def test_atoms_views_and_rejected_lines(spark):
     assert tables["age"].count() == 2 and tables["flies"].columns == ["a0"]
 
 
+def test_relations_read_the_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def watched(line):
+        seen.add(1)
+        return line
+
+    lines = spark.createDataFrame([("age(p1,2).",), ("flies(p1).",), ("age(p1).",), ("other(x).",)], "value string")
+    tables = rd.relation_tables(rd.parse_atoms(lines.select(watched("value").alias("value"))), {"age": 2, "flies": 1})
+    before = seen.value
+    assert [tuple(r) for r in tables["age"].collect()] == [("p1", "2")]
+    assert [tuple(r) for r in tables["flies"].collect()] == [("p1",)]
+    assert seen.value == before
+
+
 def test_rules_with_joins_are_not_attribute_rules(spark):
     lines = spark.createDataFrame([("h(A):-c(A,B),d(B,x).",), ("h(A):-c(A,y),not(ab0(A)).",)], "value string")
     assert {r["pred"] for r in rd.parse_rules(lines).collect()} == {"c", "ab0"}
