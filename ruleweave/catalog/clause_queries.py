@@ -125,15 +125,16 @@ def r01_steps(spark, sf):
     tables = rl.prepared_tables(tables, bias)
     out = []
     variables = {"O": ORDER}
-    bound = cases
+    bound, body = cases, []
     for step, atom in ((1, Atom("has_part", ("O", "A"))), (2, None)):
         names = [v for v in "ABCDE" if v not in variables]
-        ranked = rl.ranked_extensions(bound, ["O"], rl.patterns(bias, variables, names), tables)
+        ranked = rl.ranked_extensions(bound, ["O"], rl.patterns(bias, variables, names, body=body), tables)
         out.append(ranked.select(
             F.lit(step).alias("step"), "literal", "p_cases", "p_tuples", "n_tuples", F.round("gain", 6).alias("gain")
         ).where("gain > 0"))
         if atom is not None:
-            bound, variables = bind(bound, [atom], tables), {**variables, "A": PART}
+            bound, variables = materialize(bind(bound, [atom], tables)), {**variables, "A": PART}
+            body.append(atom)
     return out[0].unionByName(out[1])
 
 

@@ -99,9 +99,11 @@ class Pattern:
 
 
 def patterns(
-    modes: RelationalModes, variables: Mapping[str, str], new_names: Sequence[str], allow_new: bool = True
+    modes: RelationalModes, variables: Mapping[str, str], new_names: Sequence[str], allow_new: bool = True,
+    body: Sequence[Atom] = (),
 ) -> list[Pattern]:
-    """All patterns that share a variable with the clause."""
+    """All patterns that share a variable with the clause, without the atoms of its ``body``:
+    those change no count."""
     out: list[Pattern] = []
 
     def fill(pred: str, places: Sequence[Place], args: tuple, new: tuple) -> Iterator[Pattern]:
@@ -121,7 +123,7 @@ def patterns(
             yield from fill(pred, places, (*args, name), (*new, (name, place.type)))
 
     for pred, places in modes.predicates.items():
-        out += fill(pred, places, (), ())
+        out += [p for p in fill(pred, places, (), ()) if None in p.args or Atom(p.pred, p.args) not in body]
     return out
 
 
@@ -142,11 +144,11 @@ def prepared_tables(tables: Tables, modes: RelationalModes) -> dict[str, DataFra
 def _sources(shapes: Sequence[tuple], tables: Tables) -> DataFrame:
     """(shape, key, consts, ways): per filling of old places and constants, the ways to fill
     the rest, from prepared tables. A hot key is one row."""
-    per_pred: dict[str, list[tuple[int, tuple]]] = {}
+    per_pred: dict[tuple[str, bool], list[tuple[int, tuple]]] = {}
     for number, (pred, slots) in enumerate(shapes):
-        per_pred.setdefault(pred, []).append((number, slots))
+        per_pred.setdefault((pred, any(isinstance(s, int) for s in slots)), []).append((number, slots))
     parts = []
-    for pred, numbered in per_pred.items():
+    for (pred, is_open), numbered in per_pred.items():
         rows = []
         for number, slots in numbered:
             same = F.lit(True)
@@ -159,9 +161,12 @@ def _sources(shapes: Sequence[tuple], tables: Tables) -> DataFrame:
             rows.append(F.when(same, F.struct(
                 F.lit(number).alias("shape"), key.alias("key"), consts.alias("consts")
             )))
+        filled = tables[pred].select(F.explode(F.array_compact(F.array(*rows))).alias("row")).select("row.*")
+        ways = F.count(F.lit(1)).alias("ways")
+        # Where nothing is left open, a fact fills the pattern, and facts are distinct.
         parts.append(
-            tables[pred].select(F.explode(F.array_compact(F.array(*rows))).alias("row")).select("row.*")
-            .groupBy("shape", "key", "consts").agg(F.count(F.lit(1)).alias("ways"))
+            filled.groupBy("shape", "key", "consts").agg(ways) if is_open
+            else filled.withColumn("ways", F.lit(1).cast("bigint"))
         )
     return reduce(DataFrame.unionByName, parts)
 
@@ -176,18 +181,34 @@ def extension_counts(
     they need no scan of their own.
     """
     shapes = list(dict.fromkeys(p.shape for p in found))
-    wanted = F.array(*[
-        F.struct(
-            F.lit(i).alias("pattern"),
-            F.lit(shapes.index(p.shape)).alias("shape"),
-            F.array(*[F.col(p.args[place]) for place in p.old_places]).alias("key"),
-        )
-        for i, p in enumerate(found)
-    ])
-    keyed = bindings.select(*head_vars, "is_pos", F.explode(wanted).alias("w")).select(*head_vars, "is_pos", "w.*")
+    # A negated candidate looks at whole cases, so that cases without a name take no part.
+    seen = bindings.dropna(subset=list(head_vars)) if negation else bindings
+    sides = [*head_vars, "is_pos"]
+
+    def keyed(rows: DataFrame, chosen: Sequence[int], *more: str) -> DataFrame:
+        wanted = F.array(*[
+            F.struct(
+                F.lit(i).alias("pattern"),
+                F.lit(shapes.index(found[i].shape)).alias("shape"),
+                F.array(*[F.col(found[i].args[place]) for place in found[i].old_places]).alias("key"),
+            )
+            for i in chosen
+        ])
+        # Only positive cases are counted, so that the proofs of all negatives go together.
+        case = [F.when(F.col("is_pos"), F.col(v)).alias(v) for v in head_vars]
+        return rows.select(*sides, *more, F.explode(wanted).alias("w")).select(*case, "is_pos", *more, "w.*")
+
+    proofs = F.count(F.lit(1)).alias("proofs")
+    by_case = [i for i, p in enumerate(found) if {p.args[place] for place in p.old_places} <= set(head_vars)]
+    by_proof = [i for i in range(len(found)) if i not in by_case]
     # Proofs that agree in all a candidate can see are counted before the join.
-    keyed = keyed.groupBy(*head_vars, "is_pos", "pattern", "shape", "key").agg(F.count(F.lit(1)).alias("proofs"))
-    met = keyed.join(_sources(shapes, tables), ["shape", "key"])
+    parts = []
+    if by_case:
+        parts.append(keyed(seen.groupBy(*sides).agg(proofs), by_case, "proofs"))
+    if by_proof:
+        parts.append(keyed(seen, by_proof).groupBy(*sides, "pattern", "shape", "key").agg(proofs))
+    keyed_proofs = reduce(DataFrame.unionByName, parts)
+    met = keyed_proofs.join(_sources(shapes, tables), ["shape", "key"])
     per_case = met.groupBy(*head_vars, "is_pos", "pattern", "consts").agg(
         F.sum(F.col("proofs") * F.col("ways")).alias("tuples"), F.sum("proofs").alias("proofs")
     )
@@ -200,7 +221,7 @@ def extension_counts(
     if negation:
         # Cases all of whose proofs are taken away are no longer covered.
         all_proofs = bindings.groupBy(*head_vars).agg(F.count(F.lit(1)).alias("all_proofs"))
-        per_case = per_case.join(all_proofs, list(head_vars))
+        per_case = per_case.join(all_proofs, list(head_vars), "left")
     else:
         per_case = per_case.withColumn("all_proofs", F.lit(-1))
     counts = per_case.groupBy("pattern", "consts").agg(
@@ -319,7 +340,7 @@ class RelationalSearch:
     ):
         """``examples`` has a string column per head variable and ``is_pos``, a case once."""
         self.head_vars = list(head_vars)
-        self.examples = examples.select(*head_vars, "is_pos")
+        self.examples = materialize(examples.select(*head_vars, "is_pos"))
         self.tables = prepared_tables(tables, modes)
         self.modes = modes
         self.settings = settings
@@ -354,7 +375,9 @@ class RelationalSearch:
 
     def best(self, state: State, least: float = 0.0) -> tuple[Atom, float] | None:
         """The best literal and its gain, if that is more than ``least``."""
-        found = patterns(self.modes, state.variables, self.new_names(state))
+        found = patterns(self.modes, state.variables, self.new_names(state), body=state.body)
+        if not found:
+            return None
         row = ranked_extensions(state.bindings, self.head_vars, found, self.tables, self.settings.negation).first()
         if row is None or row["gain"] <= least:
             return None
@@ -474,7 +497,7 @@ class RelationalSearch:
         return clauses
 
     def run(self) -> RelationalTheory:
-        clauses = self.cover(materialize(self.examples), 0)
+        clauses = self.cover(self.examples, 0)
         used: set[str] = set()
         open_bodies = [c.body for c in clauses]
         while open_bodies:

@@ -199,3 +199,30 @@ def test_all_but_in_the_greedy_learner(spark):
 def test_clause_text():
     clause = Clause(Atom("h", ("X",)), (Atom("p", ("X", "'A'")), Atom("q", ("X",), True)))
     assert clause.text() == "h(X):-p(X,'A'),not(q(X))." and Clause(Atom("h", ("X",)), ()).text() == "h(X):-true."
+
+
+def test_candidates_skip_the_body_and_count_only_positive_cases(spark):
+    """Atoms of the body are no candidates; proofs of negatives meet a key in one row."""
+    bias = rl.RelationalModes(("case",), {"has": (rl.Place("var", "case"), rl.Place("var", "part")),
+                                          "kind": (rl.Place("var", "part"), rl.Place("const", "kind"))})
+    cases = [(f"c{i}", i % 4 == 0) for i in range(40)]
+    has = [(f"c{i}", f"p{j}") for i in range(40) for j in range(3) if (i + j) % 2]
+    kind = [("p0", "x"), ("p1", "y"), ("p2", "x")]
+    tables = {"has": spark.createDataFrame(has, "a0 string, a1 string"), "kind": spark.createDataFrame(kind, "a0 string, a1 string")}
+    bound = spark.createDataFrame(cases, "O string, is_pos boolean").join(tables["has"].toDF("O", "A"), "O")
+    found = rl.patterns(bias, {"O": "case", "A": "part"}, ["B", "C"], body=[rl.Atom("has", ("O", "A"))])
+    assert ("has", ("O", "A")) not in {(p.pred, p.args) for p in found}
+    sides = dict(cases)
+    for negation in (False, True):
+        got = {(found[r["pattern"]].args, tuple(r["consts"]), r["negated"]): (r["p_cases"], r["p_tuples"], r["n_tuples"])
+               for r in rl.extension_counts(bound, ["O"], found, tables, negation).collect()}
+        for value in "xy":
+            for negated in {False, negation}:
+                met = [o for o, a in has if ((a, value) in kind) != negated]
+                pos = [o for o in met if sides[o]]
+                want = (len(set(pos)), len(pos), len(met) - len(pos))
+                assert got.get((("A", None), (value,), negated), (0, 0, 0)) == want
+    other = [i for i, p in enumerate(found) if p.args == ("O", "B")]
+    twice = [(o, a, b) for o, a in has for o2, b in has if o == o2]
+    row = rl.extension_counts(bound, ["O"], [found[other[0]]], tables).first()
+    assert (row["p_tuples"], row["n_tuples"]) == (sum(sides[o] for o, *_ in twice), sum(not sides[o] for o, *_ in twice))
