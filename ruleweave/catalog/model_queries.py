@@ -8,6 +8,7 @@ from ..operators import attribution as at
 from ..operators import evaluate as ev
 from ..operators import model as md
 from ..operators.prep import one_hot
+from ..session import materialize
 from .datasets import orders_cases, table
 from .registry import query
 
@@ -96,12 +97,19 @@ def encoded(spark, sf):
     return hot, [c for c in hot.columns if c not in ("case_id", "label")]
 
 
-def split_fit(spark, sf, kind, **params):
+def split_cases(spark, sf):
+    """The encoded orders, written once for all that is fitted to and asked of them, and split."""
     df, features = encoded(spark, sf)
-    split = md.stratified_split(df, "label", 0.8, seed=1)
+    return md.stratified_split(materialize(df), "label", 0.8, seed=1), features
+
+
+def fit(split, features, kind, **params):
     train = split.where("is_train").drop("is_train")
-    model = md.fit_model(train, features, kind, **params)
-    return model, split, features
+    return md.fit_model(train, features, kind, **params), split, features
+
+
+def split_fit(spark, sf, kind, **params):
+    return fit(*split_cases(spark, sf), kind, **params)
 
 
 def quality(model, split, features):
@@ -119,8 +127,9 @@ def m02(spark, sf):
 @query("m03_forest_and_logistic")
 def m03(spark, sf):
     """Held-out quality of a random forest and of a logistic regression."""
-    forest = quality(*split_fit(spark, sf, "rf", numTrees=10, maxDepth=4)).withColumn("model", F.lit("rf"))
-    logistic = quality(*split_fit(spark, sf, "lr", maxIter=20)).withColumn("model", F.lit("lr"))
+    split, features = split_cases(spark, sf)
+    forest = quality(*fit(split, features, "rf", numTrees=10, maxDepth=4)).withColumn("model", F.lit("rf"))
+    logistic = quality(*fit(split, features, "lr", maxIter=20)).withColumn("model", F.lit("lr"))
     return forest.unionByName(logistic)
 
 

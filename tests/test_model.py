@@ -195,3 +195,19 @@ def test_attribution_summary_with_constant_feature(spark):
     df = spark.createDataFrame([("a", 1.0, 0.5), ("a", 2.0, 1.0), ("b", 1.0, 0.2), ("b", 1.0, -0.2)], "feature string, x double, phi double")
     got = {r["feature"]: (round(r["mean_abs_phi"], 6), r["direction"]) for r in at.attribution_summary(df).collect()}
     assert got["a"][0] == 0.75 and got["a"][1] == pytest.approx(1.0) and got["b"] == (0.2, None)
+
+
+def test_models_share_one_encoded_table(spark, data, monkeypatch):
+    from ruleweave.catalog import model_queries as mq
+
+    rows, df = data
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def watched(x):
+        seen.add(1)
+        return x
+
+    monkeypatch.setattr(mq, "encoded", lambda *_: (df.withColumn("a", watched("a")), FEATURES))
+    assert {r["model"] for r in mq.m03(spark, "").collect()} == {"rf", "lr"}
+    assert seen.value == len(rows)
