@@ -153,7 +153,9 @@ def constant_candidates(
     """
     own = tables[pred].select(F.col("a0").alias(key_var), F.col("a1").alias("val")).distinct()
     joined = bindings.join(own, key_var)
-    per_case = joined.groupBy(case_var, "val", "is_pos").agg(F.count(F.lit(1)).alias("proofs"))
+    # Only positive cases are counted, so that the proofs of all negatives go together.
+    case = F.when(F.col("is_pos"), F.col(case_var)).alias("case__")
+    per_case = joined.groupBy(case, "val", "is_pos").agg(F.count(F.lit(1)).alias("proofs"))
     zero = F.lit(0).cast("bigint")
     return per_case.groupBy("val").agg(
         F.count_if("is_pos").alias("p_cases"),
