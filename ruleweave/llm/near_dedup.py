@@ -7,11 +7,12 @@ tells how many they do not share, precisely for high similarities.
 
 Texts that agree in a whole band of samples are candidates. A bucket of a band is never
 expanded into all its pairs: each round (the first one over a few bands only) names one
-member of every bucket (later several) as its head, screens and confirms the others against the heads, joins what is linked into
+member of every bucket as its head, screens and confirms the others against the heads, joins what is linked into
 components, and goes on only with buckets whose members still belong to different
-components. Heads are taken out once all others have met them, so every pair of different
-components in a bucket is tested sooner or later, and pairs inside a component never again.
-Texts with equal sets take part once.
+components. Heads are taken out once all others have met them. When a round joins little,
+the pairs of different components that are left in the buckets are tested if they are few;
+else those are tested that the counts of rare shingles do not rule out (``split_pairs``).
+Pairs inside a component are never tested again. Texts with equal sets take part once.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -43,6 +44,12 @@ DEVIATIONS = 6.0
 PER_FILE = 8_000
 #: All remaining pairs are tested at once when they are at most this many per text.
 PAIRS_PER_TEXT = 4
+#: Rounds of heads go on while they give a link for every so many texts.
+TEXTS_PER_LINK = 100
+#: Shingles in at most this many sets of mixed buckets are rare.
+RARE = 40
+#: Ratio of the sizes that one size class spans.
+CLASS = 1.05
 
 _WORDS: dict[bytes, int] = {}
 _REMEMBERED = 250_000
@@ -233,6 +240,99 @@ def _confirmed(
     return materialize(linked.distinct().coalesce(files))
 
 
+def split_pairs(met: DataFrame, sets: DataFrame, percent: int, rare: int = RARE) -> DataFrame:
+    """Pairs (a, b) of different labels in ``met``(bucket, node, label) that can be linked.
+
+    ``sets``(node, members) holds the full sets. Every pair of a bucket that is linked is
+    among the result, with repetition. Rare shingles stand in at most ``rare`` of the sets.
+
+    Order shingles from rare to frequent. The first one that two linked sets share is among
+    the first ``n - least overlap + 1`` of either. If it is rare, it leads to the pair, unless
+    too few shingles come after it in either set. If it is frequent, the sets share no rare one: of n and m shingles, r and s of them rare, they
+    share min(n - r, m - s) at most and have max(n + s, m + r) or more in all. Texts that
+    differ from a common one in places of their own are apart by these numbers alone, so a
+    bucket's sets meet by size classes, the smaller one in its class, the larger one in those
+    it can reach, and only where labels differ.
+    """
+    ratio = percent / 100
+    listed = materialize(
+        sets.dropDuplicates(["node", "members"]).select("node", F.xxhash64("members").alias("set"), "members")
+    )
+    shingles = listed.select("node", "set", F.size("members").alias("n"), F.explode("members").alias("shingle"))
+    counted = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("met"))
+    frequent = materialize(counted.where(F.col("met") > rare).select("shingle"))
+    few = shingles.join(if_small(frequent, frequent.count()), "shingle", "left_anti")
+    # Lists of at most ``rare`` entries.
+    holders = few.groupBy("shingle").agg(F.collect_list(F.struct("node", "set", "n")).alias("held"))
+    spread = holders.select("shingle", F.size("held").alias("met"), F.inline("held"))
+    order = Window.partitionBy("node", "set").orderBy("met", "shingle")
+    placed = materialize(spread.withColumn("nth", F.row_number().over(order)))
+
+    labels = met.select("node", "label").distinct()
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    shown = placed.where((F.col("met") > 1) & (F.col("nth") <= prefix)).join(labels, "node")
+    after = (F.col("n") - F.col("nth")).alias("after")
+    lists = shown.groupBy("shingle").agg(F.collect_list(F.struct("node", "label", "n", after)).alias("held"))
+    both = lists.where(F.size("held") > 1).select(
+        F.explode(
+            F.flatten(
+                F.transform(
+                    "held",
+                    lambda x: F.transform(
+                        F.filter(
+                            "held",
+                            lambda y: (x["node"] < y["node"]) & (x["label"] != y["label"])
+                            & ((100 + percent) * (1 + F.least(x["after"], y["after"])) >= percent * (x["n"] + y["n"])),
+                        ),
+                        lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")),
+                    ),
+                )
+            )
+        ).alias("pair")
+    )
+    by_rare = both.select("pair.a", "pair.b")
+
+    numbers = placed.groupBy("node", "set").agg(F.count(F.lit(1)).alias("rare"))
+    facts = listed.select("node", "set", F.size("members").alias("n")).join(numbers, ["node", "set"], "left")
+    facts = facts.select("node", "n", F.coalesce("rare", F.lit(0)).alias("rare")).distinct()
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n) / F.log(F.lit(CLASS))).cast("int")
+
+    reach = F.least(F.col("n").cast("double"), (F.col("n") - F.col("rare")) / ratio - F.col("rare"))
+    rows = materialize(
+        met.select("bucket", "node", "label").join(facts, "node")
+        .withColumn("reach", reach).where(F.col("reach") >= 0.999 * ratio * F.col("n"))
+    )
+    large = rows.withColumn(
+        "class",
+        F.explode(F.sequence(size_class(0.999 * ratio * F.col("n")), size_class(1.001 * F.col("reach")))),
+    ).drop("reach")
+    small = rows.where(100 * (F.col("n") - F.col("rare")) >= percent * (F.col("n") + F.col("rare"))).withColumn(
+        "class", size_class(F.col("n").cast("double"))
+    ).drop("reach")
+    place = ["bucket", "class"]
+    sides = large.select(*place, "label", F.lit(0).alias("smaller")).unionByName(
+        small.select(*place, "label", F.lit(1).alias("smaller"))
+    )
+    mixed = materialize(
+        sides.groupBy(*place).agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.max("smaller").alias("smaller")
+        ).where("low <> high and smaller = 1").select(*place)
+    )
+    left = large.join(mixed, place).select(*place, *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "rare")])
+    right = small.join(mixed, place).select(*place, *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "rare")])
+    by_size = left.join(right, place).where(
+        (F.col("label_a") != F.col("label_b"))
+        & (F.col("n_a") >= F.col("n_b"))
+        & (
+            100 * F.least(F.col("n_a") - F.col("rare_a"), F.col("n_b") - F.col("rare_b"))
+            >= percent * F.greatest(F.col("n_a") + F.col("rare_b"), F.col("n_b") + F.col("rare_a"))
+        )
+    ).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+    return by_rare.unionByName(by_size)
+
+
 def near_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -282,52 +382,54 @@ def near_components(
     shared = materialize(met_often.drop("met").distinct().join(crowd, "node"))
     links = materialize(same_id.distinct().coalesce(files))
     labels = components(links)
-    open_rows, heads, last = shared.where(F.col("band") < FIRST_BANDS), 1, False
+    open_rows = shared.where(F.col("band") < FIRST_BANDS)
     whole = False  # whether all bands are in play
+    joined = n_nodes  # links that the last round found
+    last = False
     while not last:
         labelled = open_rows.join(if_small(labels, labels.count()), "node", "left").select(
             "bucket", "rank", "node", F.coalesce("label", "node").alias("label")
         )
-        slot = F.pmod(F.xxhash64("node", F.lit(heads)), F.lit(heads)).alias("slot")
-        buckets = labelled.groupBy("bucket", *([slot] if heads > 1 else [])).agg(
+        mixed = labelled.groupBy("bucket").agg(
             F.min(F.struct("rank", "node", "label")).alias("head"), F.min("label").alias("low"), F.max("label").alias("high"),
         )
-        if heads > 1:
-            mixed = buckets.groupBy("bucket").agg(
-                F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("head").alias("head")
-            )  # as many heads as slots at most
-        else:
-            mixed = buckets.withColumn("head", F.array("head"))
         mixed = materialize(mixed.where("low <> high").select("bucket", "head").coalesce(files))
         if mixed.isEmpty() and whole:
             break
         # Members of different components than a head of their bucket.
         met = materialize(
             labelled.join(mixed, "bucket")
-            .withColumn("is_head", F.exists("head", lambda h: h["node"] == F.col("node")))
+            .withColumn("is_head", F.col("head.node") == F.col("node"))
         )
+        few = False
         if whole and pairs_per_text:
             per_label = met.groupBy("bucket", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
             total = (
                 per_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"))
                 .agg(F.coalesce(F.sum(F.col("n") * F.col("n") - F.col("nn")) / 2, F.lit(0.0))).first()[0]
             )
-            last = total <= pairs_per_text * n_nodes
-        if last:
+            few = total <= pairs_per_text * n_nodes
+        last = whole and (few or joined * TEXTS_PER_LINK < n_nodes)
+        if last and few:
             one = met.select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"))
             others = met.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"))
             pairs = one.join(others, "bucket").where("label_a <> label_b and a < b").select("a", "b")
+        elif last:
+            wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "row_hash").distinct()
+            wanted = materialize(wanted.coalesce(files))
+            sets = _sets(docs, if_small(wanted, wanted.count()), id_col, text_col, words)
+            pairs = split_pairs(met, materialize(sets), percent)
         else:
-            headed = met.select("node", "label", F.explode("head").alias("head")).where("label <> head.label")
+            headed = met.where("label <> head.label")
             pairs = headed.select(
                 F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")
             )
         found = _confirmed(pairs, nodes, docs, id_col, text_col, words, percent, allowed, files)
+        joined = found.count()
         links = materialize(links.unionByName(found).coalesce(files))
         labels = components(links)
         if whole:  # heads have met all the others of their buckets
             open_rows = met.where("not is_head").select("bucket", "rank", "node")
-            heads = min(heads * 8, 512)
         else:
             open_rows, whole = shared, True
 

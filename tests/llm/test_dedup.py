@@ -107,6 +107,26 @@ def test_near_components(spark, pairs_per_text):
     assert sorted(map(tuple, got), key=str) == near_brute(rows, 4, 80)
 
 
+def test_near_components_of_far_copies(spark, monkeypatch):
+    """Copies of one text that are mostly too far from each other are not tested in pairs."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(300)}" for _ in range(150)]
+    rows = []
+    for i in range(240):
+        text = base[: rnd.choice((150, 150, 150, 120))]
+        for _ in range(rnd.choice((3, 6, 7, 8, 9))):
+            text[rnd.randrange(len(text))] = f"x{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(text)))
+    tested, confirmed = [], near_dedup._confirmed
+    monkeypatch.setattr(
+        near_dedup, "_confirmed", lambda pairs, *a: (tested.append(pairs.distinct().count()), confirmed(pairs, *a))[1]
+    )
+    found = near_dedup.near_components(table(spark, rows), words=4, pairs_per_text=1)
+    got = found.select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == near_brute(rows, 4, 80)
+    assert sum(tested) < 20 * len(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     empty = table(spark, [(1, "a")]).limit(0)
     assert near_dedup.near_components(empty).count() == 0
