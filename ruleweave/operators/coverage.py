@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,9 @@ from ..rules import Literal, Rule, Theory, any_of, literal_condition, rule_condi
 from ..session import BROADCAST_ROWS, materialize
 from .prep import CaseTable
 
+#: Literals whose matches are kept as bits of one number.
+WORD_BITS = 62
+
 # ---------------------------------------------------------------- wide case tables
 
 
@@ -125,17 +129,34 @@ def match_all(facts: DataFrame, literals: Sequence[Literal]) -> DataFrame:
 def fired_rules(facts: DataFrame, rule_literals: DataFrame) -> DataFrame:
     """(case_id, rule_id) for rules whose positive literals a case has.
 
-    ``rule_literals`` is small (bounded by the rules). Matches are made distinct with a
-    map-side step before they are counted, so repeated facts of a hot case shrink first.
+    ``rule_literals`` is small (bounded by the rules). The different literals are numbered and
+    become bits of words: a case is one row per word however many facts and rules match.
     """
-    positive = rule_literals.where("not negated").select("rule_id", "lit_no", "pred", "val")
-    sizes = positive.groupBy("rule_id").agg(F.count(F.lit(1)).alias("size"))
-    if positive.count() <= BROADCAST_ROWS:
-        positive, sizes = F.broadcast(positive), F.broadcast(sizes)
-    same = (facts["pred"] == positive["pred"]) & facts["val"].eqNullSafe(positive["val"])
-    matched = facts.join(positive, same).select("case_id", "rule_id", "lit_no").distinct()
-    counts = matched.groupBy("case_id", "rule_id").agg(F.count(F.lit(1)).alias("hits"))
-    return counts.join(sizes, "rule_id").where("hits = size").select("case_id", "rule_id")
+    positive = rule_literals.where("not negated").select("rule_id", "pred", "val").distinct().collect()
+    numbers = {lit: i for i, lit in enumerate(dict.fromkeys((r["pred"], r["val"]) for r in positive))}
+    needs: dict[tuple[int, int], int] = {}
+    for r in positive:
+        word, bit = divmod(numbers[r["pred"], r["val"]], WORD_BITS)
+        needs[r["rule_id"], word] = needs.get((r["rule_id"], word), 0) | 1 << bit
+    words = Counter(rule_id for rule_id, _ in needs)
+    spark, kind = facts.sparkSession, rule_literals.schema["rule_id"].dataType.simpleString()
+    bits = spark.createDataFrame(
+        [(p, v, n // WORD_BITS, 1 << n % WORD_BITS) for (p, v), n in numbers.items()],
+        "pred string, val string, word int, bit bigint",
+    )
+    wanted = spark.createDataFrame(
+        [(w, rule_id, need, words[rule_id]) for (rule_id, w), need in needs.items()],
+        f"word int, rule_id {kind}, need bigint, words int",
+    )
+    if len(positive) <= BROADCAST_ROWS:
+        bits, wanted = F.broadcast(bits), F.broadcast(wanted)
+    same = (facts["pred"] == bits["pred"]) & facts["val"].eqNullSafe(bits["val"])
+    held = facts.join(bits, same).groupBy("case_id", "word").agg(F.bit_or("bit").alias("held"))
+    met = held.join(wanted, "word").where(F.col("held").bitwiseAND(F.col("need")) == F.col("need"))
+    if all(n == 1 for n in words.values()):
+        return met.select("case_id", "rule_id")
+    counts = met.groupBy("case_id", "rule_id", "words").agg(F.count(F.lit(1)).alias("hits"))
+    return counts.where("hits = words").select("case_id", "rule_id")
 
 
 def score_facts(

@@ -272,3 +272,16 @@ def test_rule_condition_has_no_nulls(spark):
 def test_derive_bias_counts_literals(spark):
     bias = derive_bias(cars(spark))
     assert bias.literal_count == 8 and bias.literal_bits == 3.0
+
+
+def test_fired_rules_keep_a_row_per_case_and_word(spark):
+    """Many literals, repeated facts and shared literals: bits of a case, not a row per match."""
+    wide = [(0, i, "p", str(i), False) for i in range(130)]
+    more = [(1, 0, "p", "3", False), (1, 1, "p", "3", False), (1, 2, "ab0", None, True)]
+    more += [(2, 0, "flag", None, False), (2, 1, "p", "129", False), (3, 0, "ab0", None, True)]
+    literals = spark.createDataFrame(wide + more, "rule_id int, lit_no int, pred string, val string, negated boolean")
+    rows = [(1, "p", str(i)) for i in range(130)] * 2 + [(2, "p", str(i)) for i in range(129)]
+    rows += [(2, "flag", None), (3, "flag", None), (3, "p", "129"), (4, "flag", "x"), (None, "p", "3")]
+    fired = cov.fired_rules(spark.createDataFrame(rows, "case_id int, pred string, val string"), literals)
+    assert "lit_no" not in fired._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, fired.collect()), key=str) == [(1, 0), (1, 1), (2, 1), (3, 2), (None, 1)]
