@@ -134,9 +134,10 @@ def u03(spark, sf):
   SELECT {ITEMS}, util FROM ranked WHERE nth NOT IN (1, 2, 4) ORDER BY nth LIMIT 1""")
 def u04(spark, sf):
     tx = baskets(spark, sf)
-    best = ut.top_k_utility_itemsets(tx, 4).orderBy(F.desc("util")).collect()
+    rows = ut.mining_rows(tx, 4)
+    best = ut.top_k_utility_itemsets(tx, 4, rows=rows).orderBy(F.desc("util")).collect()
     used = spark.createDataFrame([(best[i]["itemset"],) for i in (0, 1, 3)], "itemset array<string>")
-    return named(ut.next_itemset(tx, used))
+    return named(ut.next_itemset(tx, used, rows))
 
 
 @query("u05_threshold_itemsets", f"""WITH {SUBSETS} SELECT {ITEMS}, util FROM mined WHERE util >=

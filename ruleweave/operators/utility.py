@@ -389,28 +389,38 @@ def utility_itemsets(tx: DataFrame, min_util: int, max_len: int | None = None) -
     return mine(transaction_rows(tx, min_util), k=None, min_util=min_util, max_len=max_len)
 
 
+def mining_rows(tx: DataFrame, k: int) -> DataFrame:
+    """Rows for several minings of at most ``k`` itemsets each: prepared and written once."""
+    return merge_equal(transaction_rows(tx, k=k))
+
+
 def top_k_utility_itemsets(
     tx: DataFrame,
     k: int,
     max_len: int | None = None,
     min_len: int = 1,
     with_ties: bool = False,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """The k itemsets of highest utility: (itemset, util).
 
     Ties are ordered by length, then by the sorted items; ``with_ties`` keeps all
-    itemsets that equal the k-th.
+    itemsets that equal the k-th. ``rows`` are those of ``mining_rows`` for ``tx`` and as
+    large a k at least, where several minings share them; with a ``min_len`` they are not used.
     """
+    if rows is not None and min_len == 1:
+        return mine(rows, k, max_len=max_len, min_len=min_len, with_ties=with_ties, merged=True)
     rows = transaction_rows(tx, k=k if min_len == 1 else None)
     return mine(rows, k, max_len=max_len, min_len=min_len, with_ties=with_ties)
 
 
-def next_itemset(tx: DataFrame, used: DataFrame) -> DataFrame:
+def next_itemset(tx: DataFrame, used: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """The best itemset that is not among ``used``(itemset): one row (itemset, util).
 
-    With u used itemsets the answer is among the best u + 1.
+    With u used itemsets the answer is among the best u + 1; ``rows`` as for
+    ``top_k_utility_itemsets``.
     """
     taken = used.select(F.array_sort("itemset").alias("itemset")).distinct()
-    best = top_k_utility_itemsets(tx, taken.count() + 1)
+    best = top_k_utility_itemsets(tx, taken.count() + 1, rows=rows)
     rest = best.join(taken, "itemset", "left_anti")
     return rest.orderBy(F.desc("util"), F.size("itemset"), F.col("itemset")).limit(1)

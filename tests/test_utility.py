@@ -135,3 +135,16 @@ def test_next_itemset_skips_used(spark):
 
 def test_no_transactions(spark):
     assert as_list(ut.top_k_utility_itemsets(frame(spark, []), 3)) == []
+
+
+def test_minings_share_their_rows(spark, monkeypatch):
+    rows = random_tx(5)
+    tx = spark.createDataFrame(rows, "tid int, item int, util bigint")
+    want = ranked(brute(rows))
+    shared = ut.mining_rows(tx, 4)
+    monkeypatch.setattr(ut, "transaction_rows", None)  # prepared once, not by each mining
+    best = ut.top_k_utility_itemsets(tx, 4, rows=shared).collect()
+    assert sorted((-r.util, len(r.itemset), tuple(r.itemset)) for r in best) == [(-u, len(c), c) for c, u in want[:4]]
+    used = spark.createDataFrame([(list(want[i][0]),) for i in (0, 1, 3)], "itemset array<int>")
+    found = ut.next_itemset(tx, used, shared).collect()
+    assert [(tuple(r.itemset), r.util) for r in found] == [want[2]]
