@@ -127,7 +127,7 @@ def u02c(spark, sf):
 def u03(spark, sf):
     """The best itemsets of every length in coarse units, with all that equal the last of them."""
     coarse = ut.merged_items(baskets(spark, sf)).withColumn("util", F.expr("util div 10000000"))
-    return named(ut.top_k_utility_itemsets(coarse, 60, with_ties=True))
+    return named(ut.top_k_utility_itemsets(coarse, 60, with_ties=True, items_once=True))
 
 
 @query("u04_next_unused", f"""WITH {SUBSETS}, ranked AS (SELECT itemset, util, row_number() OVER (ORDER BY util DESC, len(itemset), list_sort(itemset)) AS nth FROM mined)

@@ -168,15 +168,17 @@ def _kth(df: DataFrame, k: int) -> list[int]:
     return [r["util"] for r in top]
 
 
-def transaction_rows(tx: DataFrame, min_util: int = 1, k: int | None = None) -> DataFrame:
+def transaction_rows(tx: DataFrame, min_util: int = 1, k: int | None = None, items_once: bool = False) -> DataFrame:
     """One row per transaction: ``tail`` = array<struct<item,util,after>> in item order.
 
     ``after`` is the utility of the later items. Items are merged before they are
     gathered, so a row holds at most the dictionary; items whose transactions cannot
-    reach the threshold (the k-th best single item) are left out beforehand.
+    reach the threshold (the k-th best single item) are left out beforehand. ``items_once``
+    tells that they are merged already, which spares a task a second table of its items.
     """
     total = F.sum("util").over(W.partitionBy("tid"))
-    base = materialize(merged_items(tx).withColumn("total", total))
+    merged = tx.select("tid", "item", "util") if items_once else merged_items(tx)
+    base = materialize(merged.withColumn("total", total))
     promising = materialize(
         base.groupBy("item").agg(F.sum("util").alias("util"), F.sum("total").alias("twu"))
     )
@@ -401,16 +403,18 @@ def top_k_utility_itemsets(
     min_len: int = 1,
     with_ties: bool = False,
     rows: DataFrame | None = None,
+    items_once: bool = False,
 ) -> DataFrame:
     """The k itemsets of highest utility: (itemset, util).
 
     Ties are ordered by length, then by the sorted items; ``with_ties`` keeps all
     itemsets that equal the k-th. ``rows`` are those of ``mining_rows`` for ``tx`` and as
     large a k at least, where several minings share them; with a ``min_len`` they are not used.
+    ``items_once`` as for ``transaction_rows``.
     """
     if rows is not None and min_len == 1:
         return mine(rows, k, max_len=max_len, min_len=min_len, with_ties=with_ties, merged=True)
-    rows = transaction_rows(tx, k=k if min_len == 1 else None)
+    rows = transaction_rows(tx, k=k if min_len == 1 else None, items_once=items_once)
     return mine(rows, k, max_len=max_len, min_len=min_len, with_ties=with_ties)
 
 

@@ -148,3 +148,13 @@ def test_minings_share_their_rows(spark, monkeypatch):
     used = spark.createDataFrame([(list(want[i][0]),) for i in (0, 1, 3)], "itemset array<int>")
     found = ut.next_itemset(tx, used, shared).collect()
     assert [(tuple(r.itemset), r.util) for r in found] == [want[2]]
+
+
+def test_merged_items_are_not_merged_again(spark, monkeypatch):
+    """One table of items per task: what is merged already goes on as it is."""
+    rows = random_tx(5, items=5, n=12)
+    once = ut.merged_items(spark.createDataFrame(rows, "tid long, item long, util long"))
+    want = {(tuple(r["itemset"]), r["util"]) for r in ut.top_k_utility_itemsets(once, 9, with_ties=True).collect()}
+    monkeypatch.setattr(ut, "merged_items", lambda tx: pytest.fail("merged again"))
+    got = ut.top_k_utility_itemsets(once, 9, with_ties=True, items_once=True)
+    assert {(tuple(r["itemset"]), r["util"]) for r in got.collect()} == want
