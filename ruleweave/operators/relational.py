@@ -58,10 +58,11 @@ def atom_table(atom: Atom, tables: Tables) -> DataFrame:
     return df.select(*[F.col(cols[0]).alias(var) for var, cols in places.items()])
 
 
-def bind(bindings: DataFrame, body: Sequence[Atom], tables: Tables) -> DataFrame:
+def bind(bindings: DataFrame, body: Sequence[Atom], tables: Tables, once: bool = False) -> DataFrame:
     """All bindings that prove the body, one column per variable.
 
-    Negated atoms are anti joins on the variables bound so far.
+    Negated atoms are anti joins on the variables bound so far. ``once`` tells that no table
+    holds a fact twice.
     """
     for atom in body:
         own = atom_table(atom, tables)
@@ -71,9 +72,9 @@ def bind(bindings: DataFrame, body: Sequence[Atom], tables: Tables) -> DataFrame
         if atom.negated:
             bindings = bindings.join(own.select(*shared).distinct(), shared, "left_anti")
         elif len(shared) == len(atom.variables):
-            bindings = bindings.join(own.distinct(), shared, "left_semi")
+            bindings = bindings.join(own if once else own.distinct(), shared, "left_semi")
         else:
-            bindings = bindings.join(own.distinct(), shared)
+            bindings = bindings.join(own if once else own.distinct(), shared)
     return bindings
 
 
@@ -164,14 +165,15 @@ def constant_candidates(
     ).select(F.lit(pred).alias("pred"), "val", "p_cases", "p_tuples", "n_tuples")
 
 
-def determinacy(bindings: DataFrame, atom: Atom, tables: Tables) -> DataFrame:
+def determinacy(bindings: DataFrame, atom: Atom, tables: Tables, once: bool = False) -> DataFrame:
     """How many ways an atom extends the bindings: (p_min, p_max, n_max).
 
     The atom's own table is counted per key first, so a hot key is one row before the
-    join; bindings without a match count as zero.
+    join; bindings without a match count as zero. ``once`` as for ``bind``.
     """
     shared = [v for v in atom.variables if v in bindings.columns]
-    keys = atom_table(atom, tables).distinct().groupBy(*shared).agg(
+    own = atom_table(atom, tables)
+    keys = (own if once else own.distinct()).groupBy(*shared).agg(
         F.count(F.lit(1)).alias("ways")
     )
     counted = bindings.join(keys, shared, "left").withColumn(
@@ -184,11 +186,11 @@ def determinacy(bindings: DataFrame, atom: Atom, tables: Tables) -> DataFrame:
     )
 
 
-def is_determinate(bindings: DataFrame, atom: Atom, tables: Tables) -> bool:
+def is_determinate(bindings: DataFrame, atom: Atom, tables: Tables, once: bool = False) -> bool:
     """Binds something new, exactly one way on positives and at most one on negatives."""
     if atom.negated or all(v in bindings.columns for v in atom.variables):
         return False
-    row = determinacy(bindings, atom, tables).first()
+    row = determinacy(bindings, atom, tables, once).first()
     return row["p_min"] == 1 and row["p_max"] == 1 and (row["n_max"] or 0) <= 1
 
 

@@ -2,10 +2,11 @@
 
 A clause's state is its binding table: one row per proof, with a column for every variable.
 Candidates are atoms whose places are old variables of the place's type, new variables or
-constants. All patterns of all predicates are counted by one join: bindings send a row per
-pattern with the values of the old variables, tables a row per kind of pattern with those
-places' values and constants and in how many ways the rest can be filled. Only counts per
-candidate reach the driver; the chosen atom then extends the binding table.
+constants. Patterns that look only at head variables are counted by one join on cases, all others
+by one join on proofs: bindings send a row per choice of old variables with their values, tables
+a row per kind of pattern with those places' values and constants and in how many ways the rest
+can be filled, which is counted once per search. Only counts per candidate reach the driver; the
+chosen atom then extends the binding table.
 
 Where nothing gains, literals that bind something new in exactly one way may be added, so
 that the search can go on in the tables they lead to; and negatives that stay covered can be
@@ -91,6 +92,11 @@ class Pattern:
         fresh = {v for v, _ in self.new}
         return [i for i, a in enumerate(self.args) if a is not None and a not in fresh]
 
+    @property
+    def key(self) -> tuple[str, ...]:
+        """The old variables, place by place."""
+        return tuple(self.args[i] for i in self.old_places)
+
     @property
     def shape(self) -> tuple:
         """What tables need to know: the predicate, its old places, and equal new ones."""
@@ -141,77 +147,110 @@ def prepared_tables(tables: Tables, modes: RelationalModes) -> dict[str, DataFra
     }
 
 
-def _sources(shapes: Sequence[tuple], tables: Tables) -> DataFrame:
-    """(shape, key, consts, ways): per filling of old places and constants, the ways to fill
-    the rest, from prepared tables. A hot key is one row."""
-    per_pred: dict[tuple[str, bool], list[tuple[int, tuple]]] = {}
-    for number, (pred, slots) in enumerate(shapes):
-        per_pred.setdefault((pred, any(isinstance(s, int) for s in slots)), []).append((number, slots))
-    parts = []
-    for (pred, is_open), numbered in per_pred.items():
-        rows = []
-        for number, slots in numbered:
-            same = F.lit(True)
-            for slot in {s for s in slots if isinstance(s, int)}:
-                first, *others = [i for i, s in enumerate(slots) if s == slot]
-                for other in others:
-                    same &= F.col(f"a{first}") == F.col(f"a{other}")
-            key = F.array(*[F.col(f"a{i}") for i, s in enumerate(slots) if s == "o"])
-            consts = F.array(*[F.col(f"a{i}") for i, s in enumerate(slots) if s == "c"]).cast("array<string>")
-            rows.append(F.when(same, F.struct(
-                F.lit(number).alias("shape"), key.alias("key"), consts.alias("consts")
-            )))
-        filled = tables[pred].select(F.explode(F.array_compact(F.array(*rows))).alias("row")).select("row.*")
-        ways = F.count(F.lit(1)).alias("ways")
-        # Where nothing is left open, a fact fills the pattern, and facts are distinct.
-        parts.append(
-            filled.groupBy("shape", "key", "consts").agg(ways) if is_open
-            else filled.withColumn("ways", F.lit(1).cast("bigint"))
-        )
-    return reduce(DataFrame.unionByName, parts)
+def _key(values: Sequence[Column]) -> Column:
+    """Values as one text that tells them apart; null if one is missing."""
+    texts = [v.cast("string") for v in values]
+    return texts[0] if len(texts) == 1 else F.concat(*[F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts])
+
+
+def is_open(shape: tuple) -> bool:
+    """Whether a pattern of this shape has places for new variables."""
+    return any(isinstance(slot, int) for slot in shape[1])
+
+
+def ways_to_fill(shape: tuple, tables: Tables) -> DataFrame:
+    """(key, consts, ways): per filling of old places and constants, the ways to fill the rest,
+    from prepared tables. A hot key is one row."""
+    pred, slots = shape
+    same = F.lit(True)
+    for slot in {s for s in slots if isinstance(s, int)}:
+        first, *others = [i for i, s in enumerate(slots) if s == slot]
+        for other in others:
+            same &= F.col(f"a{first}") == F.col(f"a{other}")
+    consts = F.array(*[F.col(f"a{i}") for i, s in enumerate(slots) if s == "c"]).cast("array<string>")
+    filled = tables[pred].where(same).select(
+        _key([F.col(f"a{i}") for i, s in enumerate(slots) if s == "o"]).alias("key"), consts.alias("consts")
+    )
+    # Where nothing is left open, a fact fills the pattern, and facts are distinct.
+    if not is_open(shape):
+        return filled.withColumn("ways", F.lit(1).cast("bigint"))
+    return filled.groupBy("key", "consts").agg(F.count(F.lit(1)).alias("ways"))
+
+
+def _families(found: Sequence[Pattern]) -> dict[tuple, int]:
+    """Numbers for ("key", old variables) and ("shape", shape): the same where patterns link them."""
+    family: dict[tuple, int] = {}
+    for p in found:
+        mine = family.setdefault(("key", p.key), len(family))
+        other = family.setdefault(("shape", p.shape), len(family))
+        family = {name: mine if number == other else number for name, number in family.items()}
+    return family
 
 
 def extension_counts(
-    bindings: DataFrame, head_vars: Sequence[str], found: Sequence[Pattern], tables: Tables, negation: bool = False
+    bindings: DataFrame, head_vars: Sequence[str], found: Sequence[Pattern], tables: Tables, negation: bool = False,
+    counted: Mapping[tuple, DataFrame] | None = None, totals: tuple[int, int, int] | None = None,
+    cases: DataFrame | None = None,
 ) -> DataFrame:
     """Counts of every candidate: (pattern, consts, negated, p_cases, p_tuples, n_tuples).
 
     ``bindings`` has a row per proof with ``is_pos``, ``tables`` are prepared. Negated candidates hold where the atom
     cannot be proved; their counts are what the clause has less what the atom takes away, so
-    they need no scan of their own.
+    they need no scan of their own. ``counted`` has what ``ways_to_fill`` gives for some shapes, ``totals`` what
+    ``clause_totals`` and ``cases`` what ``proofs_by_case`` gives, where they are known.
     """
-    shapes = list(dict.fromkeys(p.shape for p in found))
+    cases = proofs_by_case(bindings, head_vars) if cases is None else cases
     # A negated candidate looks at whole cases, so that cases without a name take no part.
-    seen = bindings.dropna(subset=list(head_vars)) if negation else bindings
+    seen, seen_cases = (
+        df.dropna(subset=list(head_vars)) if negation else df for df in (bindings, cases)
+    )
     sides = [*head_vars, "is_pos"]
+    proofs = F.count(F.lit(1)).alias("proofs")
 
-    def keyed(rows: DataFrame, chosen: Sequence[int], *more: str) -> DataFrame:
+    def met(rows: DataFrame, chosen: Sequence[int], whole_cases: bool) -> DataFrame:
+        """(head variables, is_pos, pattern, consts, proofs, ways) of the chosen patterns."""
+        some = [found[i] for i in chosen]
+        family = _families(some)
+        keys, shapes = list(dict.fromkeys(p.key for p in some)), list(dict.fromkeys(p.shape for p in some))
         wanted = F.array(*[
             F.struct(
-                F.lit(i).alias("pattern"),
-                F.lit(shapes.index(found[i].shape)).alias("shape"),
-                F.array(*[F.col(found[i].args[place]) for place in found[i].old_places]).alias("key"),
+                _key([F.col(v) for v in key]).alias("key"), F.lit(family["key", key]).alias("family"), F.lit(i).alias("slot")
             )
-            for i in chosen
+            for i, key in enumerate(keys)
         ])
         # Only positive cases are counted, so that the proofs of all negatives go together.
         case = [F.when(F.col("is_pos"), F.col(v)).alias(v) for v in head_vars]
-        return rows.select(*sides, *more, F.explode(wanted).alias("w")).select(*case, "is_pos", *more, "w.*")
-
-    proofs = F.count(F.lit(1)).alias("proofs")
-    by_case = [i for i, p in enumerate(found) if {p.args[place] for place in p.old_places} <= set(head_vars)]
+        more = ["proofs"] if whole_cases else []
+        keyed = rows.select(*sides, *more, F.explode(wanted).alias("w")).select(*case, "is_pos", *more, "w.*")
+        if not whole_cases:
+            # Proofs that agree in all a candidate can see are counted before the join.
+            keyed = keyed.groupBy(*sides, "key", "family", "slot").agg(proofs)
+        sources = reduce(DataFrame.unionByName, [
+            ((counted or {}).get(shape) or ways_to_fill(shape, tables)).withColumns(
+                {"family": F.lit(family["shape", shape]), "shape": F.lit(j)}
+            )
+            for j, shape in enumerate(shapes)
+        ])
+        number = {(p.key, p.shape): i for i, p in zip(chosen, some, strict=True)}
+        numbers = F.array(*[F.lit(number.get((key, shape))).cast("int") for key in keys for shape in shapes])
+        # Keys are texts and lead the join's order, so that rows are sorted by their first bytes.
+        return keyed.join(sources, ["key", "family"]).withColumn(
+            "pattern", F.get(numbers, F.col("slot") * len(shapes) + F.col("shape"))
+        ).where(F.col("pattern").isNotNull())
+
+    by_case = [i for i, p in enumerate(found) if set(p.key) <= set(head_vars)]
     by_proof = [i for i in range(len(found)) if i not in by_case]
-    # Proofs that agree in all a candidate can see are counted before the join.
-    parts = []
+    tuples, parts = F.col("proofs") * F.col("ways"), []
     if by_case:
-        parts.append(keyed(seen.groupBy(*sides).agg(proofs), by_case, "proofs"))
+        # A case, a pattern and constants meet once: there is nothing to add up.
+        parts.append(met(seen_cases, by_case, True).select(
+            *sides, "pattern", "consts", tuples.alias("tuples"), "proofs"
+        ))
     if by_proof:
-        parts.append(keyed(seen, by_proof).groupBy(*sides, "pattern", "shape", "key").agg(proofs))
-    keyed_proofs = reduce(DataFrame.unionByName, parts)
-    met = keyed_proofs.join(_sources(shapes, tables), ["shape", "key"])
-    per_case = met.groupBy(*head_vars, "is_pos", "pattern", "consts").agg(
-        F.sum(F.col("proofs") * F.col("ways")).alias("tuples"), F.sum("proofs").alias("proofs")
-    )
+        parts.append(met(seen, by_proof, False).groupBy(*sides, "pattern", "consts").agg(
+            F.sum(tuples).alias("tuples"), F.sum("proofs").alias("proofs")
+        ))
+    per_case = reduce(DataFrame.unionByName, parts)
     zero = F.lit(0).cast("bigint")
 
     def total(value: str, side: Column) -> Column:
@@ -220,7 +259,7 @@ def extension_counts(
     pos, neg = F.col("is_pos"), ~F.col("is_pos")
     if negation:
         # Cases all of whose proofs are taken away are no longer covered.
-        all_proofs = bindings.groupBy(*head_vars).agg(F.count(F.lit(1)).alias("all_proofs"))
+        all_proofs = cases.groupBy(*head_vars).agg(F.sum("proofs").alias("all_proofs"))
         per_case = per_case.join(all_proofs, list(head_vars), "left")
     else:
         per_case = per_case.withColumn("all_proofs", F.lit(-1))
@@ -235,20 +274,28 @@ def extension_counts(
     plain = counts.select("pattern", "consts", F.lit(False).alias("negated"), "p_cases", "p_tuples", "n_tuples")
     if not negation:
         return plain
-    cases, p, n = clause_totals(bindings, head_vars)
+    n_cases, p, n = totals or clause_totals(bindings, head_vars, cases)
     return plain.unionByName(
         counts.select(
             "pattern", "consts", F.lit(True).alias("negated"),
-            (F.lit(cases) - F.col("p_gone")).alias("p_cases"),
+            (F.lit(n_cases) - F.col("p_gone")).alias("p_cases"),
             (F.lit(p) - F.col("p_met")).alias("p_tuples"),
             (F.lit(n) - F.col("n_met")).alias("n_tuples"),
         )
     )
 
 
-def clause_totals(bindings: DataFrame, head_vars: Sequence[str]) -> tuple[int, int, int]:
-    """Covered positive cases, and proofs of positives and negatives."""
-    row = bindings.groupBy(*head_vars, "is_pos").agg(F.count(F.lit(1)).alias("proofs")).agg(
+def proofs_by_case(bindings: DataFrame, head_vars: Sequence[str]) -> DataFrame:
+    """(head variables, is_pos, proofs): one row per covered case."""
+    return bindings.groupBy(*head_vars, "is_pos").agg(F.count(F.lit(1)).alias("proofs"))
+
+
+def clause_totals(
+    bindings: DataFrame, head_vars: Sequence[str], cases: DataFrame | None = None
+) -> tuple[int, int, int]:
+    """Covered positive cases, and proofs of positives and negatives; ``cases`` is what
+    ``proofs_by_case`` gives, where it is known."""
+    row = (proofs_by_case(bindings, head_vars) if cases is None else cases).agg(
         F.count_if("is_pos").alias("cases"),
         F.sum(F.when(F.col("is_pos"), F.col("proofs"))).alias("p"),
         F.sum(F.when(~F.col("is_pos"), F.col("proofs"))).alias("n"),
@@ -257,19 +304,23 @@ def clause_totals(bindings: DataFrame, head_vars: Sequence[str]) -> tuple[int, i
 
 
 def ranked_extensions(
-    bindings: DataFrame, head_vars: Sequence[str], found: Sequence[Pattern], tables: Tables, negation: bool = False
+    bindings: DataFrame, head_vars: Sequence[str], found: Sequence[Pattern], tables: Tables, negation: bool = False,
+    counted: Mapping[tuple, DataFrame] | None = None, totals: tuple[int, int, int] | None = None,
+    cases: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates that gain: (literal, pattern, consts, negated, counts, gain), best first.
 
-    Ties go to fewer new variables, to plain literals, then by text.
+    Ties go to fewer new variables, to plain literals, then by text. ``counted``, ``totals`` and
+    ``cases`` as for ``extension_counts``.
     """
-    _, p, n = clause_totals(bindings, head_vars)
+    totals = totals or clause_totals(bindings, head_vars, cases)
+    _, p, n = totals
     spark = bindings.sparkSession
     names = spark.createDataFrame(
         [(i, f.pred, list(f.args), len(f.new)) for i, f in enumerate(found)],
         "pattern int, pred string, args array<string>, n_new int",
     )
-    counts = extension_counts(bindings, head_vars, found, tables, negation)
+    counts = extension_counts(bindings, head_vars, found, tables, negation, counted, totals, cases)
     info = information_gain(F.col("p_tuples"), F.col("n_tuples"), F.lit(p), F.lit(n))
     # The gain weighs the change of information by retained cases, not by proofs.
     gain = F.when(F.col("p_tuples") > 0, info / F.col("p_tuples") * F.col("p_cases")).otherwise(0.0)
@@ -296,12 +347,13 @@ def ranked_extensions(
 class State:
     """A clause under construction: its atoms, variables with types, and bindings.
 
-    ``steps`` has the determinate literals that changed no count, with what they bind.
+    ``cases`` has what ``proofs_by_case`` gives for the bindings, ``steps`` has the determinate literals that changed no count, with what they bind.
     """
 
     body: tuple[Atom, ...]
     variables: dict[str, str]
     bindings: DataFrame
+    cases: DataFrame | None = None
     totals: tuple[int, int, int] = (0, 0, 0)
     steps: Mapping[Atom, frozenset[str]] = field(default_factory=dict)
 
@@ -331,18 +383,35 @@ class RelationalTheory:
         return cases.join(reduce(DataFrame.unionByName, proved).distinct(), head, "left_semi")
 
 
-class RelationalSearch:
-    """Sequential covering over clauses of several tables."""
+class Prepared:
+    """Examples and relations of a search, each written once, and the ways to fill open shapes
+    counted so far. Searches that differ only in their settings can share them.
+    """
 
-    def __init__(
-        self, examples: DataFrame, head_vars: Sequence[str], tables: Tables, modes: RelationalModes,
-        settings: RelationalSettings,
-    ):
-        """``examples`` has a string column per head variable and ``is_pos``, a case once."""
+    def __init__(self, examples: DataFrame, head_vars: Sequence[str], tables: Tables, modes: RelationalModes):
+        cases = examples.where(F.col("is_pos").isNotNull()).select(
+            *[F.col(v).cast("string").alias(v) for v in head_vars], "is_pos"
+        ).distinct()
         self.head_vars = list(head_vars)
-        self.examples = materialize(examples.select(*head_vars, "is_pos"))
+        self.examples = materialize(cases)
         self.tables = prepared_tables(tables, modes)
         self.modes = modes
+        self.counted: dict[tuple, DataFrame] = {}
+
+    def count(self, shapes: Iterable[tuple]) -> None:
+        """Counts the open ones of these shapes that have not been counted yet."""
+        for shape in dict.fromkeys(shapes):
+            if is_open(shape) and shape not in self.counted:
+                self.counted[shape] = materialize(ways_to_fill(shape, self.tables))
+
+
+class RelationalSearch:
+    """Sequential covering over clauses of several tables."""
+
+    def __init__(self, prepared: Prepared, settings: RelationalSettings):
+        self.prepared = prepared
+        self.head_vars, self.examples = prepared.head_vars, prepared.examples
+        self.tables, self.modes = prepared.tables, prepared.modes
         self.settings = settings
         self.exceptions: list[Clause] = []
         self.listed: dict[str, DataFrame] = {}
@@ -352,11 +421,14 @@ class RelationalSearch:
     # -- pieces -------------------------------------------------------------
 
     def start(self, cases: DataFrame) -> State:
+        """The empty clause; ``cases`` has no row twice, so that each has one proof."""
         state = State((), dict(zip(self.head_vars, self.modes.head, strict=True)), cases)
-        return self.measured(state)
+        return self.measured(state, cases.withColumn("proofs", F.lit(1).cast("bigint")))
 
-    def measured(self, state: State) -> State:
-        return replace(state, totals=clause_totals(state.bindings, self.head_vars))
+    def measured(self, state: State, cases: DataFrame | None = None) -> State:
+        if cases is None:
+            cases = materialize(proofs_by_case(state.bindings, self.head_vars))
+        return replace(state, cases=cases, totals=clause_totals(state.bindings, self.head_vars, cases))
 
     def new_names(self, state: State) -> list[str]:
         """Names that are free in the clause, as many as one atom may need."""
@@ -370,7 +442,7 @@ class RelationalSearch:
             for arg, place in zip(atom.args, self.modes.predicates[atom.pred], strict=True):
                 if place.kind == "var":
                     variables.setdefault(arg, place.type)
-        bound = materialize(bind(state.bindings, [atom], self.tables))
+        bound = materialize(bind(state.bindings, [atom], self.tables, once=True))
         return self.measured(replace(state, body=(*state.body, atom), variables=variables, bindings=bound))
 
     def best(self, state: State, least: float = 0.0) -> tuple[Atom, float] | None:
@@ -378,7 +450,11 @@ class RelationalSearch:
         found = patterns(self.modes, state.variables, self.new_names(state), body=state.body)
         if not found:
             return None
-        row = ranked_extensions(state.bindings, self.head_vars, found, self.tables, self.settings.negation).first()
+        self.prepared.count(p.shape for p in found)
+        row = ranked_extensions(
+            state.bindings, self.head_vars, found, self.tables, self.settings.negation, self.prepared.counted,
+            state.totals, state.cases,
+        ).first()
         if row is None or row["gain"] <= least:
             return None
         return Atom(found[row["pattern"]].pred, tuple(row["terms"]), row["negated"]), row["gain"]
@@ -398,7 +474,7 @@ class RelationalSearch:
                     continue
                 names = dict(zip([v for v, _ in p.new], self.new_names(step), strict=False))
                 atom = Atom(p.pred, tuple(names.get(a, a) for a in p.args))
-                if is_determinate(state.bindings, atom, self.tables):
+                if is_determinate(state.bindings, atom, self.tables, once=True):
                     wider = self.extended(step, atom)
                     idle = wider.totals == step.totals
                     steps = {**step.steps, atom: frozenset(names.values())} if idle else step.steps
@@ -414,13 +490,17 @@ class RelationalSearch:
         _, p, n = state.totals
         return p / (p + n) if p + n else 0.0
 
-    def grow(self, cases: DataFrame, depth: int) -> Clause | None:
-        """One new clause, or None if no clause is good enough."""
-        settings, state, went_on, gained = self.settings, self.start(cases), False, 0.0
+    def grow(
+        self, cases: DataFrame, depth: int, begun: tuple[State, tuple[Atom, float]] | None = None
+    ) -> Clause | None:
+        """One new clause, or None if no clause is good enough; ``begun`` has the empty clause
+        and its best literal, where they are known."""
+        state, first = begun or (self.start(cases), None)
+        settings, went_on, gained = self.settings, False, 0.0
         while state.totals[1] and state.totals[2]:
             if settings.max_literals is not None and len(state.body) >= settings.max_literals:
                 break
-            found = self.best(state, gained if settings.rising else 0.0)
+            found, first = first or self.best(state, gained if settings.rising else 0.0), None
             if found is not None:
                 state, gained = self.extended(state, found[0]), found[1]
                 continue
@@ -460,8 +540,10 @@ class RelationalSearch:
             state.bindings.select(*self.head_vars, (~F.col("is_pos")).alias("is_pos")).distinct()
         )
         clauses: list[Clause] = []
-        if self.best(self.start(swapped)) is not None:
-            clauses = self.cover(swapped, depth + 1)
+        start = self.start(swapped)
+        first = self.best(start)
+        if first is not None:
+            clauses = self.cover(swapped, depth + 1, (start, first))
         if not clauses and not self.settings.listed:
             return None
         name = f"ab{self.next_ab}"
@@ -478,12 +560,14 @@ class RelationalSearch:
             )
         return name
 
-    def cover(self, cases: DataFrame, depth: int) -> list[Clause]:
-        """Clauses until the positives are covered or none is found."""
+    def cover(
+        self, cases: DataFrame, depth: int, begun: tuple[State, tuple[Atom, float]] | None = None
+    ) -> list[Clause]:
+        """Clauses until the positives are covered or none is found; ``begun`` is for the first."""
         clauses: list[Clause] = []
         limit = self.settings.max_rules
         while limit is None or len(clauses) < limit:
-            clause = self.grow(cases, depth)
+            clause, begun = self.grow(cases, depth, begun), None
             if clause is None:
                 break
             clauses.append(clause)
@@ -516,15 +600,13 @@ class RelationalSearch:
 
 def learn_clauses(
     examples: DataFrame, head_vars: Sequence[str], tables: Tables, modes: RelationalModes,
-    settings: RelationalSettings | None = None,
+    settings: RelationalSettings | None = None, prepared: Prepared | None = None,
 ) -> RelationalTheory:
     """Learn clauses for the positive examples.
 
     Values are compared as text. An example with a null head variable meets nothing, rows
     with nulls in a table prove nothing, repeated facts count once. No positive examples
-    give no clauses.
+    give no clauses. ``prepared`` is made of the same arguments, where several searches share it.
     """
-    cases = examples.where(F.col("is_pos").isNotNull()).select(
-        *[F.col(v).cast("string").alias(v) for v in head_vars], "is_pos"
-    ).distinct()
-    return RelationalSearch(cases, head_vars, tables, modes, settings or RelationalSettings()).run()
+    prepared = prepared or Prepared(examples, head_vars, tables, modes)
+    return RelationalSearch(prepared, settings or RelationalSettings()).run()

@@ -226,3 +226,46 @@ def test_candidates_skip_the_body_and_count_only_positive_cases(spark):
     twice = [(o, a, b) for o, a in has for o2, b in has if o == o2]
     row = rl.extension_counts(bound, ["O"], [found[other[0]]], tables).first()
     assert (row["p_tuples"], row["n_tuples"]) == (sum(sides[o] for o, *_ in twice), sum(not sides[o] for o, *_ in twice))
+
+
+def test_a_search_counts_once_and_regroups_no_cases(spark, monkeypatch):
+    """Ways to fill a shape are counted once, also for several searches; no first literal is
+    looked for twice; cases that meet facts are not grouped again."""
+    bias = rl.RelationalModes(("case",), {"has": (rl.Place("var", "case"), rl.Place("var", "part")),
+                                          "kind": (rl.Place("var", "part"), rl.Place("const", "kind")),
+                                          "old": (rl.Place("var", "case"),)})
+    cases = spark.createDataFrame([(f"c{i}", i % 2 == 0 and i % 6 != 0) for i in range(24)], "O string, is_pos boolean")
+    tables = {
+        "has": spark.createDataFrame([(f"c{i}", p) for i in range(24) for p in (("p1",) if i % 2 else ("p0", "p2"))] * 2, "a0 string, a1 string"),
+        "kind": spark.createDataFrame([("p0", "x"), ("p1", "y")], "a0 string, a1 string"),
+        "old": spark.createDataFrame([(f"c{i}",) for i in range(0, 24, 6)], "a0 string"),
+    }
+    counted, looked = [], []
+    count, best = rl.ways_to_fill, rl.RelationalSearch.best
+    monkeypatch.setattr(rl, "ways_to_fill", lambda shape, t: counted.append(shape) or count(shape, t))
+    monkeypatch.setattr(rl.RelationalSearch, "best", lambda self, state, least=0.0: looked.append((self, state)) or best(self, state, least))
+    prepared = rl.Prepared(cases, ["O"], tables, bias)
+    lines = [rl.learn_clauses(cases, ["O"], tables, bias, prepared=prepared).lines() for _ in range(2)]
+    assert lines[0] == lines[1] == ["positive(O):-has(O,A),kind(A,x),not(ab0(O)).", "", "ab0(O):-old(O)."]
+    still_open = [s for s in counted if rl.is_open(s)]
+    assert still_open and len(still_open) == len(set(still_open))
+    firsts = [(id(search), id(s.bindings)) for search, s in looked if not s.body]
+    assert len(firsts) == len(set(firsts))
+    found = rl.patterns(bias, {"O": "case"}, ["A", "B"])
+    flags = [p for p in found if p.pred == "old"]
+    plan = rl.extension_counts(prepared.examples, ["O"], flags, prepared.tables, cases=prepared.examples.withColumn(
+        "proofs", F.lit(1).cast("bigint")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+
+
+def test_keys_of_several_places_are_told_apart(spark):
+    """A pattern over two old variables meets only facts that agree in both."""
+    bias = rl.RelationalModes(("a", "a"), {"link": (rl.Place("var", "a"), rl.Place("var", "a"), rl.Place("const", "c"))})
+    rows = [("1", "11", True), ("11", "1", False), ("1:1", "1", True), (None, "1", True)]
+    cases = spark.createDataFrame(rows, "X string, Y string, is_pos boolean")
+    facts = [("1", "11", "u"), ("1:1", "1", "u"), ("11", "1", "v")]
+    tables = {"link": spark.createDataFrame(facts, "a0 string, a1 string, a2 string")}
+    found = [p for p in rl.patterns(bias, {"X": "a", "Y": "a"}, ["A", "B", "C"]) if p.args == ("X", "Y", None)]
+    got = {tuple(r["consts"]): (r["p_cases"], r["p_tuples"], r["n_tuples"])
+           for r in rl.extension_counts(cases, ["X", "Y"], found, tables).collect()}
+    assert got == {("u",): (2, 2, 0), ("v",): (0, 0, 1)}
