@@ -53,8 +53,8 @@ def token_pieces(
         enc = encoder(tokenizer)
         for batch in batches:
             row, piece, start, length, ids = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                raw = enc.encode(text) + end
+            for i, text_ids in enumerate(enc.encode_column(batch.column(1))):
+                raw = text_ids + end
                 for nth, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     row.append(i)

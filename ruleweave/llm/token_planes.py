@@ -116,8 +116,8 @@ def write_tokens(
 
         for batch in batches:
             kind = batch.column(0).type
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for name, text_ids in zip(batch.column(0).to_pylist(), enc.encode_column(batch.column(1)), strict=True):
+                ids = text_ids + end
                 held.append(ids)
                 lengths.append(len(ids) // 4)
                 names.append(name)

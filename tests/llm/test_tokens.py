@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,29 @@ def test_encoder_equals_the_library():
             assert enc.encode(text) == want, text
 
 
+def test_columns_equal_the_library(monkeypatch):
+    enc, small = tokens.Encoder(WORD), tokens.Encoder(WORD, 40)
+    texts = [None, *many_texts(), "Straße STRASSE,, x" * 90, "É" * 300 + ",", "a÷b ×x, Ångström é. K, ÿ!' l'été"]
+    want = [enc.whole(text or "") for text in texts]
+    for chunk in (1 << 20, 64):
+        monkeypatch.setattr(tokens, "CHUNK", chunk)
+        for e in (enc, small):
+            for kind in (pa.string(), pa.large_string()):
+                column = pa.array([*texts[:3], *texts], kind).slice(3)
+                assert list(e.encode_column(column)) == want
+    assert list(enc.encode_column(pa.array([], pa.string()))) == []
+
+
+def test_words_are_encoded_once_for_all_spellings(monkeypatch):
+    enc, seen = tokens.Encoder(WORD), []
+    for name in ("_words", "_line"):
+        encode = getattr(enc, name)
+        monkeypatch.setattr(enc, name, lambda group, encode=encode: (seen.extend(group), encode(group)))
+    texts = ["Größe größe, GRÖßE***", "größe!! Word", "word*** WORD, word"]
+    assert list(enc.encode_column(pa.array(texts))) == [enc.whole(text) for text in texts]
+    assert sorted(seen) == sorted(x.encode() for x in ("größe", "word", ",", "***", "!!"))
+
+
 def test_automaton_equals_the_library(byte_tokenizer):
     machine = bpe_automaton.automaton(BYTE)
     for text in many_texts():
